@@ -79,7 +79,7 @@ def totals(acc: DataFrame) -> DataFrame:
 
 
 def iteration_limit_share(results: DataFrame, by: Sequence[str] = ("domain", "config")) -> DataFrame:
-    hit = F.col("error") == C.ITERATION_LIMIT
+    hit = F.col("error").eqNullSafe(C.ITERATION_LIMIT)
     return results.groupBy(*by).agg(
         F.count("*").alias("n"), _n(hit).alias("n_limit"),
         F.avg(hit.cast("double")).alias("share"),

@@ -727,7 +727,7 @@ def example_file(spark, sf):
     ex = I.examples(spark, sf)
     ep = _as_episodes(I.memory_queries(spark, sf)).select("seq", "actions")
     ex.drop("actions").join(ep, F.col("pos") == F.col("seq")).select(*schemas.EXAMPLES.names).write.json(path)
-    return files.read_examples(spark, path).groupBy("domain_key").agg(
+    return files.read_examples(spark, path, lines=True).groupBy("domain_key").agg(
         F.count("*").alias("n"), F.min("pos").alias("first_pos")
     )
 

@@ -214,8 +214,9 @@ JUDGE_TEXTS = (
     '{"success": false, "reason": "missing step"}',
     'Verdict: {"success": "yes", "reason": 3}',
     "It succeeded.",
-    "It did not succeed",
+    "Not a success",
     "",
+    " It was successful. ",
 )
 VERIFIER_TEXTS = (
     "VERDICT: CORRECT",
@@ -230,7 +231,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.concat(F.lit("email.search_items.func(k=\""), turn.cast("string"), F.lit('")'))
     return load(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         conv.alias("query_id"), (turn + 1).alias("trial"),
-        _pick(JUDGE_TEXTS, (conv + turn) % 6).alias("judge_text"),
+        _pick(JUDGE_TEXTS, (conv + turn) % 7).alias("judge_text"),
         _pick(VERIFIER_TEXTS, (conv + turn) % 4).alias("verify_text"),
         F.when(turn % 5 == 0, "  ").otherwise(F.substring("text", 1, 40)).alias("reflection"),
         F.when(turn % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(call)).alias("calls"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "tracemill", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "8g")
@@ -43,6 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, where the Arrow functions import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.basename(root)
+        base = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), name)
+        sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), name))
+        _shipped.add(sc.applicationId)
+
+
 def through_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

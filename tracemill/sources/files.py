@@ -95,7 +95,10 @@ def append_episodes(new: DataFrame, path: str, fmt: str = "parquet") -> None:
     fresh.select(*schemas.EPISODES.names).write.mode("append").format(fmt).save(path)
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """Few-shot examples with the key of their domains, whatever order these are in."""
-    raw = spark.read.schema(schemas.EXAMPLES).option("multiLine", True).json(path)
+def read_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Few-shot examples with the key of their domains, whatever order these are in.
+
+    A JSON array in one file, or one object per ``lines``, which splits across tasks.
+    """
+    raw = spark.read.schema(schemas.EXAMPLES).option("multiLine", not lines).json(path)
     return raw.withColumn("domain_key", X.key_of(F.transform("domains", X.domain_name)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,12 @@ _WELL_FORMED = (
     r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\.func\("
     rf'(?:[A-Za-z_]\w*="{_LITERAL}"(?:, [A-Za-z_]\w*="{_LITERAL}")*+)?\)$'
 )
-_ARGUMENT = rf'([A-Za-z_]\w*)="({_LITERAL})"(?=, |\)$)'
+_ARGUMENT = rf'(?<=\(|", )[A-Za-z_]\w*+="{_LITERAL}"'
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def stripped(c: Column) -> Column:
@@ -76,17 +83,25 @@ def actions_or_empty(actions: Column) -> Column:
     return F.coalesce(actions, F.array().cast(_STRINGS))
 
 
-def action_is_well_formed(action: Column) -> Column:
-    """Whether the action text could be called at all: quoting holds and no argument repeats."""
-    names = F.regexp_extract_all(action, F.lit(_ARGUMENT), 1)
-    return action.rlike(_WELL_FORMED) & (F.size(names) == F.size(F.array_distinct(names)))
+def _argument(item: Column) -> Column:
+    name = F.substring_index(item, "=", 1)
+    quoted = F.substr(item, F.length(name) + 3)
+    return F.struct(name.alias("name"), F.left(quoted, F.length(quoted) - 1).alias("value"))
 
 
 def action_args(action: Column) -> Column:
-    """Ordered arguments of a well-formed action."""
-    names = F.regexp_extract_all(action, F.lit(_ARGUMENT), 1)
-    values = F.regexp_extract_all(action, F.lit(_ARGUMENT), 2)
-    return F.arrays_zip(names.alias("name"), values.alias("value")).cast(schemas.ARGS)
+    """Ordered arguments of an action; null if its text could not be called: the quoting
+    does not hold, or an argument repeats.
+
+    Costly to evaluate, so callers project it once and do not filter on it.
+    """
+    items = F.when(action.rlike(_WELL_FORMED), F.regexp_extract_all(action, F.lit(_ARGUMENT), 0))
+
+    def unless_repeated(found: Column) -> Column:
+        names = F.transform(found, lambda i: F.substring_index(i, "=", 1))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), F.transform(found, _argument))
+
+    return let(items, unless_repeated).cast(schemas.ARGS)
 
 
 def slug(c: Column) -> Column:

@@ -31,22 +31,23 @@ def explode_actions(df: DataFrame, keys: Sequence[str], actions: str) -> DataFra
 
 
 def effective_writes(actions: DataFrame, keys: Sequence[str], tools: DataFrame) -> DataFrame:
-    """Callable write actions with the entity they address; reads and unknown tools drop out here."""
+    """Write actions with the entity they address; reads and unknown tools drop out here.
+
+    ``args`` is null for an action that could not be called, which ``fold_entities`` drops.
+    """
     kinds = tools.where(F.col("op_kind").isin("insert", "update", "delete")).select(
         X.internal_tool_id(F.col("tool")).alias("_fn"), "op_kind", "target", "key_arg"
     )
-    called = actions.where(X.action_is_well_formed(F.col("action")))
     return (
-        called.withColumn("_fn", X.function_name(F.col("action")))
+        actions.withColumn("_fn", X.function_name(F.col("action")))
         .join(kinds, "_fn")
-        .withColumn("args", X.action_args(F.col("action")))
-        .select(
-            *keys, "step", "op_kind", "target", "args", "key_arg",
+        .select(*keys, "step", "op_kind", "target", "key_arg", X.action_args(F.col("action")).alias("args"))
+        .withColumn(
+            "entity_id",
             F.try_element_at(
                 F.filter("args", lambda a: a["name"] == F.col("key_arg")), F.lit(1)
-            )["value"].alias("entity_id"),
+            )["value"],
         )
-        .where((F.col("op_kind") == "insert") | F.col("entity_id").isNotNull())
     )
 
 
@@ -77,8 +78,8 @@ def fold_entities(writes: DataFrame, base_state: DataFrame, keys: Sequence[str])
     """Net effect of each trace on each entity it writes."""
     base = base_state.select("target", "entity_id", "attrs")
     trace = list(keys)
-    one = F.struct("step", "op_kind", "args")
-    # An insert without an id is an entity of its own; its step tells it apart.
+    one = F.when(F.col("args").isNotNull(), F.struct("step", "op_kind", "args"))
+    # An action without an id stands alone; its step tells it apart. Only an insert can then succeed.
     own = F.when(F.col("entity_id").isNull(), F.col("step"))
     grouped = (
         writes.join(base, ["target", "entity_id"], "left")

@@ -99,37 +99,47 @@ def error_classes(
     )
 
 
+def _one_value_apart(a: Column, b: Column) -> Column:
+    """Whether two sorted argument lists differ in the value of exactly one argument."""
+    apart = F.zip_with(
+        a, b,
+        # A name that differs counts as two, so such a pair never qualifies.
+        lambda x, y: F.when(~x["name"].eqNullSafe(y["name"]), 2).when(x["value"] != y["value"], 1).otherwise(0),
+    )
+    return F.coalesce(F.aggregate(apart, F.lit(0), lambda s, x: s + x) == 1, F.lit(False))
+
+
 def repeated_actions(results: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
-    """Per trace and function: calls, distinct calls, and calls with a near duplicate.
+    """Per trace and function: calls, distinct calls, and calls with a near duplicate, that is
+    another call with the same arguments but for the value of one.
 
-    Two calls are near duplicates if they have the same arguments but for the value
-    of one. Each call is written once per argument with that value masked; near
-    duplicates then share a masked form, so no pairs are formed.
+    A trace is one row and bounded by the turn limit, so all of this happens
+    inside the row, without a shuffle.
     """
-    acts = R.explode_actions(results, keys, "function_calls").withColumn(
-        "function", X.function_name(F.col("action"))
-    )
-    counts = acts.groupBy(*keys, "function").agg(
-        F.count("*").alias("calls"), F.count_distinct("action").alias("distinct_calls")
-    )
-    args = acts.where(X.action_is_well_formed(F.col("action"))).withColumn(
-        "args", F.array_sort(X.action_args(F.col("action")))
+    acts = F.transform(
+        "function_calls",
+        lambda a: F.struct(
+            X.function_name(a).alias("function"), a.alias("action"),
+            F.array_sort(X.action_args(a)).alias("args"),
+        ),
     )
-    masked = (
-        args.select(*keys, "function", "step", "args", F.explode("args").alias("a"))
-        .select(
-            *keys, "function", "step", F.col("a.value").alias("value"), F.col("a.name").alias("name"),
-            F.filter("args", lambda x: x["name"] != F.col("a.name")).alias("others"),
+
+    def summary(f: Column, mine: Column) -> Column:
+        near = F.filter(mine, lambda a: F.exists(mine, lambda b: _one_value_apart(a["args"], b["args"])))
+        return F.struct(
+            f.alias("function"),
+            F.size(mine).cast("long").alias("calls"),
+            F.size(F.array_distinct(F.transform(mine, lambda a: a["action"]))).cast("long").alias("distinct_calls"),
+            F.size(near).cast("long").alias("near_duplicates"),
         )
-        .groupBy(*keys, "function", "name", "others")
-        .agg(F.collect_set("value").alias("values"), F.collect_list("step").alias("steps"))
-        .where(F.size("values") > 1)
-        .select(*keys, "function", F.explode("steps").alias("step"))
-        .groupBy(*keys, "function")
-        .agg(F.count_distinct("step").alias("near_duplicates"))
-    )
-    near = F.coalesce("near_duplicates", F.lit(0)).cast("long")
-    return counts.join(masked, [*keys, "function"], "left").withColumn("near_duplicates", near)
+
+    def summaries(acts: Column) -> Column:
+        return F.transform(
+            F.array_distinct(F.transform(acts, lambda a: a["function"])),
+            lambda f: X.let(F.filter(acts, lambda a: a["function"] == f), lambda mine: summary(f, mine)),
+        )
+
+    return results.select(*keys, F.inline(X.let(acts, summaries)))
 
 
 def tool_usage(scored: DataFrame, by: Sequence[str] = ("domain", "config")) -> DataFrame:

@@ -16,6 +16,8 @@ def local_session(cores: int | str = 8, app: str = "tracemill", **conf: str) ->
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(cores if cores != "*" else 8))
         .config("spark.sql.adaptive.enabled", "true")
+        # Traces are small in bytes and dear in work: keep all cores busy on small inputs.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -139,7 +139,9 @@ def repeated_actions(results: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFr
             lambda f: X.let(F.filter(acts, lambda a: a["function"] == f), lambda mine: summary(f, mine)),
         )
 
-    return results.select(*keys, F.inline(X.let(acts, summaries)))
+    # inline_outer: for inline the optimiser adds a filter that evaluates the array twice.
+    rows = results.select(*keys, F.inline_outer(X.let(acts, summaries)))
+    return rows.where(F.col("function").isNotNull())
 
 
 def tool_usage(scored: DataFrame, by: Sequence[str] = ("domain", "config")) -> DataFrame:

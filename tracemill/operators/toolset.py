@@ -13,7 +13,9 @@ from tracemill.sources import catalogue as K
 def with_toolset(queries: DataFrame, mode: str = "domains") -> DataFrame:
     """Adds the tool set key: the query's own domains, or all five."""
     if mode == "all":
-        return queries.withColumn("toolset", F.lit("|".join(C.TOOLSET_ORDER)))
+        # Taken together with the query's own domains, so that the key is a column to join on.
+        every = F.array(*[F.lit(d) for d in C.TOOLSET_ORDER])
+        return queries.withColumn("toolset", K.toolset_key(F.array_union("domains", every)))
     if mode == "domains":
         return queries.withColumn("toolset", K.toolset_key(F.col("domains")))
     raise ValueError(f"unknown tool selection mode: {mode}")

@@ -1,4 +1,8 @@
-"""Tables read out of model transcripts."""
+"""Tables read out of model transcripts.
+
+Arrays that are costly to read are exploded with the outer form and then filtered:
+for the plain form the optimiser adds a filter that would read them twice.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,8 @@ from tracemill.functions import text as X
 
 def json_object_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """One row per JSON object embedded in the text, nested objects after their parent."""
-    return df.select(*keys, F.posexplode(J.json_objects(F.col(text))).alias("_p", "object")).select(
+    rows = df.select(*keys, F.posexplode_outer(J.json_objects(F.col(text))).alias("_p", "object"))
+    return rows.where(F.col("_p").isNotNull()).select(
         *keys, (F.col("_p") + 1).cast("long").alias("ord"), "object"
     )
 
@@ -22,7 +27,8 @@ def json_object_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFram
 def tool_call_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """One row per tool call: ``step, tool, args, args_json, action``."""
     calls = df.select(*keys, J.tool_calls(F.col(text)).alias("calls"))
-    return calls.select(*keys, F.posexplode("calls").alias("_p", "c")).select(
+    rows = calls.select(*keys, F.posexplode_outer("calls").alias("_p", "c")).where(F.col("_p").isNotNull())
+    return rows.select(
         *keys, (F.col("_p") + 1).cast("long").alias("step"),
         F.col("c.name").alias("tool"), F.col("c.args").alias("args"), F.col("c.args_json").alias("args_json"),
         X.render_action(F.col("c.name"), F.col("c.args")).alias("action"),
@@ -191,14 +197,19 @@ def sections(
     What stands before the first marker is the phase ``response``.
     """
     any_marker = "|".join(f"(?:{p})" for _, p in markers)
-    parts = F.split(F.col(text), rf"(?<![^\n])(?={any_marker})")
-    rows = df.select(*keys, F.size(parts).alias("_n"), F.posexplode(parts).alias("_p", "part"))
+    parts = X.let(
+        F.split(F.col(text), rf"(?<![^\n])(?={any_marker})"),
+        lambda ps: F.transform(
+            ps, lambda p, i: F.struct((i + 1).cast("long").alias("ord"), p.alias("part"), F.size(ps).alias("_n"))
+        ),
+    )
+    rows = df.select(*keys, F.inline_outer(parts)).where(F.col("part").isNotNull())
     phase = F.lit("response")
     for name, pattern in reversed(markers):
         phase = F.when(F.col("part").rlike(rf"\A(?:{pattern})"), name).otherwise(phase)
     body = F.regexp_replace("part", rf"\A(?:{any_marker})\n?", "")
-    inner = F.when(F.col("_p") + 1 < F.col("_n"), F.regexp_replace(body, r"\n\z", "")).otherwise(body)
-    return rows.select(*keys, (F.col("_p") + 1).cast("long").alias("ord"), phase.alias("phase"), inner.alias("text"))
+    inner = F.when(F.col("ord") < F.col("_n"), F.regexp_replace(body, r"\n\z", "")).otherwise(body)
+    return rows.select(*keys, "ord", phase.alias("phase"), inner.alias("text"))
 
 
 def generation_cost(

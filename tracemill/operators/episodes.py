@@ -183,7 +183,7 @@ def _best_in_block(k: int):
         episodes, queries = right.to_pylist(), left.to_pylist()
         postings: dict[str, tuple[list, list]] = {}
         for i, e in enumerate(episodes):
-            for v in e["vec"]:
+            for v in e["e_vec"]:
                 at, w = postings.setdefault(v["term"], ([], []))
                 at.append(i)
                 w.append(v["w"])
@@ -193,7 +193,7 @@ def _best_in_block(k: int):
         hits = []
         for q in queries:
             score = np.zeros(len(episodes))
-            for v in q["vec"]:
+            for v in q["q_vec"]:
                 if v["term"] in index:
                     at, w = index[v["term"]]
                     score[at] += v["w"] * w
@@ -221,9 +221,11 @@ def _best_in_block(k: int):
 
 def _blockwise(open_queries: DataFrame, episodes: DataFrame, vectors: DataFrame, k: int, block: int) -> DataFrame:
     """Top-k by scoring blocks of bounded size against each other."""
-    vec = vectors.select("run_id", "text_id", "vec")
-    e = episodes.join(vec.withColumnRenamed("text_id", "e_text"), ["run_id", "e_text"])
-    q = open_queries.join(vec.withColumnRenamed("text_id", "q_text"), ["run_id", "q_text"])
+    vec = lambda side: vectors.select(
+        "run_id", F.col("text_id").alias(f"{side}_text"), F.col("vec").alias(f"{side}_vec")
+    )
+    e = episodes.join(vec("e"), ["run_id", "e_text"])
+    q = open_queries.join(vec("q"), ["run_id", "q_text"])
     parts = lambda df, name: df.groupBy("run_id").agg(
         F.ceil(F.count("*") / block).cast("int").alias(name)
     )
@@ -233,10 +235,11 @@ def _blockwise(open_queries: DataFrame, episodes: DataFrame, vectors: DataFrame,
     e = e.join(grid, "run_id").withColumn("eb", part("e_seq", "e_parts")).withColumn("qb", every("q_parts"))
     q = q.join(grid, "run_id").withColumn("qb", part("seq", "q_parts")).withColumn("eb", every("e_parts"))
     keys = ["run_id", "eb", "qb"]
-    left = q.select(*keys, "seq", "available", "vec")
-    right = e.select(*keys, "e_seq", "tools", "vec")
+    left = q.select(*keys, "seq", "available", "q_vec")
+    # Both sides stem from the same tables, so the keys of one get names of their own.
+    right = e.select(*[F.col(c).alias(f"of_{c}") for c in keys], "e_seq", "tools", "e_vec")
     kind = dict(open_queries.dtypes)["run_id"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"of_{c}" for c in keys])).applyInArrow(
         _best_in_block(k), _HITS.format(run=kind)
     )
 

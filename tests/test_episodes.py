@@ -70,7 +70,7 @@ def test_eligible_counts(spark):
     df = spark.createDataFrame(
         rows, "run_id string, seq long, query string, tools array<string>, available array<string>, stored boolean"
     )
-    got = {(r["run_id"], r["seq"]): r["n_eligible"] for r in E.eligible_counts(df.where("stored"), df, bucket=10).collect()}
+    got = {(r["run_id"], r["seq"]): r["n_eligible"] for r in E.eligible_counts(df.where("stored"), df, width=10).collect()}
     for q in rows:
         n = sum(e[5] and e[0] == q[0] and e[1] < q[1] and set(e[3]) <= set(q[4]) for e in rows)
         assert got[(q[0], q[1])] == n
@@ -79,8 +79,8 @@ def test_eligible_counts(spark):
 def test_cold_start(spark):
     df = spark.createDataFrame([("a", i, i % 2 == 0) for i in range(10)], "run_id string, seq long, stored boolean")
 
-    def allowed(minimum, loaded=0, bucket=3):
-        out = E.cold_start(df, F.col("stored"), minimum, loaded, bucket)
+    def allowed(minimum, loaded=0, width=3):
+        out = E.cold_start(df, F.col("stored"), minimum, loaded, width)
         return [r["may_retrieve"] for r in out.orderBy("seq").collect()]
 
     assert allowed(0) == [True] * 10

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill import schemas
 from tracemill.operators import score as S
 from tracemill.plans import standins as I
-from tracemill.session import through_table
+from tracemill.session import shared_dir, through_table
 from tracemill.sources import files
 from tracemill.streaming import jobs
 from conftest import SF
@@ -99,5 +99,6 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_written_table_keeps_rows(spark):
+    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = spark.range(5).withColumn("x", F.array(F.col("id")))
     assert through_table(df).orderBy("id").collect() == df.orderBy("id").collect()

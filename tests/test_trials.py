@@ -46,12 +46,12 @@ def test_choose_draft(spark):
     assert pick(rounds=0) == pick(rounds=1) == {1: ("q1d1", False), 2: ("q2d1", False), 3: ("q3d0", True)}
 
 
-@pytest.mark.parametrize("size, bucket", [(0, 1000), (2, 1000), (3, 4)])
-def test_reflection_buffer(spark, size, bucket):
+@pytest.mark.parametrize("size, width", [(0, 1000), (2, 1000), (3, 4)])
+def test_reflection_buffer(spark, size, width):
     rng = random.Random(size)
     rows = [(q, t, rng.choice(["", "  ", None, f" r{t} "])) for q in range(3) for t in range(1, 30)]
     df = spark.createDataFrame(rows, "query_id int, trial int, reflection string")
-    got = {(r["query_id"], r["trial"]): r["buffer"] for r in T.reflection_buffer(df, size, bucket=bucket).collect()}
+    got = {(r["query_id"], r["trial"]): r["buffer"] for r in T.reflection_buffer(df, size, width=width).collect()}
     for q in range(3):
         kept = []
         for _, t, text in [r for r in rows if r[0] == q]:
@@ -76,11 +76,12 @@ def test_judge_quality(spark):
     assert d["precision"] is None and d["recall"] == 0
 
 
-def test_numbers_in_buckets(spark):
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_numbers_in_ranges(spark, levels):
     rng = random.Random(1)
     rows = [(None if k == 0 else k, o) for k in range(4) for o in rng.sample(range(500), 60)]
     df = spark.createDataFrame(rows, "k int, o int")
-    got = O.row_numbers(df, ["k"], ["o"], F.floor(F.col("o") / 17), "n").collect()
+    got = O.row_numbers(df, ["k"], "o", "n", width=7, levels=levels).collect()
     for k in {r["k"] for r in got}:
         mine = sorted((r["o"], r["n"]) for r in got if r["k"] == k)
         assert [n for _, n in mine] == list(range(1, 61))

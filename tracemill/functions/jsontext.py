@@ -240,7 +240,7 @@ def _clean_call(block: Column) -> Column:
     args = F.transform(
         pairs, lambda p: F.struct(p["name"].alias("name"), F.regexp_replace(p["value"], '^"|"$', "").alias("value"))
     )
-    shown = F.transform(F.array_sort(pairs), lambda p: F.concat(F.lit('"'), p["name"], F.lit('": '), p["value"]))
+    shown = F.transform(F.sort_array(pairs), lambda p: F.concat(F.lit('"'), p["name"], F.lit('": '), p["value"]))
     return F.struct(
         F.regexp_extract(block, _CLEAN_NAME, 1).alias("name"),
         args.alias("args"),

@@ -1,8 +1,9 @@
 """Row numbers and running sums over groups of any size.
 
-A plain window hands each group to one task. These split a group by a coarse
-bucket of its order key, work inside the buckets, and add per-bucket offsets
-that come from one small row per bucket.
+A plain window hands each group to one task. These cut a group into ranges of
+its position, work inside the ranges, and add offsets that come from one small
+row per range; the offsets are summed up the same way one level higher. With
+ranges of 100,000 no window sees more than 100,000 rows for positions up to 10^15.
 """
 
 from __future__ import annotations
@@ -13,42 +14,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+WIDTH = 100_000
 
-def _with_offset(df: DataFrame, keys: Sequence[str], bucket: Column, value: Column) -> DataFrame:
-    df = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("double"))
-    sums = df.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset"),
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on.append(F.col("_bucket") == F.col("_b"))
-    return df.join(offsets, on).drop(*[f"_k{i}" for i in range(len(keys))], "_b")
+
+def _before(value: str, keys: Sequence[str], order: Sequence[str], inclusive: bool = False) -> Column:
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0.0))
+
+
+def _with_offset(df: DataFrame, keys: Sequence[str], part: str, value: str, width: int, levels: int) -> DataFrame:
+    """Adds ``_offset``, the sum of ``value`` over all lower ``part`` numbers of the group."""
+    sums = df.groupBy(*keys, part).agg(F.sum(value).alias("_sum"))
+    if levels > 1:
+        wider = f"_part{levels}"
+        upper = sums.withColumn(wider, F.floor(F.col(part) / width))
+        upper = _with_offset(upper, keys, wider, "_sum", width, levels - 1)
+        before = F.col("_offset") + _before("_sum", [*keys, wider], [part])
+        offsets = upper.withColumn("_offset", before)
+    else:
+        offsets = sums.withColumn("_offset", _before("_sum", keys, [part]))
+    names = [*keys, part]
+    offsets = offsets.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_offset")
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+    return df.join(offsets, on).drop(*[f"_k{i}" for i in range(len(names))])
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-    bucket: Column, name: str, inclusive: bool = False,
+    df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str,
+    ties: Sequence[str] = (), inclusive: bool = False, width: int = WIDTH, levels: int = 2,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before each row of its group.
-
-    ``bucket`` has to grow with ``order``: rows of a lower bucket come first.
-    """
-    df = _with_offset(df, keys, bucket, value)
-    here = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-        W.unboundedPreceding, 0 if inclusive else -1
-    )
-    total = F.col("_offset") + F.coalesce(F.sum("_value").over(here), F.lit(0.0))
-    return df.withColumn(name, total).drop("_bucket", "_value", "_offset")
+    """Sum of ``value`` over the rows before each row of its group, by a whole-number ``position``."""
+    cut = df.withColumns({"_part": F.floor(F.col(position) / width), "_value": value.cast("double")})
+    cut = _with_offset(cut, keys, "_part", "_value", width, levels)
+    total = F.col("_offset") + _before("_value", [*keys, "_part"], [position, *ties], inclusive)
+    return cut.withColumn(name, total).drop("_part", "_value", "_offset")
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str
+    df: DataFrame, keys: Sequence[str], position: str, name: str, width: int = WIDTH, levels: int = 2
 ) -> DataFrame:
-    """1, 2, .. within each group in the given order."""
-    out = running_sum(df, keys, order, F.lit(1), bucket, name, inclusive=True)
+    """1, 2, .. within each group by position."""
+    out = running_sum(df, keys, position, F.lit(1), name, inclusive=True, width=width, levels=levels)
     return out.withColumn(name, F.col(name).cast("long"))
 
 

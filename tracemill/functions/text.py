@@ -125,7 +125,7 @@ def fold_state(attrs: Column) -> Column:
 
 def key_of(names: Column) -> Column:
     """An order-free key of a set of names."""
-    return F.array_join(F.array_sort(F.array_distinct(names)), "|")
+    return F.array_join(F.sort_array(F.array_distinct(names)), "|")
 
 
 def words(text: Column) -> Column:

@@ -39,20 +39,18 @@ def gate_counts(gated: DataFrame, by: Sequence[str] = ("config",)) -> DataFrame:
 
 
 def cold_start(
-    queries: DataFrame, stored: Column, minimum: int, loaded: int = 0, bucket: int = 100_000
+    queries: DataFrame, stored: Column, minimum: int, loaded: int = 0, width: int = O.WIDTH
 ) -> DataFrame:
     """Store size seen by each query, and whether it is large enough to retrieve from.
 
     ``loaded`` episodes were there before the run; a minimum of 0 always allows.
     """
-    out = O.running_sum(
-        queries, ["run_id"], ["seq"], stored.cast("int"), F.floor(F.col("seq") / bucket), "store_size"
-    )
+    out = O.running_sum(queries, ["run_id"], "seq", stored.cast("int"), "store_size", width=width)
     size = (F.col("store_size") + loaded).cast("long")
     return out.withColumn("store_size", size).withColumn("may_retrieve", size >= minimum)
 
 
-def eligible_counts(episodes: DataFrame, queries: DataFrame, bucket: int = 100_000) -> DataFrame:
+def eligible_counts(episodes: DataFrame, queries: DataFrame, width: int = O.WIDTH) -> DataFrame:
     """How many earlier episodes of its run each query could use.
 
     Counts per tool signature are running sums over the merged sequence of
@@ -65,8 +63,9 @@ def eligible_counts(episodes: DataFrame, queries: DataFrame, bucket: int = 100_0
         "run_id", X.key_of(F.col("tools")).alias("episode_tools"), "seq", F.lit(1).alias("stored")
     )
     counted = O.running_sum(
-        asked.unionByName(kept), ["run_id", "episode_tools"], ["seq", "stored"], F.col("stored"),
-        F.floor(F.col("seq") / bucket), "before",
+        asked.unionByName(kept), ["run_id", "episode_tools"], "seq", F.col("stored"), "before",
+        # A query comes before an episode of the same number.
+        ties=["stored"], width=width,
     )
     per_query = counted.where("stored = 0").groupBy("run_id", "seq").agg(F.sum("before").alias("n"))
     n = F.coalesce("n", F.lit(0)).cast("long")
@@ -309,7 +308,7 @@ def few_shot(examples: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         kinds.join(ex, "domain_key").where(TS.fits(F.col("tools"), F.col("available")))
         .withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
         .groupBy("domain_key", "avail_key")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "pos"))).alias("picks"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "pos"))).alias("picks"))
     )
     found = O.salted_lookup(
         q.select("query_id", "domain_key", "avail_key"), chosen, ["domain_key", "avail_key"], F.col("query_id")

@@ -87,7 +87,7 @@ def fold_entities(writes: DataFrame, base_state: DataFrame, keys: Sequence[str])
         .repartition(*trace)
         .groupBy(*trace, "target", "entity_id", "_own")
         .agg(
-            F.array_sort(F.collect_list(one)).alias("ops"),
+            F.sort_array(F.collect_list(one)).alias("ops"),
             F.first("attrs").alias("attrs"),
             F.first("key_arg").alias("key_arg"),
         )
@@ -161,7 +161,7 @@ def replay(
     )
     traces = per_entity.groupBy(*keys).agg(
         F.flatten(F.collect_list("old_rows")).alias("old_rows"),
-        F.array_sort(F.collect_list("new_row")).alias("new_rows"),
+        F.sort_array(F.collect_list("new_row")).alias("new_rows"),
         F.bool_or("changed").alias("changed"),
     )
     # Position of an added row among the rows added to the same target.
@@ -174,7 +174,7 @@ def replay(
             lambda r, i: _cells(r["target"], F.lit("insert"), place(r, i).cast("string"), r["cells"], True),
         )
     )
-    return traces.select(*keys, F.array_sort(F.concat("old_rows", added)).alias("delta"), "changed")
+    return traces.select(*keys, F.sort_array(F.concat("old_rows", added)).alias("delta"), "changed")
 
 
 def deltas(replayed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -120,7 +120,7 @@ def repeated_actions(results: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFr
         "function_calls",
         lambda a: F.struct(
             X.function_name(a).alias("function"), a.alias("action"),
-            F.array_sort(X.action_args(a)).alias("args"),
+            F.sort_array(X.action_args(a)).alias("args"),
         ),
     )
 

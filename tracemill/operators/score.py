@@ -59,7 +59,7 @@ def side_effect_actions(actions: Column, names: Column) -> Column:
 
 def exact_match(prediction: Column, gold: Column, side_effect_names: Column) -> Column:
     """Equal as multisets without regard to case; only the prediction is reduced to writes."""
-    norm = lambda c: F.array_sort(F.transform(c, F.lower))
+    norm = lambda c: F.sort_array(F.transform(c, F.lower))
     return norm(side_effect_actions(prediction, side_effect_names)) == norm(gold)
 
 
@@ -97,14 +97,18 @@ def outcomes(
     return R.replay(R.explode_actions(escaped, keys, "_a"), tools, base_state, keys)
 
 
+def gold_outcomes(gold: DataFrame, tools: DataFrame, base_state: DataFrame, on: str = "query_id") -> DataFrame:
+    """State change of each gold list. Worth keeping if several jobs score against the same gold."""
+    return outcomes(gold, "answer", tools, base_state, [on]).select(on, F.col("delta").alias("gold_delta"))
+
+
 def with_outcomes(
     results: DataFrame, gold: DataFrame, tools: DataFrame, base_state: DataFrame,
-    keys: Sequence[str] = KEYS, on: str = "query_id",
+    keys: Sequence[str] = KEYS, on: str = "query_id", gold_out: DataFrame | None = None,
 ) -> DataFrame:
     """``harmonise`` plus the state change of both sides; each gold list is replayed once."""
     predicted = outcomes(results, "function_calls", tools, base_state, keys)
-    wanted = outcomes(gold, "answer", tools, base_state, [on])
-    gold_out = wanted.select(on, F.col("delta").alias("gold_delta"))
+    gold_out = gold_outcomes(gold, tools, base_state, on) if gold_out is None else gold_out
     nothing = F.array().cast(R.DELTA)
     return (
         harmonise(results.join(predicted, list(keys), "left"), gold, on)
@@ -123,7 +127,7 @@ def with_outcomes(
 def score(
     results: DataFrame, gold: DataFrame, tools: DataFrame, base_state: DataFrame,
     keys: Sequence[str] = KEYS, on: str = "query_id",
-    error_classes: Mapping[str, Column] | None = None,
+    error_classes: Mapping[str, Column] | None = None, gold_out: DataFrame | None = None,
 ) -> DataFrame:
     """One row per prediction with its correctness and error flags.
 
@@ -132,7 +136,7 @@ def score(
     """
     pred, gt = F.col("prediction"), F.col("ground_truth")
     out = (
-        with_outcomes(results, gold, tools, base_state, keys, on)
+        with_outcomes(results, gold, tools, base_state, keys, on, gold_out)
         .withColumn("side_effect_names", side_effect_names(tools))
         .withColumns(
             {

@@ -44,8 +44,8 @@ def eligible_signatures(episodes: DataFrame, queries: DataFrame) -> DataFrame:
     Division by counting: a pair qualifies if it meets on as many tools as the
     episode uses. Only distinct signatures meet, not episodes and queries.
     """
-    e = episodes.select(F.array_sort(F.array_distinct("tools")).alias("t")).distinct()
-    q = queries.select(F.array_sort(F.array_distinct("available")).alias("a")).distinct()
+    e = episodes.select(F.sort_array(F.array_distinct("tools")).alias("t")).distinct()
+    q = queries.select(F.sort_array(F.array_distinct("available")).alias("a")).distinct()
     e = e.select(F.array_join("t", "|").alias("episode_tools"), F.size("t").alias("n"), F.explode("t").alias("tool"))
     q = q.select(F.array_join("a", "|").alias("query_tools"), F.explode("a").alias("tool"))
     return (

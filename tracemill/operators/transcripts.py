@@ -126,7 +126,7 @@ def plans(steps: DataFrame, keys: Sequence[str], max_iterations: int | None = No
     A plan is one model text, so its steps are few.
     """
     row = F.struct("part", "var", "tool_name", "args_template", "thought")
-    out = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("steps"))
+    out = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("steps"))
     if max_iterations is None:
         return out.withColumn("too_long", F.lit(False))
     return out.select(
@@ -152,7 +152,7 @@ def substitute_evidence(template: Column, evidence: Column) -> Column:
         ),
     )
     return F.aggregate(
-        F.array_sort(last), template,
+        F.sort_array(last), template,
         lambda s, e: F.replace(s, F.concat(F.lit("#"), e["var"]), e["observation"]),
     )
 

@@ -87,28 +87,27 @@ def choose_draft(
 
 
 def reflection_buffer(
-    trials: DataFrame, size: int, keys: Sequence[str] = ("query_id",), bucket: int = 1_000
+    trials: DataFrame, size: int, keys: Sequence[str] = ("query_id",), width: int = O.WIDTH
 ) -> DataFrame:
     """The last ``size`` non-empty reflections written before each trial, oldest first.
 
     Non-empty reflections are numbered within their query; a trial that has seen c of
     them joins numbers c - size + 1 .. c. Queries with very many trials are
-    numbered in buckets and spread over c.
+    numbered in ranges and spread over c.
     """
     keys, none = list(keys), F.array().cast("array<string>")
     if size < 1:
         return trials.withColumn("buffer", none)
     written = X.stripped(F.coalesce("reflection", F.lit("")))
     numbered = O.running_sum(
-        trials.withColumn("_text", written), keys, ["trial"], (F.col("_text") != "").cast("int"),
-        F.floor(F.col("trial") / bucket), "seen",
+        trials.withColumn("_text", written), keys, "trial", (F.col("_text") != "").cast("int"), "seen", width=width
     ).withColumn("seen", F.col("seen").cast("long"))
     notes = (
         numbered.where("_text <> ''")
         .select(*keys, (F.col("seen") + 1).alias("no"), "_text")
         .withColumn("seen", F.explode(F.sequence(F.col("no"), F.col("no") + size - 1)))
         # The notes that trials with the same count see: at most ``size`` of them.
-        .groupBy(*keys, "seen").agg(F.array_sort(F.collect_list(F.struct("no", "_text"))).alias("notes"))
+        .groupBy(*keys, "seen").agg(F.sort_array(F.collect_list(F.struct("no", "_text"))).alias("notes"))
     )
     return (
         numbered.join(notes, [*keys, "seen"], "left")

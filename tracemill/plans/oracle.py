@@ -219,10 +219,10 @@ qtools AS (
 
 MEM = f"""
 mem AS (
-  SELECT conv_id % 3 AS run_id, conv_id * 1000 + turn AS seq, text AS query,
-         {VERB.format(v='((conv_id * 1000 + turn) % 5)')} AS t1,
-         {VERB.format(v='((conv_id * 1000 + turn + 1) % 5)')} AS t2,
-         (conv_id * 1000 + turn) % 4 <> 0 AS stored
+  SELECT conv_id % 3 AS run_id, conv_id * 1000000 + turn AS seq, text AS query,
+         {VERB.format(v='((conv_id * 1000000 + turn) % 5)')} AS t1,
+         {VERB.format(v='((conv_id * 1000000 + turn + 1) % 5)')} AS t2,
+         (conv_id * 1000000 + turn) % 4 <> 0 AS stored
   FROM conversations WHERE role = 'user'),
 eps AS (SELECT * FROM mem WHERE stored)"""
 
@@ -604,6 +604,11 @@ ORACLE: dict[str, str] = {
         y AS (SELECT *, CASE WHEN t10 THEN replace(args_template, '#E10', 'o10') ELSE args_template END AS a FROM x),
         z AS (SELECT *, CASE WHEN t1 THEN replace(a, '#E1', 'o1') ELSE a END AS resolved FROM y)
         SELECT query_id, step, var, resolved, tool_name = 'list_all' AS needs_repair FROM z""",
+    "solver_prompts": f"""WITH {PLANS}, n AS (SELECT query_id, chr(10) AS l, string_agg(thought, '; ' ORDER BY step) AS plan,
+          string_agg('#' || var || ' = saw ' || tool_name, chr(10) ORDER BY step) AS seen
+          FROM steps WHERE step <= 3 GROUP BY ALL)
+        SELECT query_id, 'Task:' || l || 'request ' || query_id || l || l || 'Plan:' || l || plan || l || l || 'Evidence:' || l
+          || seen || l || l || 'Write the answer.' AS user_query FROM n""",
     "transcript_sections": f"WITH {SECTIONS} SELECT query_id, ord, phase, text FROM sections",
     "custom_markers": f"WITH {EV} SELECT CASE WHEN w THEN 'ok' ELSE 'note' END AS phase, count(*) AS n FROM evw GROUP BY ALL "
     "UNION ALL SELECT 'response', count(*) FROM qs",

@@ -389,7 +389,7 @@ def similar_episodes(spark, sf):
 
 @query
 def cold_start(spark, sf):
-    m = E.cold_start(I.memory_queries(spark, sf), F.col("stored"), 5, bucket=10_000)
+    m = E.cold_start(I.memory_queries(spark, sf), F.col("stored"), 5)
     return m.select("run_id", "seq", "store_size", "may_retrieve")
 
 
@@ -576,6 +576,16 @@ def resolved_steps(spark, sf):
     )
 
 
+@query
+def solver_prompts(spark, sf):
+    q = F.concat(F.lit("request "), F.col("query_id").cast("string"))
+    seen = F.transform(
+        "steps", lambda s: F.struct(s["var"].alias("var"), F.concat(F.lit("saw "), s["tool_name"]).alias("observation"))
+    )
+    p = _plans(spark, sf, 3)
+    return p.select("query_id", D.solver_query(q, F.array_join("steps.thought", "; "), seen).alias("user_query"))
+
+
 @query
 def transcript_sections(spark, sf):
     return TX.sections(I.responses(spark, sf), "full_response", ["query_id"])

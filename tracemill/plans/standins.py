@@ -21,8 +21,17 @@ EVENT_VERB = {"signup": 0, "purchase": 1, "error": 2, "click": 3, "view": 4}
 KINDS = ("insert", "update", "delete", "read", "read")
 
 
+# Columns used of each driver table; naming them spares a schema job per read.
+TABLES = {
+    "events": "event_id bigint, event_type string, props string",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _pick(options, index: Column) -> Column:
@@ -70,7 +79,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, evs``: the up to eight events of each trace, in order."""
     ev = F.struct("step", "event_id", "verb", "k")
-    return events(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(ev)).alias("evs"))
+    return events(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(ev)).alias("evs"))
 
 
 def domain_of(query_id: Column) -> Column:
@@ -177,7 +186,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memory_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run_id, seq, query, tools, available, stored`` of every user turn."""
-    seq = F.col("conv_id") * 1000 + F.col("turn")
+    seq = F.col("conv_id") * 1_000_000 + F.col("turn")
     verbs = F.array(*[F.lit(v) for v in VERBS])
     return load(spark, sf_dir, "conversations").where("role = 'user'").select(
         (F.col("conv_id") % 3).alias("run_id"), seq.alias("seq"), F.col("text").alias("query"),

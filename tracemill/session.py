@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "tracemill", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         # Traces are small in bytes and dear in work: keep all cores busy on small inputs.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -43,7 +44,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = os.path.join(tempfile.gettempdir(), "tracemill")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

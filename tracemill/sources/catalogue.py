@@ -60,7 +60,7 @@ def toolset_texts(tools: DataFrame) -> DataFrame:
         F.lit("- "), "tool", F.lit(": "), F.coalesce("description", F.lit("")), F.lit("\n  Arguments: "),
         F.when(F.size("params") > 0, params).otherwise("No arguments."),
     )
-    listed = F.array_sort(F.collect_list(F.struct("rank", "pos", line.alias("line"), "tool")))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "pos", line.alias("line"), "tool")))
     return (
         toolsets(tools).groupBy("toolset").agg(listed.alias("l"))
         .select(

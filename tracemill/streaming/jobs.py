@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tracemill import schemas
 from tracemill.operators import episodes as E
 from tracemill.operators import score as S
+from tracemill.session import through_table
 from tracemill.sources import files
 
 
@@ -37,10 +38,14 @@ def score_stream(
     stream: DataFrame, gold: DataFrame, tools: DataFrame, base_state: DataFrame, out: str,
     checkpoint: str, keys: Sequence[str] = S.KEYS, on: str = "query_id",
 ) -> StreamingQuery:
-    """Scores new result rows against static gold lists into ``out/batch=<n>``."""
+    """Scores new result rows against static gold lists into ``out/batch=<n>``.
+
+    The gold lists are replayed once, before the first batch.
+    """
+    wanted = through_table(S.gold_outcomes(gold, tools, base_state, on))
 
     def work(batch: DataFrame, number: int) -> None:
-        scored = S.score(batch, gold, tools, base_state, keys, on)
+        scored = S.score(batch, gold, tools, base_state, keys, on, gold_out=wanted)
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _run(stream, work, checkpoint)

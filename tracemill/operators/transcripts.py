@@ -104,18 +104,26 @@ def plan_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     ``part`` numbers the pieces between ``Plan:`` marks, ``step`` the steps kept, both from 1.
     """
     s = X.SPACE
-    opening = rf"(?sU)^(.*?)#E(\d+){s}*={s}*([A-Za-z_]\w*){s}*\[(.*)\z"
+    opening = rf"(?U)#E(\d+){s}*={s}*([A-Za-z_]\w*){s}*\["
+
+    def cut(part: Column, i: Column) -> Column:
+        # The pattern is searched once; its first match is also the first place of the matched text.
+        return X.let(
+            F.regexp_extract(part, opening, 0),
+            lambda head: F.struct(
+                (i + 1).cast("long").alias("part"), head.alias("head"),
+                F.substring_index(part, head, 1).alias("thought"), part.alias("text"),
+            ),
+        )
+
     parts = F.split(F.col(text), rf"(?U)(?:^|\n){s}*Plan{s}*:{s}*")
-    pieces = df.select(*keys, F.posexplode(F.slice(parts, 2, 2**31 - 1)).alias("_p", "part_text"))
-    found = pieces.where(F.col("part_text").rlike(opening)).select(
-        *keys, (F.col("_p") + 1).cast("long").alias("part"),
-        *[
-            F.regexp_extract("part_text", opening, i).alias(n)
-            for i, n in enumerate(("thought", "var", "tool_name", "_rest"), 1)
-        ],
-    )
-    return found.withColumn("_body", J.closed_body(F.col("_rest"))).where(F.col("_body").isNotNull()).select(
-        *keys, "part", F.concat(F.lit("E"), "var").alias("var"), "tool_name",
+    found = F.filter(F.transform(F.slice(parts, 2, 2**31 - 1), cut), lambda c: c["head"] != "")
+    rows = df.select(*keys, F.inline_outer(found)).where(F.col("part").isNotNull())
+    body = J.closed_body(F.substr(F.col("text"), F.length("thought") + F.length("head") + 1))
+    return rows.withColumn("_body", body).where(F.col("_body").isNotNull()).select(
+        *keys, "part",
+        F.concat(F.lit("E"), F.regexp_extract("head", opening, 1)).alias("var"),
+        F.regexp_extract("head", opening, 2).alias("tool_name"),
         X.stripped(F.col("_body")).alias("args_template"), X.stripped(F.col("thought")).alias("thought"),
     )
 
@@ -151,10 +159,11 @@ def substitute_evidence(template: Column, evidence: Column) -> Column:
             lambda later: later["var"] == e["var"],
         ),
     )
-    return F.aggregate(
+    filled = F.aggregate(
         F.sort_array(last), template,
         lambda s, e: F.replace(s, F.concat(F.lit("#"), e["var"]), e["observation"]),
     )
+    return F.when(F.contains(template, F.lit("#E")), filled).otherwise(template)
 
 
 def resolved_steps(planned: DataFrame, keys: Sequence[str]) -> DataFrame:

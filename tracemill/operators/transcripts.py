@@ -112,7 +112,7 @@ def plan_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
             F.regexp_extract(part, opening, 0),
             lambda head: F.struct(
                 (i + 1).cast("long").alias("part"), head.alias("head"),
-                F.substring_index(part, head, 1).alias("thought"), part.alias("text"),
+                F.call_function("substring_index", part, head, F.lit(1)).alias("thought"), part.alias("text"),
             ),
         )
 

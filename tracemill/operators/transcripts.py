@@ -117,7 +117,8 @@ def plan_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
         )
 
     parts = F.split(F.col(text), rf"(?U)(?:^|\n){s}*Plan{s}*:{s}*")
-    found = F.filter(F.transform(F.slice(parts, 2, 2**31 - 1), cut), lambda c: c["head"] != "")
+    after_first = X.let(parts, lambda ps: F.slice(ps, F.lit(2), F.size(ps)))
+    found = F.filter(F.transform(after_first, cut), lambda c: c["head"] != "")
     rows = df.select(*keys, F.inline_outer(found)).where(F.col("part").isNotNull())
     body = J.closed_body(F.substr(F.col("text"), F.length("thought") + F.length("head") + 1))
     return rows.withColumn("_body", body).where(F.col("_body").isNotNull()).select(

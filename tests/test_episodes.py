@@ -53,15 +53,18 @@ def brute(rows, k):
 
 
 @pytest.mark.parametrize(
-    "seed, copies, k, max_postings, block",
-    [(1, False, 3, 2000, 4096), (2, True, 2, 2000, 4096), (3, False, 3, 8, 16), (4, True, 3, 3, 7), (5, True, 1, 0, 4096)],
+    "seed, copies, k, max_postings, block, max_asked",
+    [
+        (1, False, 3, 2000, 4096, 64), (2, True, 2, 2000, 4096, 5), (3, False, 3, 8, 16, 64), (4, True, 3, 3, 7, 0),
+        (5, True, 1, 0, 4096, 64),
+    ],
 )
-def test_similar_episodes_are_exact(spark, seed, copies, k, max_postings, block):
+def test_similar_episodes_are_exact(spark, seed, copies, k, max_postings, block, max_asked):
     rows = make(seed, 150, copies)
     df = spark.createDataFrame(
         rows, "run_id string, seq long, query string, tools array<string>, available array<string>, stored boolean"
     )
-    got = E.similar_episodes(df.where("stored"), df, k, max_postings, block).collect()
+    got = E.similar_episodes(df.where("stored"), df, k, max_postings, block, max_asked).collect()
     assert {(r["run_id"], r["seq"], r["e_seq"], r["rank"]) for r in got} == brute(rows, k)
 
 

@@ -6,6 +6,7 @@ An episode is ``run_id, seq, query, tools`` (plus payload); a query is
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -93,7 +94,7 @@ def text_vectors(episodes: DataFrame, queries: DataFrame, max_postings: int) ->
     )
     texts = (
         own(episodes, 1, 0).unionByName(own(queries, 0, 1)).groupBy("run_id", "text_id")
-        .agg(F.first("query").alias("query"), F.sum("n").alias("copies"), F.max("q").alias("asked"))
+        .agg(F.first("query").alias("query"), F.sum("n").alias("copies"), F.sum("q").alias("asked"))
     )
     terms = (
         texts.select("run_id", "text_id", "copies", "asked", F.explode(X.words(F.col("query"))).alias("term"))
@@ -131,7 +132,7 @@ def text_vectors(episodes: DataFrame, queries: DataFrame, max_postings: int) ->
 def _candidates(vectors: DataFrame) -> DataFrame:
     """Exact similarity of text pairs that share a term that is not hot."""
     rare = lambda name: F.inline(F.filter("vec", lambda v: ~v["hot"])).alias("term", name, "_h")
-    q = vectors.where("asked = 1").select("run_id", F.col("text_id").alias("q_text"), rare("qw"))
+    q = vectors.where("asked > 0").select("run_id", F.col("text_id").alias("q_text"), rare("qw"))
     e = vectors.where("copies > 0").select("run_id", F.col("text_id").alias("e_text"), rare("ew"))
     dots = (
         q.drop("_h").join(e.drop("_h"), ["run_id", "term"])
@@ -167,6 +168,40 @@ def _earliest_copies(episodes: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _ever_best(k: int):
+    """Keeps the episodes of one group that are among the k best of those up to their own time."""
+
+    def keep(group: pa.Table) -> pa.Table:
+        group = group.sort_by("e_seq")
+        best: list[float] = []
+        rows = []
+        for i, score in enumerate(group.column("score").to_pylist()):
+            if len(best) < k:
+                heapq.heappush(best, score)
+            elif score > best[0]:
+                heapq.heapreplace(best, score)
+            else:
+                continue
+            rows.append(i)
+        return group.take(rows)
+
+    return keep
+
+
+def _thinned(pairs: DataFrame, often: DataFrame, k: int) -> DataFrame:
+    """Candidates without those that no query can retrieve, for texts that many queries ask.
+
+    An episode behind k earlier ones with the same tools and no lower score loses to them
+    in every query that sees it. What is left grows with the logarithm of the candidates.
+    """
+    pairs = through_table(pairs)
+    thin = (
+        pairs.join(often, ["run_id", "q_text"], "left_semi").groupBy("run_id", "q_text", "e_sig")
+        .applyInArrow(_ever_best(k), pairs.schema)
+    )
+    return pairs.join(often, ["run_id", "q_text"], "left_anti").unionByName(thin)
+
+
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("run_id", "seq").orderBy(F.desc("score"), "e_seq")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
@@ -244,14 +279,16 @@ def _blockwise(open_queries: DataFrame, episodes: DataFrame, vectors: DataFrame,
 
 
 def similar_episodes(
-    episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 2_000, block: int = 4_096
+    episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 2_000, block: int = 4_096,
+    max_asked: int = 64,
 ) -> DataFrame:
     """The k most similar usable earlier episodes of each query: ``run_id, seq, e_seq, score, rank``.
 
     Cosine of TF-IDF vectors, rounded to six places, ties to the earlier episode;
     episodes that share no term are not returned. The result is exact:
 
-    1. Texts meet on terms that are not hot, through an inverted index.
+    1. Texts meet on terms that are not hot, through an inverted index. For a text that more than
+       ``max_asked`` queries ask, candidates that none of them can retrieve are dropped first.
     2. A query is settled if its k-th score beats the most that hot terms alone could
        give, which is the length of the hot part of its vector.
     3. The others, if any, are scored block against block, keeping k per query and block.
@@ -262,8 +299,12 @@ def similar_episodes(
     first = _earliest_copies(episodes, k)
     asked = queries.select("run_id", "seq", "available", _text_id("query").alias("q_text"))
     seen = (F.col("e_seq") < F.col("seq")) & TS.fits(F.col("tools"), F.col("available"))
+    pairs = _candidates(vectors).join(first, ["run_id", "e_text"])
+    often = vectors.where(F.col("asked") > max_asked).select("run_id", F.col("text_id").alias("q_text"))
+    if not often.isEmpty():
+        pairs = _thinned(pairs, often, k)
     hits = (
-        _candidates(vectors).join(first, ["run_id", "e_text"]).join(asked, ["run_id", "q_text"])
+        pairs.join(asked, ["run_id", "q_text"])
         .where(seen & (F.col("score") > 0)).select("run_id", "seq", "e_seq", "score")
     )
     ranked = _ranked(hits, k)

@@ -279,7 +279,7 @@ def _blockwise(open_queries: DataFrame, episodes: DataFrame, vectors: DataFrame,
 
 
 def similar_episodes(
-    episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 2_000, block: int = 4_096,
+    episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 500, block: int = 4_096,
     max_asked: int = 64,
 ) -> DataFrame:
     """The k most similar usable earlier episodes of each query: ``run_id, seq, e_seq, score, rank``.

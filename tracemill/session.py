@@ -34,16 +34,10 @@ def local_session(cores: int | str = 8, app: str = "tracemill", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below the folder named by ``spark.checkpoint.dir``.
-
-    Only a session in local mode may go without that setting; a cluster has to
-    name a folder that all its executors reach.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path below the folder that the session names in ``spark.checkpoint.dir`` or by ``setCheckpointDir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = os.path.join(tempfile.gettempdir(), "tracemill")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import licenses, mixing, nearest, urls
+from tracemill.llm import contamination, language, licenses, mixing, nearest, ngram_join, urls
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -18,10 +18,22 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_identified(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & nearest.usable(F.col("embedding")))
     v = e.select("vec_id", nearest.floored(F.col("embedding"), 64).alias("v"))
@@ -32,7 +44,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {q.__name__: q for q in (op1_url_filters, op4_license_scans, op8_exact_top_k, op10_mixing)}
+QUERIES = {q.__name__: q for q in (
+    op1_url_filters, op2_decontamination, op3_ngram_jaccard_join, op4_license_scans, op5_language_id, op8_exact_top_k, op10_mixing,
+)}
 
 ORACLE = {
     "op8_exact_top_k": """

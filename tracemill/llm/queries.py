@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import contamination, language, licenses, mixing, nearest, ngram_join, urls
+from tracemill.llm import contamination, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -34,18 +34,32 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_identified(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scored(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & nearest.usable(F.col("embedding")))
     v = e.select("vec_id", nearest.floored(F.col("embedding"), 64).alias("v"))
     return nearest.nearest(v, v.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_url_filters, op2_decontamination, op3_ngram_jaccard_join, op4_license_scans, op5_language_id, op8_exact_top_k, op10_mixing,
+    op1_url_filters, op2_decontamination, op3_ngram_jaccard_join, op4_license_scans, op5_language_id, op6_lm_scoring, op7_quality_classifier,
+    op8_exact_top_k, op9_pii, op10_mixing,
 )}
 
 ORACLE = {

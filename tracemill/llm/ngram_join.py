@@ -57,11 +57,14 @@ def shingle_set(text, k: int) -> np.ndarray:
 
 
 def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a set, given as sorted hashes."""
+    """The cells of a set, given as sorted hashes. The lowest bit says whether the cell is of the set's own size class.
+
+    A set is also filed in larger classes that hold sets it may link to; there it matters only next to one of their own.
+    """
     n, starts, out = len(s), class_starts(), []
     group = s >> np.uint64(32)
     sums = np.r_[np.uint64(0), np.cumsum(mixed(group + np.uint64(1)))]
-    at = bisect_right(starts, n) - 1
+    own = at = bisect_right(starts, n) - 1
     while n and percent * starts[at] <= 100 * n:
         most = starts[at + 1] - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
@@ -72,6 +75,7 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
             salt = mixed(np.arange(ranges).astype(np.uint64) + np.uint64((at + 1) << 40))
             key = mixed((sums[edges[1:]] - sums[edges[:-1]]) ^ salt)
             filled = edges[1:] > edges[:-1]
+            key = (key & ~np.uint64(1)) | np.uint64(at == own)
             out.append(key[filled] if int((~filled).sum()) <= spare else key)
         at += 1
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -124,12 +128,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def point_size(n: int) -> int:
-    """Coordinates of the folded point of a set of n shingles."""
-    return min(64, max(8, 1 << max(0, (n // 16).bit_length())))
+    """Coordinates of the point of a set of n shingles: two for each, as a power of two."""
+    return 1 << max(4, (2 * n - 1).bit_length())
 
 
 def points(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and the folded point of each document, as 32-bit counts."""
+    """doc_id, n and the point of each document, as counts of one byte."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,22 +141,35 @@ def points(docs: DataFrame, k: int) -> DataFrame:
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 s = shingle_set(text, k)
                 size = point_size(len(s))
-                v = np.bincount((s >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size)
-                rows.append((doc_id, len(s), v.astype(np.int32).tobytes()))
+                while True:
+                    v = np.bincount((s >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size)
+                    if v.max() < 256:
+                        break
+                    size *= 2
+                rows.append((doc_id, len(s), v.astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "point"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, point binary")
 
 
-def tree_pairs(n: np.ndarray, root: np.ndarray, v: np.ndarray, percent: int, other: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Places of the pairs, of different roots, whose bound allows a link.
+def folded(v: np.ndarray, size: int) -> np.ndarray:
+    """Points with neighbouring coordinates added up to ``size`` of them."""
+    return v.reshape(len(v), size, -1).sum(2, dtype=np.int64) if v.shape[1] > size else v.astype(np.int64)
+
 
+def tree_pairs(
+    n: np.ndarray, root: np.ndarray, points: np.ndarray, percent: int, other: np.ndarray | None = None, folds: int = 32
+) -> Iterator[tuple[int, int, int]]:
+    """Places and bounds of the pairs, of different roots, whose bound allows a link.
+
+    The tree is built on points folded to few coordinates; what it lets through is tried on the unfolded points.
     The points are packed by size into leaves of ``FANOUT``, leaves into nodes, and a point goes down where the sum of
     the smaller of its coordinates and the node's largest ones still allows a link with the node's least size. With
     ``other``, a boolean side, only pairs across the sides are wanted.
     """
-    order = np.lexsort((v[:, 0], n))
-    n, root, v = n[order], root[order], v[order]
+    order = np.lexsort((points[:, 0], n))
+    n, root, points = n[order], root[order], points[order]
+    v = folded(points, min(folds, points.shape[1]))
     side = None if other is None else other[order]
     # Levels from the leaves up: (largest coordinates, least size, largest size) of every FANOUT entries below.
     levels = [(v, n, n)]
@@ -177,8 +194,10 @@ def tree_pairs(n: np.ndarray, root: np.ndarray, v: np.ndarray, percent: int, oth
             at = at[(at > i) & (root[at] != root[i])]
             if side is not None:
                 at = at[side[at] != side[i]]
-            for j in at:
-                yield int(order[i]), int(order[j])
+            bound = np.minimum(points[at], points[i]).sum(1, dtype=np.int64)
+            ok = bound * (100 + percent) >= percent * (n[i] + n[at])
+            for j, most in zip(at[ok], bound[ok]):
+                yield int(order[i]), int(order[j]), int(most)
 
 
 def _cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,22 +222,26 @@ def _cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _searched(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs in cells. ``members``: cell, side_a, side_b (blocks of the cell), side, doc_id, root, n, point."""
 
+    columns = ["a", "b", "root_a", "root_b", "bound"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for c in _cells(batches):
-            size = min(len(p) for p in c["point"]) // 4
-            v = np.array([np.frombuffer(p, np.int32).reshape(size, -1).sum(1) for p in c["point"]], dtype=np.int64)
-            ids = c["doc_id"].to_numpy(np.int64)
+            raw = [np.frombuffer(p, np.uint8) for p in c["point"]]
+            size = min(map(len, raw))
+            v = np.array([p if len(p) == size else p.reshape(size, -1).sum(1, dtype=np.uint16) for p in raw])
+            ids, root = c["doc_id"].to_numpy(np.int64), c["root"].to_numpy(np.int64)
             other = None if c["side_a"].iat[0] == c["side_b"].iat[0] else (c["side"] == c["side_b"]).to_numpy()
-            for i, j in tree_pairs(c["n"].to_numpy(np.int64), c["root"].to_numpy(np.int64), v, percent, other):
-                found.add((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+            for i, j, bound in tree_pairs(c["n"].to_numpy(np.int64), root, v, percent, other):
+                i, j = (i, j) if ids[i] < ids[j] else (j, i)
+                found[int(ids[i]), int(ids[j])] = (int(root[i]), int(root[j]), bound)
             if len(found) > 100_000:
-                yield pd.DataFrame(sorted(found), columns=["a", "b"])
-                found = set()
+                yield pd.DataFrame([(*k, *x) for k, x in found.items()], columns=columns)
+                found = {}
         if found:
-            yield pd.DataFrame(sorted(found), columns=["a", "b"])
+            yield pd.DataFrame([(*k, *x) for k, x in found.items()], columns=columns)
 
-    return members.mapInPandas(run, "a long, b long")
+    return members.mapInPandas(run, "a long, b long, root_a long, root_b long, bound long")
 
 
 def _with_roots(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
@@ -236,9 +259,13 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
     )
     by_cell = Window.partitionBy("cell")
     filed = through_table(
-        sets.select(F.explode("cells").alias("cell"), "doc_id")
-        .select("cell", "doc_id", F.min("doc_id").over(by_cell).alias("leader"), F.count("*").over(by_cell).alias("members"))
-        .where("members > 1")
+        sets.select(F.explode("cells").alias("key"), "doc_id")
+        .select(F.shiftright("key", 1).alias("cell"), F.col("key").bitwiseAND(F.lit(1)).alias("own"), "doc_id")
+        .select(
+            "cell", "doc_id", F.min("doc_id").over(by_cell).alias("leader"), F.count("*").over(by_cell).alias("members"),
+            F.max("own").over(by_cell).alias("own"),
+        )
+        .where("members > 1 and own = 1").drop("own")
     )
     stars = through_table(filed.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = through_table(verified(stars, texts, k, percent))
@@ -258,8 +285,15 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
     spread = through_table(spread)
     placed = points(texts.join(spread.select("doc_id").distinct(), "doc_id", "left_semi"), k)
     ready = spread.join(placed, "doc_id").repartition("cell").sortWithinPartitions("cell")
-    pairs = _searched(ready, percent).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(through_table(pairs), texts, k, percent)
+    pairs = through_table(_searched(ready, percent).join(stars, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
+    # The likeliest pair of two classes first: if it links, the others of the two need no test.
+    likeliest = pairs.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max(F.struct("bound", "a", "b")).alias("p"))
+    first = through_table(likeliest.select("p.a", "p.b"))
+    links = through_table(links.unionByName(verified(first, texts, k, percent)))
+    roots = through_table(components(links))
+    left = _with_roots(pairs.select("a", "b", "root_b"), roots, "a").withColumnRenamed("root", "now_a")
+    left = _with_roots(left, roots, "b").where("root <> now_a").select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = verified(through_table(left), texts, k, percent)
 
     # From sets back to documents; rows that share an id are one document.
     known = sets.select("n_shingles", "f1", "f2", F.col("doc_id").alias("node"))

@@ -12,8 +12,8 @@ their differences is at most the size of the symmetric difference. The tree has
 * A packed R-tree over folded points in each cell finds the pairs whose bound allows a link; these are verified on their
   whole sets.
 
-A cell of copies is not searched for all pairs. Equal sets are one point. First each member of a cell is compared with
-the cell's least member, and links make classes. Then only pairs of members of different classes are searched. Pairs
+A cell of copies is not searched for all pairs. Equal sets are one point. First each document is compared with one
+other, of the least members of its cells the one it meets most often, and links make classes. Then only pairs of members of different classes are searched. Pairs
 inside one class need no test: their class is known. So no link between classes is lost, and the classes are exact.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with fewer words than a shingle is one
@@ -128,12 +128,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def point_size(n: int) -> int:
-    """Coordinates of the point of a set of n shingles: two for each, as a power of two."""
-    return 1 << max(4, (2 * n - 1).bit_length())
+    """Coordinates of the point of a set of n shingles: one for each or more, as a power of two."""
+    return 1 << max(4, (n - 1).bit_length())
 
 
 def points(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and the point of each document, as counts of one byte."""
+    """doc_id, n and the point of each document, as counts of four bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,15 +143,21 @@ def points(docs: DataFrame, k: int) -> DataFrame:
                 size = point_size(len(s))
                 while True:
                     v = np.bincount((s >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size)
-                    if v.max() < 256:
+                    if v.max() < 16:
                         break
                     size *= 2
-                rows.append((doc_id, len(s), v.astype(np.uint8).tobytes()))
+                rows.append((doc_id, len(s), (v[::2] | (v[1::2] << 4)).astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "point"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, point binary")
 
 
+def _unpacked(point: bytes, size: int) -> np.ndarray:
+    """A point from its four-bit counts, with neighbouring coordinates added up to ``size`` of them."""
+    half = np.frombuffer(point, np.uint8)
+    return np.stack([half & 15, half >> 4], 1).reshape(size, -1).sum(1, dtype=np.uint16)
+
+
 def folded(v: np.ndarray, size: int) -> np.ndarray:
     """Points with neighbouring coordinates added up to ``size`` of them."""
     return v.reshape(len(v), size, -1).sum(2, dtype=np.int64) if v.shape[1] > size else v.astype(np.int64)
@@ -227,9 +233,8 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for c in _cells(batches):
-            raw = [np.frombuffer(p, np.uint8) for p in c["point"]]
-            size = min(map(len, raw))
-            v = np.array([p if len(p) == size else p.reshape(size, -1).sum(1, dtype=np.uint16) for p in raw])
+            size = 2 * min(map(len, c["point"]))
+            v = np.array([_unpacked(p, size) for p in c["point"]])
             ids, root = c["doc_id"].to_numpy(np.int64), c["root"].to_numpy(np.int64)
             other = None if c["side_a"].iat[0] == c["side_b"].iat[0] else (c["side"] == c["side_b"]).to_numpy()
             for i, j, bound in tree_pairs(c["n"].to_numpy(np.int64), root, v, percent, other):
@@ -267,7 +272,9 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
         )
         .where("members > 1 and own = 1").drop("own")
     )
-    stars = through_table(filed.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
+    # Each member is tried against the leader that it shares most cells with; all other pairs are left to the search.
+    shared = filed.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
+    stars = through_table(shared.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("most")).select((-F.col("most.a")).alias("a"), "b"))
     links = through_table(verified(stars, texts, k, percent))
     roots = through_table(components(links))
 

@@ -102,3 +102,11 @@ def test_written_table_keeps_rows(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = spark.range(5).withColumn("x", F.array(F.col("id")))
     assert through_table(df).orderBy("id").collect() == df.orderBy("id").collect()
+
+
+def test_first_rows_follow_the_files(spark, tmp_path):
+    for part, rows in (("a", range(0, 10)), ("b", range(10, 4000)), ("c", range(4000, 4100))):
+        (tmp_path / f"{part}.csv").write_text("query,answer,domains\n" + "".join(f'"q{i:06d}","[]","[\'email\']"\n' for i in rows))
+    got = files.read_queries(spark, str(tmp_path))
+    assert [(r.seq, r.query) for r in got.orderBy("seq").collect()] == [(i, f"q{i:06d}") for i in range(4100)]
+    assert sorted(r.query for r in files.read_queries(spark, str(tmp_path), first=12).collect()) == [f"q{i:06d}" for i in range(12)]

@@ -69,3 +69,16 @@ def test_stripping_follows_unicode(spark):
 def test_fold_case(spark):
     m = F.create_map(*[F.lit(v) for v in ("status", "DONE", "board", "B", "list_name", "L", "name", "ANN")])
     assert values(spark, ["x"], lambda c: X.fold_state(m)) == [{"status": "DONE", "board": "B", "list_name": "L", "name": "ann"}]
+
+
+def test_no_text_ends_a_job(spark):
+    from tracemill.functions import jsontext as J
+
+    odd = ['{"k": "\\ud83d"}', '{"name": "f", "arguments": {"k": "\\ud83d"}}', '{"a": ' + "9" * 5000 + "}", '{"name": "f", "arguments": "' + "[" * 5000 + '"}', '{"success": "\\udc00"}']
+    for text in odd:
+        for fn in (lambda t: list(J.objects_in(t)), J.verdict_in, J.calls_in, J.thoughts_in, J.name_lists_in, J.picked_ids_in):
+            J.storable(fn(text))
+    assert J.literal_list("[{[1]: 2}]") is None and J.literal_list("[" + "9" * 5000 + "]") is None and J.literal_list("[" * 5000) is None
+    assert J.storable({"a": ["x\ud83d"]}) == {"a": ["x?"]}
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert len(df.select(J._py_objects("t"), J._py_verdict("t"), J._py_calls("t")).collect()) == len(odd)

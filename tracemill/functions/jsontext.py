@@ -32,13 +32,17 @@ VERDICT = schemas._struct(success=T.BooleanType(), reason=T.StringType())
 # --- small helpers that work on one text -------------------------------------------------
 
 
+# What decoding may raise on odd texts: huge integers, deep nesting, unhashable keys.
+UNREADABLE = (ValueError, TypeError, RecursionError, MemoryError)
+
+
 def objects_in(text: str) -> Iterator[dict]:
     """Every JSON object that starts at some ``{`` of the text, nested ones included."""
     at = text.find("{")
     while at >= 0:
         try:
             value = _JSON.raw_decode(text, at)[0]
-        except (json.JSONDecodeError, RecursionError):
+        except UNREADABLE:
             value = None
         if value is not None:
             yield value
@@ -54,7 +58,7 @@ def as_call(obj) -> tuple[str, dict] | None:
     if isinstance(args, str):
         try:
             args = json.loads(args)
-        except json.JSONDecodeError:
+        except UNREADABLE:
             return None
     name = source.get("name")
     return (name, args) if isinstance(name, str) and isinstance(args, dict) else None
@@ -147,9 +151,9 @@ def verdict_in(text: str) -> dict | None:
 def literal_list(text: str) -> list[str] | None:
     try:
         value = ast.literal_eval(text)
-    except (ValueError, SyntaxError):
+        return [str(v) for v in value] if isinstance(value, (list, tuple)) else None
+    except (SyntaxError, *UNREADABLE):
         return None
-    return [str(v) for v in value] if isinstance(value, (list, tuple)) else None
 
 
 def bracket_body(text: str) -> str | None:
@@ -162,10 +166,19 @@ def bracket_body(text: str) -> str | None:
     return None
 
 
+def storable(value):
+    """The value with lone surrogates, which UTF-8 cannot hold, replaced by question marks."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode("utf-8")
+    if isinstance(value, dict):
+        return {k: storable(v) for k, v in value.items()}
+    return [storable(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def _arrow(fn, spark_type: T.DataType, arrow_type: pa.DataType):
     @arrow_udf(spark_type)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else fn(t) for t in texts.to_pylist()], arrow_type)
+        return pa.array([None if t is None else storable(fn(t)) for t in texts.to_pylist()], arrow_type)
 
     return run
 

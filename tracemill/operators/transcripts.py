@@ -144,6 +144,11 @@ def plans(steps: DataFrame, keys: Sequence[str], max_iterations: int | None = No
     )
 
 
+def _number(var: Column) -> Column:
+    """Digits of a step variable without leading zeros."""
+    return F.regexp_replace(F.substr(var, F.lit(2)), "^0+(?=.)", "")
+
+
 def substitute_evidence(template: Column, evidence: Column) -> Column:
     """Replaces ``#<var>`` by its observation, the highest number first.
 
@@ -152,7 +157,8 @@ def substitute_evidence(template: Column, evidence: Column) -> Column:
     """
     last = F.filter(
         F.transform(evidence, lambda e, i: F.struct(
-            (-F.substring(e["var"], 2, 20).cast("decimal(20,0)")).alias("n"), i.alias("i"),
+            # Numbers of any length, highest first: longer ones, then larger digits.
+            (-F.length(_number(e["var"]))).alias("n"), F.translate(_number(e["var"]), "0123456789", "9876543210").alias("m"), i.alias("i"),
             e["var"].alias("var"), e["observation"].alias("observation"),
         )),
         lambda e: ~F.exists(

@@ -253,7 +253,7 @@ alike AS (SELECT * FROM ranked WHERE rank <= {k})"""
 TRIALS = f"""
 tr AS (
   SELECT conv_id AS query_id, turn + 1 AS trial, turn, (conv_id + turn) % 7 AS j, (conv_id + turn) % 4 AS v,
-         CASE WHEN turn % 5 = 0 THEN '' ELSE trim(substr(text, 1, 40), ' ' || chr(9) || chr(10) || chr(13)) END
+         CASE WHEN turn % 5 = 0 THEN '' ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13)) END
            AS reflection,
          turn % 3 <> 1 AS calls, {CFG.format(c='(conv_id % 4)')} AS config
   FROM conversations WHERE role = 'assistant'),
@@ -606,7 +606,7 @@ ORACLE: dict[str, str] = {
         SELECT query_id, step, var, resolved, tool_name = 'list_all' AS needs_repair FROM z""",
     "solver_prompts": f"""WITH {PLANS}, n AS (SELECT query_id, chr(10) AS l, string_agg(thought, '; ' ORDER BY step) AS plan,
           string_agg('#' || var || ' = saw ' || tool_name, chr(10) ORDER BY step) AS seen
-          FROM steps WHERE step <= 3 GROUP BY ALL)
+          FROM steps GROUP BY ALL)
         SELECT query_id, 'Task:' || l || 'request ' || query_id || l || l || 'Plan:' || l || plan || l || l || 'Evidence:' || l
           || seen || l || l || 'Write the answer.' AS user_query FROM n""",
     "transcript_sections": f"WITH {SECTIONS} SELECT query_id, ord, phase, text FROM sections",
@@ -649,7 +649,7 @@ ORACLE: dict[str, str] = {
     "result_history": f"""WITH {ACTS} SELECT 'mixed' AS domain, 'model-7b' AS label, config || '_react' AS mode,
         '2024-01-31_10-20-30' AS time, 'request ' || query_id AS query,
         coalesce(string_agg({RAW}, ' | ' ORDER BY step), '') AS function_calls, error
-        FROM runs LEFT JOIN acts USING (c, query_id) WHERE config IN ('all', 'domains') GROUP BY ALL""",
+        FROM runs LEFT JOIN acts USING (c, query_id) GROUP BY ALL""",
     "result_tables": f"""WITH {ACTS} SELECT r.domain, r.config, count(DISTINCT r.query_id) AS n, count(a.step) AS n_calls
         FROM runs r LEFT JOIN acts a USING (c, query_id) WHERE r.domain = 'email' GROUP BY ALL""",
     "episode_store": f"""WITH {MEM} SELECT fmt, run_id::VARCHAR AS run_id, seq, query, t1 || ',' || t2 AS tools, seq::VARCHAR AS k

@@ -582,7 +582,7 @@ def solver_prompts(spark, sf):
     seen = F.transform(
         "steps", lambda s: F.struct(s["var"].alias("var"), F.concat(F.lit("saw "), s["tool_name"]).alias("observation"))
     )
-    p = _plans(spark, sf, 3)
+    p = _plans(spark, sf)
     return p.select("query_id", D.solver_query(q, F.array_join("steps.thought", "; "), seen).alias("user_query"))
 
 
@@ -680,7 +680,7 @@ def queries_from_csv(spark, sf):
 def result_history(spark, sf):
     root = shared_dir(spark)
     r = I.results(spark, sf)
-    for config in I.CONFIGS[:2]:
+    for config in I.CONFIGS:
         mine = r.where(F.col("config") == config)
         files.export_results(mine, root, "mixed", "model-7b", f"{config}_react", "2024-01-31_10-20-30")
     back = files.read_history(spark, root)

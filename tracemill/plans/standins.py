@@ -242,7 +242,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         conv.alias("query_id"), (turn + 1).alias("trial"),
         _pick(JUDGE_TEXTS, (conv + turn) % 7).alias("judge_text"),
         _pick(VERIFIER_TEXTS, (conv + turn) % 4).alias("verify_text"),
-        F.when(turn % 5 == 0, "  ").otherwise(F.substring("text", 1, 40)).alias("reflection"),
+        F.when(turn % 5 == 0, "  ").otherwise(F.col("text")).alias("reflection"),
         F.when(turn % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(call)).alias("calls"),
         _pick(CONFIGS, conv % 4).alias("config"),
     )

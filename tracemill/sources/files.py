@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -30,11 +30,18 @@ def list_literal(items: Column) -> Column:
 
 
 def read_queries(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """Query and answer table; list literals become arrays, ``seq`` follows the file."""
-    raw = spark.read.schema(schemas.QUERIES_CSV).options(**_CSV).csv(path)
-    rows = raw.withColumn("seq", F.monotonically_increasing_id())
+    """Query and answer table; list literals become arrays, ``seq`` numbers the rows in the order of files and lines."""
+    raw = spark.read.schema(schemas.QUERIES_CSV).options(**_CSV).csv(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    # One row per split of a file: how many rows come before it.
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = raw.join(splits, ["_file", "_start"]).withColumn("seq", F.col("_before") + F.col("_id") - F.col("_first"))
     if first is not None:
-        rows = rows.orderBy("seq").limit(first)
+        rows = rows.where(F.col("seq") < first)
     return rows.select(
         F.sha2("query", 256).alias("query_id"), "seq", "query",
         J.string_list(F.col("answer")).alias("answer"), X.domain_list(F.col("domains")).alias("domains"),

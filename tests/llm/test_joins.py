@@ -150,3 +150,14 @@ def test_a_full_bitmap_only_costs_time(spark):
 def test_no_items_or_documents(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contamination.contaminated(docs, items).count() == 0
+
+
+def test_sieve_marks_every_wanted_row(spark):
+    from tracemill.llm.sieve import likely, marked
+
+    rows = spark.range(-500, 500).selectExpr("id as doc_id", "'t' as text").unionByName(spark.sql("select cast(null as long) doc_id, 't' text"))
+    keys = spark.range(-500, 500, 7).selectExpr("id as doc_id")
+    got = {r["doc_id"] for r in likely(rows, keys, ["doc_id"]).collect()}
+    assert set(range(-500, 500, 7)) <= got and len(got) < 200
+    assert marked(rows, keys, ["doc_id"]).count() == 1001
+    assert likely(rows, keys.where("false"), ["doc_id"]).count() == 0

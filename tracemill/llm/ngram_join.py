@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tracemill.llm.components import components
+from tracemill.llm.sieve import likely, marked
 from tracemill.llm.words import hashed, mixed, shingles, spaced
 from tracemill.session import through_table
 
@@ -119,7 +120,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs a, b of doc_ids whose texts link. Texts of the many side are joined first, those of the few last."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = (
-        docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("same"))
+        likely(docs.select("doc_id", "text"), ids, ["doc_id"]).join(ids, "doc_id", "left_semi")
+        .groupBy("doc_id", F.xxhash64("text").alias("same"))
         .agg(F.any_value("text").alias("text"))
     )
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -258,10 +260,12 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id of its class)."""
     texts = docs.select("doc_id", "text")
     sketch = through_table(sketched(texts, k, percent))
-    sets = (
-        sketch.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2")
-        .agg(F.min("doc_id").alias("doc_id"), F.any_value("cells").alias("cells"))
-    )
+    key = ["n_shingles", "f1", "f2"]
+    filled = sketch.where("n_shingles > 0 and doc_id is not null")
+    # Only rows whose set may occur again are brought together; a set that occurs once is its own.
+    told = marked(filled, filled.groupBy(*key).count().where("count > 1"), key)
+    again = told.where("likely").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.any_value("cells").alias("cells"))
+    sets = told.where("not likely").select(*key, "doc_id", "cells").unionByName(again)
     by_cell = Window.partitionBy("cell")
     filed = through_table(
         sets.select(F.explode("cells").alias("key"), "doc_id")
@@ -290,7 +294,8 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
         F.least("side", "met").alias("side_a"), F.greatest("side", "met").alias("side_b"),
     )
     spread = through_table(spread)
-    placed = points(texts.join(spread.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    wanted = spread.select("doc_id").distinct()
+    placed = points(likely(texts, wanted, ["doc_id"]).join(wanted, "doc_id", "left_semi"), k)
     ready = spread.join(placed, "doc_id").repartition("cell").sortWithinPartitions("cell")
     pairs = through_table(_searched(ready, percent).join(stars, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
     # The likeliest pair of two classes first: if it links, the others of the two need no test.
@@ -303,9 +308,8 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
     more = verified(through_table(left), texts, k, percent)
 
     # From sets back to documents; rows that share an id are one document.
-    known = sets.select("n_shingles", "f1", "f2", F.col("doc_id").alias("node"))
-    own = sketch.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f1", "f2")
-    nodes = through_table(own.join(known, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "node"))
+    known = filled.groupBy(*key).agg(F.min("doc_id").alias("node"))
+    nodes = through_table(filled.select("doc_id", *key).join(known, key).select("doc_id", "n_shingles", "node"))
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("doc_id", "a")
     same = nodes.join(several, "doc_id").select("a", F.col("node").alias("b")).distinct()
     final = components(through_table(links.unionByName(more).unionByName(same)))

@@ -148,11 +148,20 @@ def test_own_error_class_and_residue(spark, tools, base):
 def test_audit(spark):
     r = spark.createDataFrame([(1,), (2,), (2,), (4,)], "query_id long")
     g = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
-    got = {x["query_id"]: x["problem"] for x in S.cardinality_audit(r, g).collect()}
+    got = {x["query_id"]: x["problem"] for x in S.cardinality_audit(r, g, run=None).collect()}
     assert got == {2: "duplicate", 3: "no prediction", 4: "no gold"}
     with pytest.raises(ValueError):
-        S.require_one_to_one(r, g)
-    S.require_one_to_one(g, g)
+        S.require_one_to_one(r, g, run=None)
+    S.require_one_to_one(g, g, run=None)
+
+
+def test_audit_by_run(spark):
+    g = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    runs = g.crossJoin(spark.createDataFrame([("a",), ("b",)], "run_id string"))
+    S.require_one_to_one(runs, g)
+    r = runs.where("run_id = 'a' or query_id <> 3").unionByName(runs.where("run_id = 'b' and query_id = 1"))
+    got = {(x["run_id"], x["query_id"]): x["problem"] for x in S.cardinality_audit(r, g).collect()}
+    assert got == {("b", 1): "duplicate", ("b", 3): "no prediction"}
 
 
 def test_partitioning_and_reads_do_not_matter(spark, tools, base):

@@ -169,6 +169,21 @@ def test_sections(spark):
         (1, "response", "Plan: inline"), (2, "response", "")]
 
 
+def test_routing_sections(spark):
+    text = "Routing response:\nuse a\nSelected tools: a\ncalling"
+    got = T.sections(table(spark, [text]), "text", ["id"]).orderBy("ord").collect()
+    assert [(r["phase"], r["text"]) for r in got] == [("routing", "use a"), ("selected_tools", "a\ncalling")]
+
+
+def test_turns(spark):
+    acted = "A1\nObservation:\nR1\nA2\nObservation:\nR2\n"
+    tree = "Thought candidates:\nc\nThought judge:\nj\nSelected thought:\ns\nObservation:\nR\nThought candidates:\nc\nFinal answer:\nx"
+    df = table(spark, [acted + "Final", acted, tree, "Routing response:\nuse a\nSelected tools: a\ncalling"])
+    parts = T.sections(df, "text", ["id"]).withColumn("limited", F.col("id") == 1)
+    got = T.generation_cost(parts, ["id"], by=["id"], ended_on_limit="limited").orderBy("id").collect()
+    assert [r["turns"] for r in got] == [3, 2, 3, 2]
+
+
 def test_trajectory_and_messages(spark):
     row = [(1, [(1, "a", '{"k": 1}', "o1"), (1, "b", "{}", "o2"), (2, "c", None, None)], "bye"), (2, [], ""), (3, [], "hi")]
     kind = "id int, actions array<struct<turn long, name string, args_json string, observation string>>, final_answer string"

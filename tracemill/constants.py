@@ -34,6 +34,8 @@ SUCCESS_WORDS = ("true", "yes", "success", "succeeded")
 
 # Line starts that open a new phase in a full response, with the phase name.
 PHASE_MARKERS = (
+    ("routing", r"Routing response:\n"),
+    ("selected_tools", r"Selected tools: "),
     ("plan", r"Plan:\n"),
     ("reflection", r"Reflection:\n"),
     ("candidates", r"Thought candidates:\n"),

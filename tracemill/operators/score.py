@@ -25,13 +25,20 @@ def harmonise(results: DataFrame, gold: DataFrame, on: str = "query_id") -> Data
     )
 
 
-def cardinality_audit(results: DataFrame, gold: DataFrame, on: str = "query_id") -> DataFrame:
-    """Keys that keep predictions and gold from matching one to one, with the reason."""
-    tagged = results.select(on, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(
-        gold.select(on, F.lit(0).alias("p"), F.lit(1).alias("g"))
-    )
-    counts = tagged.groupBy(on).agg(
-        F.sum("p").cast("long").alias("n_predictions"), F.sum("g").cast("long").alias("n_gold")
+def cardinality_audit(results: DataFrame, gold: DataFrame, on: str = "query_id", run: str | None = "run_id") -> DataFrame:
+    """Keys of each run that keep its predictions and gold from matching one to one, with the reason.
+
+    Every run that occurs in ``results`` is held against all gold rows; without ``run`` the whole table is one run.
+    """
+    keys = [on] if run is None else [run, on]
+    wanted = gold.groupBy(on).agg(F.count("*").alias("n_gold"))
+    if run is not None:
+        # Runs are configurations: few, whatever the number of rows.
+        runs = results.agg(F.collect_set(run)).scalar()
+        wanted = wanted.withColumn(run, F.explode(runs))
+    made = results.groupBy(*keys).agg(F.count("*").alias("n_predictions"))
+    counts = made.join(wanted, keys, "full").select(
+        *keys, F.coalesce("n_predictions", F.lit(0)).alias("n_predictions"), F.coalesce("n_gold", F.lit(0)).alias("n_gold")
     )
     problem = (
         F.when(F.col("n_gold") == 0, "no gold").when(F.col("n_predictions") == 0, "no prediction")
@@ -40,9 +47,9 @@ def cardinality_audit(results: DataFrame, gold: DataFrame, on: str = "query_id")
     return counts.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
 
-def require_one_to_one(results: DataFrame, gold: DataFrame, on: str = "query_id") -> None:
+def require_one_to_one(results: DataFrame, gold: DataFrame, on: str = "query_id", run: str | None = "run_id") -> None:
     """Fail if the audit finds anything."""
-    bad = cardinality_audit(results, gold, on).limit(1).collect()
+    bad = cardinality_audit(results, gold, on, run).limit(1).collect()
     if bad:
         raise ValueError(f"predictions do not match gold answers: {bad[0].asDict()}")
 

@@ -197,10 +197,10 @@ def resolved_steps(planned: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- sections and cost -------------------------------------------------------------------
 
-# Phases a model generates a turn for; the others are written by the runner.
+# Phases that hold a turn of the model: turns of their own, and, after the line of the runner, the first turn of an attempt.
 GENERATED = (
-    "response", "plan", "reflection", "candidates", "judge", "evaluator", "reflection_added",
-    "draft", "verification", "correction",
+    "response", "routing", "plan", "reflection", "candidates", "judge", "evaluator", "reflection_added",
+    "draft", "verification", "correction", "selected_tools", "buffer",
 )
 
 
@@ -230,12 +230,20 @@ def sections(
 
 def generation_cost(
     parts: DataFrame, keys: Sequence[str], by: Sequence[str] = ("config",),
-    generated: Sequence[str] = GENERATED,
+    generated: Sequence[str] = GENERATED, ended_on_limit: str | None = None,
 ) -> DataFrame:
-    """Per configuration: queries, generated turns, trials and verification rounds, and turns per query."""
+    """Per configuration: queries, generated turns, trials and verification rounds, and turns per query.
+
+    No mark stands between an observation and the model's reply to it, so each observation counts for one turn. It does not
+    where thought candidates answer it, which are a phase, nor does the last one of a query whose boolean column
+    ``ended_on_limit`` is true. Turns that nothing in the text sets apart count as one.
+    """
     n = lambda c: F.count_if(c).cast("long")
+    seen = n(F.col("phase") == "observation")
+    unanswered = F.lit(0) if ended_on_limit is None else F.coalesce(F.bool_or(ended_on_limit), F.lit(False)).cast("long")
+    replies = F.when(F.bool_or(F.col("phase") == "candidates"), 0).otherwise(F.greatest(seen - unanswered, F.lit(0)))
     per_query = parts.groupBy(*dict.fromkeys([*by, *keys])).agg(
-        n(F.col("phase").isin(*generated) & (X.stripped(F.col("text")) != "")).alias("turns"),
+        (n(F.col("phase").isin(*generated) & (X.stripped(F.col("text")) != "")) + replies).alias("turns"),
         n(F.col("phase") == "trial").alias("trials"),
         n(F.col("phase") == "verification").alias("rounds"),
     )

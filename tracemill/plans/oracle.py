@@ -24,7 +24,7 @@ VERB = (
 )
 
 EV = f"""
-ev AS (
+ev AS MATERIALIZED (
   SELECT event_id, event_id // 8 AS query_id, event_id % 8 + 1 AS step,
          CASE event_type WHEN 'signup' THEN 'create_item' WHEN 'purchase' THEN 'update_item'
               WHEN 'error' THEN 'delete_item' WHEN 'click' THEN 'search_items' ELSE 'get_item_by_id' END AS verb,
@@ -61,7 +61,7 @@ parts AS (
 parts2 AS (
   SELECT *, title_up AS title,
          CASE WHEN tm IS NULL THEN '' ELSE ', time="' || tm || '"' END AS tail FROM parts),
-acts AS (
+acts AS MATERIALIZED (
   SELECT *, dom || '.' || verb || '.func(' ||
     CASE verb
       WHEN 'create_item' THEN 'title="' || title || '", date="' || d || '"' || tail
@@ -75,9 +75,9 @@ runs AS (
          CASE WHEN (query_id + c) % 23 = 0 THEN '{LIMIT}' WHEN (query_id + c) % 47 = 0 THEN 'out of memory'
               ELSE '' END AS error
   FROM qs CROSS JOIN cs WHERE c >= 0),
-pred AS (SELECT run_id, config, domain, r.query_id, r.error, a.* EXCLUDE (query_id) FROM runs r
+pred AS MATERIALIZED (SELECT run_id, config, domain, r.query_id, r.error, a.* EXCLUDE (query_id) FROM runs r
          JOIN acts a USING (c, query_id)),
-gold AS (SELECT * FROM acts WHERE c = -1)"""
+gold AS MATERIALIZED (SELECT * FROM acts WHERE c = -1)"""
 
 # Raw (unescaped) action text: the escape sequence stands for a line break there.
 RAW = "replace(action, '\\n', chr(10))"
@@ -89,9 +89,9 @@ diff AS (
     UNION ALL
     SELECT run_id, query_id, lower(action), -1 FROM gold JOIN runs USING (query_id))
   GROUP BY ALL HAVING sum(n) <> 0),
+differing AS (SELECT DISTINCT run_id, query_id, true AS differs FROM diff),
 exact AS (
-  SELECT r.*, NOT EXISTS (SELECT 1 FROM diff d WHERE d.run_id = r.run_id AND d.query_id = r.query_id) AS exact_match
-  FROM runs r)"""
+  SELECT r.*, differs IS NULL AS exact_match FROM runs r LEFT JOIN differing USING (run_id, query_id))"""
 
 FLAGS = """
 shift AS (
@@ -353,7 +353,10 @@ heads AS (
          unnest([1, 2, 3, 4, 5]) AS pos FROM qs WHERE query_id % 2 = 0
   UNION ALL
   SELECT query_id, unnest(['response', 'plan']), unnest(['thinking', '- look up first']), unnest([1, 2])
-  FROM qs WHERE query_id % 2 = 1),
+  FROM qs WHERE query_id % 4 = 1
+  UNION ALL
+  SELECT query_id, unnest(['routing', 'selected_tools', 'plan']), unnest(['use both', 'a, b' || chr(10) || 'thinking', '- look up first']),
+         unnest([1, 2, 3]) FROM qs WHERE query_id % 4 = 3),
 secs AS (
   SELECT * FROM heads
   UNION ALL SELECT query_id, CASE WHEN w THEN 'observation' ELSE 'reflection' END,
@@ -412,9 +415,11 @@ ORACLE: dict[str, str] = {
         meeting_start_time_error FROM causes""",
     "iteration_limit_rows": f"WITH {ACTS} SELECT run_id, query_id, error FROM runs WHERE error = '{LIMIT}'",
     "cardinality_audit": f"""WITH {EV},
-        g AS (SELECT query_id, CASE WHEN query_id % 101 = 0 THEN 0 WHEN query_id % 107 = 1 THEN 2 ELSE 1 END AS n_gold,
-                     CASE WHEN query_id % 103 = 0 THEN 0 ELSE 1 END AS n_predictions FROM qs)
-        SELECT query_id, n_predictions::BIGINT AS n_predictions, n_gold::BIGINT AS n_gold,
+        g AS (SELECT {CFG.format(c='c')} AS run_id, query_id,
+                     CASE WHEN query_id % 101 = 0 THEN 0 WHEN query_id % 107 = 1 THEN 2 ELSE 1 END AS n_gold,
+                     CASE WHEN (query_id + c) % 103 = 0 THEN 0 ELSE 1 END AS n_predictions
+              FROM qs, (SELECT unnest([0, 1, 2, 3])::BIGINT AS c))
+        SELECT run_id, query_id, n_predictions::BIGINT AS n_predictions, n_gold::BIGINT AS n_gold,
                CASE WHEN n_gold = 0 THEN 'no gold' WHEN n_predictions = 0 THEN 'no prediction' ELSE 'duplicate' END AS problem
         FROM g WHERE (n_gold <> 1 OR n_predictions <> 1) AND n_gold + n_predictions > 0""",
     "joined_on_text": f"""WITH {ACTS}, g AS (SELECT query_id, count(*) AS n FROM gold GROUP BY ALL)
@@ -612,9 +617,10 @@ ORACLE: dict[str, str] = {
     "transcript_sections": f"WITH {SECTIONS} SELECT query_id, ord, phase, text FROM sections",
     "custom_markers": f"WITH {EV} SELECT CASE WHEN w THEN 'ok' ELSE 'note' END AS phase, count(*) AS n FROM evw GROUP BY ALL "
     "UNION ALL SELECT 'response', count(*) FROM qs",
-    "generation_cost": f"""WITH {SECTIONS}, q AS (SELECT {CFG.format(c='(query_id % 4)')} AS config, query_id,
-          count_if(phase IN ('response', 'plan', 'reflection'))::BIGINT AS turns, count_if(phase = 'trial')::BIGINT AS trials
-          FROM sections GROUP BY ALL)
+    "generation_cost": f"""WITH {EV}, q AS (SELECT {CFG.format(c='(query_id % 4)')} AS config, query_id,
+          -- one turn for each event, one for the plan, one for each attempt, one for the routing
+          count(*) + max(CASE query_id % 4 WHEN 1 THEN 2 ELSE 3 END) AS turns, max(CASE query_id % 2 WHEN 0 THEN 2 ELSE 0 END) AS trials
+          FROM ev GROUP BY ALL)
         SELECT config, count(*) AS n_queries, sum(turns)::BIGINT AS turns, sum(trials)::BIGINT AS trials, 0::BIGINT AS rounds,
                round(avg(turns), 6) AS turns_per_query FROM q GROUP BY ALL""",
     # datasets

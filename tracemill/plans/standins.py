@@ -286,13 +286,15 @@ def call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full responses with phase marks: two trials when q is even, the events as observations or reflections."""
+    """Full responses with phase marks: two trials when q is even, routing when it
+    is 3 modulo 4, the events as observations or reflections."""
     q = F.col("query_id")
     part = lambda e: F.concat(
         F.when(is_write(e["verb"]), "Observation:\nok ").otherwise("Reflection:\nnote "), e["event_id"].cast("string")
     )
     trial = lambda i: F.lit(f"=== Trial {i} of 2 ===\nReflections in buffer:\n(none)\ncalling\nit\n")
-    head = F.when(q % 2 == 0, F.concat(trial(1), trial(2))).otherwise(F.lit("thinking\n"))
+    routed = F.lit("Routing response:\nuse both\nSelected tools: a, b\nthinking\n")
+    head = F.when(q % 2 == 0, F.concat(trial(1), trial(2))).when(q % 4 == 3, routed).otherwise(F.lit("thinking\n"))
     full = F.concat(
         head, F.lit("Plan:\n- look up first\n"), _join(F.transform("evs", part), "\n"), F.lit("\nFinal answer:\ndone")
     )

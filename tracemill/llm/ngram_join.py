@@ -36,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tracemill.llm.components import components
 from tracemill.llm.sieve import likely, marked
-from tracemill.llm.words import hashed, mixed, shingles, spaced
+from tracemill.llm.words import distinct, hashed, mixed, shingles, spaced
 from tracemill.session import through_table
 
 CLASS_RATIO = 1.25
@@ -54,7 +54,7 @@ def class_starts() -> list[int]:
 
 def shingle_set(text, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(shingles(hashed(spaced(text)), k))
+    return distinct(shingles(hashed(spaced(text)), k))
 
 
 def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:

@@ -9,24 +9,10 @@ import pandas as pd
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 200_000
 # A-Z, digits and everything beyond ASCII stay; other ASCII becomes a space.
 LETTERS_AND_DIGITS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
-class _Hashes(dict):
-    """Remembers the hashes of words, and starts anew when it holds ``CACHED_WORDS``."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def encoded(text) -> bytes:
     """UTF-8 of a text; a null is an empty text, and lone surrogates do not fail."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
@@ -43,7 +29,13 @@ def alphanumeric(text) -> list[bytes]:
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values in rising order."""
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -103,3 +103,19 @@ def test_quality_cases(spark):
     many = spark.createDataFrame([(1, 0, None), (1, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     said = quality.patterns(quality.voted(docs), many).where(F.col("doc_id") == 1).first()
     assert said.junk.endswith("b") and said.abuse.endswith("b")
+
+
+def test_every_kind_of_bad_text_is_learned_at_any_size(spark):
+    rng = random.Random(4)
+    text = lambda *also: " ".join(rng.choices([f"w{i}." for i in range(300)], k=30) + list(also))
+    kinds = [("idiot",), ("salaud", "connard"), (), (), (), ()]
+    rows = [(i, text(*kinds[i % 6])) for i in range(2400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 6 < 2)) for i in range(2400)], "doc_id long, quality int, toxic int")
+    # Fewer texts are drawn than the clearest pattern has.
+    model = quality.trained(spark.createDataFrame(rows, "doc_id long, text string"), labels, per_side=300)
+    rejected = lambda *also: sum(model.scores(text(*also))[1] >= 0.5 for _ in range(40))
+    assert rejected("salaud", "connard") >= 36 and rejected("idiot") >= 32 and rejected() <= 4
+    for scale in (1, 100):
+        q = quality.quotas({"a": 900 * scale, "b": 90 * scale, "c": 10 * scale, "d": 1}, 600)
+        assert sum(q.values()) == pytest.approx(600) and q["d"] == 1 and q["a"] > q["b"] > q["c"] >= 10
+    assert quality.quotas({"a": 5, "b": 7}, 600) == {"a": 5, "b": 7}

@@ -7,8 +7,9 @@ posterior. Texts with clear posteriors train a linear scorer over hashed words,
 scorer judges every text, whether labelled or not. A text is rejected if either score reaches one half.
 
 Vote patterns are counted over all rows; there are at most 3^labellers of them, and only their counts reach the driver.
-The scorers are fitted on a bounded sample: at most about ``per_side`` texts for each question and answer, drawn by a
-hash of id and text. Texts are read whole.
+The scorers are fitted on a bounded sample: about ``per_side`` texts for each question and answer, drawn by a hash of id
+and text from all clear patterns, with a floor for each pattern. A drawn text weighs as many texts as it stands for, so
+that the kinds of text have the same shares at every table size. Texts are read whole.
 
 Defined cases: a null text is an empty one; texts without words get no votes but curated ones, and are rejected as junk.
 Repeated rows are judged alike. Several labels of one document: the worse counts. Rows with a null doc_id have no curated
@@ -139,7 +140,21 @@ def features(s: Shape, tokens: list[bytes]) -> np.ndarray:
     return np.unique(hashed([*words, *starts, *steps, *flags]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def fitted(rows: list[np.ndarray], bad: np.ndarray, steps: int = 200, l1: float = 5e-5, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def quotas(counts: dict[str, int], per_side: int) -> dict[str, float]:
+    """How many texts of each pattern to draw, ``per_side`` in all: three quarters by size, one quarter alike for each. What
+    a pattern does not have is drawn from the others."""
+    out: dict[str, float] = {}
+    while open_ := {p: n for p, n in counts.items() if p not in out}:
+        left, total = per_side - sum(out.values()), sum(open_.values())
+        share = {p: left * (0.75 * n / total + 0.25 / len(open_)) for p, n in open_.items()}
+        short = {p: float(n) for p, n in open_.items() if n <= share[p]}
+        out |= short or share
+    return out
+
+
+def fitted(
+    rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, steps: int = 200, l1: float = 5e-5, rate: float = 0.3
+) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer with an L1 penalty, by full-batch adaptive gradient steps."""
     w, bias = np.zeros(1 << BITS), 0.0
     if not len(rows) or bad.min() == bad.max():
@@ -147,7 +162,7 @@ def fitted(rows: list[np.ndarray], bad: np.ndarray, steps: int = 200, l1: float
     at = np.concatenate(rows).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen, gb = np.full(len(w), 1e-8), 1e-8
-    side = np.where(bad > 0, 0.5 / bad.sum(), 0.5 / (len(bad) - bad.sum()))  # both answers weigh the same
+    side = weight * np.where(bad > 0, 0.5 / weight[bad > 0].sum(), 0.5 / weight[bad == 0].sum())  # both answers weigh the same
     for _ in range(steps):
         z = np.bincount(of, w[at], minlength=len(rows)) + bias
         g = side * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - bad)
@@ -210,19 +225,19 @@ def trained(docs: DataFrame, labels: DataFrame, per_side: int = 1500, clear: flo
     chosen = []
     for q in QUESTIONS:
         for bad in (1, 0):
-            # The clearest patterns first, until they hold enough texts.
-            of, n = [], 0
-            for p, x in sorted(posteriors[q].items(), key=lambda i: (-i[1] if bad else i[1], i[0])):
-                if n < per_side and (x >= clear if bad else x <= 1 - clear):
-                    of, n = [*of, p], n + counts[q][p]
-            if n:
-                chosen.append(known.where(F.col(q).isin(of) & (F.col("u") * n < per_side)).select("doc_id", "u", F.lit(q).alias("question"), F.lit(bad).alias("bad")))
+            of = {p: counts[q][p] for p, x in posteriors[q].items() if (x >= clear if bad else x <= 1 - clear)}
+            if of:
+                rates = [x for p, n in quotas(of, per_side).items() for x in (F.lit(p), F.lit(n / of[p]))]
+                rated = known.withColumn("rate", F.create_map(*rates)[F.col(q)]).where("u < rate")
+                chosen.append(rated.select("doc_id", "u", F.lit(q).alias("question"), F.lit(bad).alias("bad"), "rate"))
     weights, bias = {q: np.zeros(1 << BITS) for q in QUESTIONS}, dict.fromkeys(QUESTIONS, -10.0)
     if chosen:
         picked = chosen[0]
         for c in chosen[1:]:
             picked = picked.unionByName(c)
-        picked = picked.groupBy("doc_id", "u").agg(F.collect_set(F.struct("question", "bad")).alias("answers"))  # at most four
+        picked = picked.groupBy("doc_id", "u").agg(
+            F.collect_set(F.struct("question", "bad", "rate")).alias("answers")  # at most four
+        )
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -230,12 +245,13 @@ def trained(docs: DataFrame, labels: DataFrame, per_side: int = 1500, clear: flo
 
         u = (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
         texts = docs.select("doc_id", "text", u).join(picked, ["doc_id", "u"]).dropDuplicates(["doc_id", "u"])
-        answers = F.transform("answers", lambda a: F.concat(a["question"], F.lit(":"), a["bad"].cast("string"))).alias("answers")
+        answers = F.transform("answers", lambda a: F.concat(a["question"], F.lit(":"), a["bad"].cast("string"), F.lit(":"), a["rate"].cast("string"))).alias("answers")
         got = texts.select("u", answers, "text").mapInPandas(run, "u double, answers array<string>, at binary").toPandas().sort_values("u")
         rows = [np.frombuffer(x, np.int32) for x in got["at"]]
         for q in QUESTIONS:
-            mine = [(r, int(a[-1])) for r, many in zip(rows, got["answers"]) for a in many if a.startswith(q + ":")]
-            weights[q], bias[q] = fitted([r for r, _ in mine], np.array([b for _, b in mine], float))
+            mine = [(r, *map(float, a.split(":")[1:])) for r, many in zip(rows, got["answers"]) for a in many if a.startswith(q + ":")]
+            bad, rate = np.array([x for _, *x in mine]).reshape(-1, 2).T
+            weights[q], bias[q] = fitted([r for r, *_ in mine], bad, 1 / rate)
             # The sample holds both answers alike; in all texts they have the shares that the label model found.
             share = sum(counts[q][p] * x for p, x in posteriors[q].items()) / sum(counts[q].values())
             bias[q] += float(np.log(share / (1 - share)))

@@ -6,6 +6,7 @@ import re
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracemill.llm import contamination, ngram_join, pii, quality
@@ -72,6 +73,25 @@ def test_trees_add_keys_but_no_words(spark):
     assert not any(found[i] for i in range(400) if i % 5 in (3, 4))
 
 
+def test_tokens_of_the_documents_are_found(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    rows = {r.doc_id: r for r in pii.found(docs).collect()}
+    planted = [(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text or "")]
+    assert len(planted) > 100
+    assert all(f"secret:{s}:{e}" in rows[i].spans.split(",") for i, s, e in planted)
+
+
+def test_weak_labels(spark):
+    long = "".join(random.Random(1).choices("abcdef0123456789", k=700))
+    texts = [(f"api key: {long}", "secret", True), (f"build {long}", "secret", False), ("key " + "a1" * 20, "secret", False), ("mail u.v [at] w.xy now", "contact", True)]
+    texts += [("tel: 030 1234567", "number", True), ("line 030 1234567", "number", False)]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
+    c = F.col("c")
+    each = pii._prepared(df).select("doc_id", "text", "base", F.explode(pii.candidates(F.col("text"))).alias("c"))
+    got = {(r.doc_id, r.kind): r.label for r in each.select("doc_id", c["kind"].alias("kind"), pii.weak_label(F.col("text"), F.col("base"), c).alias("label")).collect()}
+    assert [got[i, list(pii.GENERATORS).index(k)] for i, (_, k, _) in enumerate(texts)] == [x for *_, x in texts]
+
+
 def test_redaction(spark):
     rows = [(1, "to a@b.cd and 1.2.3.4!"), (2, None), (3, "none"), (4, "+4111111111111111 x")]
     out = pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), pii.Chooser(None, ()))

@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracemill.llm import contamination, ngram_join, pii, quality
+from tracemill.llm import contamination, mixing, ngram_join, pii, quality
 from tracemill.session import through_table
 
 
@@ -140,6 +140,29 @@ def test_stages_keep_the_columns_and_take_effect(spark, stages):
     assert k5.count() == k4.count()
 
 
+def test_the_mix_is_drawn(spark, stages):
+    _, d5, k5 = stages[-1]
+    rows = mixing.drawn(k5, d5)
+    assert rows.columns == ["doc_id", "text", "source", "epoch", "shard", "place"]
+    got, text = rows.collect(), {r.doc_id: r.text for r in d5.collect()}
+    want = sorted((r.doc_id, e, s) for r in k5.collect() for e, s in enumerate(r.shards))
+    assert sorted((r.doc_id, r.epoch, r.shard) for r in got) == want and all(r.text == text[r.doc_id] for r in got)
+
+
+def test_run_returns_the_rows_of_the_mix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "", "s"), (3, "c", "t")], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r.text for r in got) and 2 not in {r.doc_id for r in got}
+    rows = [(None, "a b", None), (None, "c d e", None), (1, "e f", "s"), (1, "e f", "s"), (1, "g h", "s"), (2, None, "s")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    each = mixing.taken_rows(odd)
+    got = mixing.drawn(each, odd).collect()
+    assert sum(len(r.text.split()) for r in got) == each.agg(F.sum("taken")).first()[0] > 0
+    assert each.count() == 6 and {(r.doc_id, r.text, r.source) for r in got} <= set(rows)
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame(
         [(1, None, "en", "s", 0), (2, "", "en", None, 0), (None, "Some text here. It is fine.", None, "s", 9), (3, "a@b.cd " * 5, "de", "s", 9), (3, "a@b.cd " * 5, "de", "s", 9)],

@@ -188,3 +188,20 @@ def mixed_rows(docs: DataFrame, seed: int = 7, **parameters) -> DataFrame:
     return each.select("doc_id", "source", "size", F.posexplode("shards").alias("epoch", "shard")).withColumn(
         "place", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id")
     )
+
+
+def taken_rows(docs: DataFrame, **parameters) -> DataFrame:
+    """As ``taken``, with text_hash: rows that share a doc_id but not a text are drawn one by one."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id")
+    each = taken(docs.select(key, "source", "text"), **parameters)
+    return each.select("doc_id.doc_id", "doc_id.text_hash", *each.columns[1:])
+
+
+def drawn(each: DataFrame, docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of the mix with their texts. ``each``: result of ``taken_rows`` on ``docs``."""
+    key = ["doc_id", "source", "text_hash"]
+    texts = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(key)
+    rows = each.select(*key, F.posexplode("shards").alias("epoch", "shard")).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]
+    place = F.xxhash64(F.lit(seed + 2), "r.shard", "r.epoch", "r.doc_id", "r.text_hash").alias("place")
+    return rows.join(texts.alias("t"), same).select("r.doc_id", "t.text", "r.source", "r.epoch", "r.shard", place)

@@ -172,3 +172,16 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    words = lambda at: " ".join(f"w{i}" for i in range(at, at + 40))
+    rows = [(3, words(0)), (3, words(0)), (None, words(0)), (5, words(0) + " end"), (None, words(100)), (None, words(100)), (3, words(200)), (None, words(300)), (6, words(300)), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = through_table(corpus_pipeline.near_copies_stage(spark, docs, str(tmp_path)))
+    key = lambda r: (str(r[0]), str(r[1]))
+    left = [(3, words(0)), (None, words(100)), (3, words(200)), (6, words(300)), (7, None)]
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(left, key=key)
+    spark.createDataFrame([(1, words(100)), (2, words(200))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination_stage(spark, kept, str(tmp_path)).collect()
+    assert sorted(map(tuple, clean), key=key) == sorted([left[0], *left[3:]], key=key)

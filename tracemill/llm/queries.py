@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import contamination, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls
+from tracemill.llm import contamination, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls, whitening
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -57,9 +57,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), scale=256, top=4)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_url_filters, op2_decontamination, op3_ngram_jaccard_join, op4_license_scans, op5_language_id, op6_lm_scoring, op7_quality_classifier,
-    op8_exact_top_k, op9_pii, op10_mixing,
+    op8_exact_top_k, op9_pii, op10_mixing, op13_whitening,
 )}
 
 ORACLE = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import contamination, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls, whitening
+from tracemill.llm import contamination, crosspolytope, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls, whitening
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -57,13 +57,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.linked(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"), scale=256, top=4)
 
 
 QUERIES = {q.__name__: q for q in (
     op1_url_filters, op2_decontamination, op3_ngram_jaccard_join, op4_license_scans, op5_language_id, op6_lm_scoring, op7_quality_classifier,
-    op8_exact_top_k, op9_pii, op10_mixing, op13_whitening,
+    op8_exact_top_k, op9_pii, op10_mixing, op12_embedding_near_dedup, op13_whitening,
 )}
 
 ORACLE = {
@@ -78,4 +82,17 @@ ORACLE = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE r AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        ok AS (
+            SELECT row, v FROM r
+            WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.row AS a, b.row AS b FROM ok a JOIN ok b ON a.row <> b.row AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach AS (SELECT row, row AS other FROM r UNION SELECT reach.row, links.b FROM reach JOIN links ON reach.other = links.a),
+        least AS (SELECT reach.row, min(o.vec_id) AS component_id FROM reach JOIN r o ON reach.other = o.row GROUP BY 1),
+        n AS (SELECT a AS row, count(*) AS n FROM links GROUP BY 1)
+        SELECT r.vec_id, coalesce(n.n, 0) AS n_links, component_id, r.vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM r JOIN least USING (row) LEFT JOIN n USING (row)
+    """,
 }

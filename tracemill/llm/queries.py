@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import contamination, crosspolytope, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls, whitening
+from tracemill.llm import alignment, contamination, crosspolytope, language, licenses, lm, mixing, nearest, ngram_join, pii, quality, urls, whitening
 
+# Where the public tokenizers lie on the driver, which hands their files to the tasks.
+TOKENIZERS = os.environ.get("TRACEMILL_TOKENIZERS", "/opt/tokenizers")
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -57,6 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a_file, b_file = (Path(TOKENIZERS, name).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(_table(spark, sf_dir, "documents"), a_file, b_file)
+
+
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.linked(_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -67,7 +77,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_url_filters, op2_decontamination, op3_ngram_jaccard_join, op4_license_scans, op5_language_id, op6_lm_scoring, op7_quality_classifier,
-    op8_exact_top_k, op9_pii, op10_mixing, op12_embedding_near_dedup, op13_whitening,
+    op8_exact_top_k, op9_pii, op10_mixing, op11_cross_tokenizer_alignment, op12_embedding_near_dedup, op13_whitening,
 )}
 
 ORACLE = {

@@ -162,6 +162,18 @@ def test_audit_by_run(spark):
     r = runs.where("run_id = 'a' or query_id <> 3").unionByName(runs.where("run_id = 'b' and query_id = 1"))
     got = {(x["run_id"], x["query_id"]): x["problem"] for x in S.cardinality_audit(r, g).collect()}
     assert got == {("b", 1): "duplicate", ("b", 3): "no prediction"}
+    assert S.cardinality_audit(runs.where("false"), g).count() == 0
+
+
+def test_audit_of_odd_keys(spark):
+    r = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", None), (None, 2), (None, 9)], "run_id string, query_id long")
+    g = spark.createDataFrame([(1,), (2,), (2,), (None,)], "query_id long")
+    got = {(x.run_id, x.query_id, x.n_predictions, x.n_gold, x.problem) for x in S.cardinality_audit(r, g).collect()}
+    assert got == {
+        ("a", 1, 2, 1, "duplicate"), (None, 1, 0, 1, "no prediction"), ("a", 2, 0, 2, "no prediction"), ("b", 2, 0, 2, "no prediction"),
+        (None, 2, 1, 2, "duplicate"), (None, 9, 1, 0, "no gold"), ("b", None, 1, 0, "no gold"),
+        ("a", None, 0, 1, "no prediction"), ("b", None, 0, 1, "no prediction"), (None, None, 0, 1, "no prediction"),
+    }
 
 
 def test_partitioning_and_reads_do_not_matter(spark, tools, base):

@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tracemill import constants as C
 from tracemill.functions import text as X
 from tracemill.operators import replay as R
+from tracemill.session import through_table
 
 KEYS = ("run_id", "query_id")
 CAUSES = ("no_actions", "wrong_email", "end_date_minor_error", "meeting_start_time_error")
@@ -29,22 +31,34 @@ def cardinality_audit(results: DataFrame, gold: DataFrame, on: str = "query_id",
     """Keys of each run that keep its predictions and gold from matching one to one, with the reason.
 
     Every run that occurs in ``results`` is held against all gold rows; without ``run`` the whole table is one run.
+    Predictions are counted once, by run and key, into the shared folder. Then one grouping by key lists the runs a key has, so that its
+    gaps are the other runs. The list of all runs (configurations, whatever the number of rows) is the only thing collected.
     """
-    keys = [on] if run is None else [run, on]
     wanted = gold.groupBy(on).agg(F.count("*").alias("n_gold"))
-    if run is not None:
-        # Runs are configurations: few, whatever the number of rows.
-        runs = results.agg(F.collect_set(run)).scalar()
-        wanted = wanted.withColumn(run, F.explode(runs))
+    keys = [on] if run is None else [run, on]
     made = results.groupBy(*keys).agg(F.count("*").alias("n_predictions"))
-    counts = made.join(wanted, keys, "full").select(
-        *keys, F.coalesce("n_predictions", F.lit(0)).alias("n_predictions"), F.coalesce("n_gold", F.lit(0)).alias("n_gold")
-    )
-    problem = (
-        F.when(F.col("n_gold") == 0, "no gold").when(F.col("n_predictions") == 0, "no prediction")
-        .when((F.col("n_gold") > 1) | (F.col("n_predictions") > 1), "duplicate")
+    if run is None:
+        listed = made.select(on, F.array(F.struct("n_predictions")).alias("made"))
+        gap = F.struct(F.lit(0).cast("long").alias("n_predictions"))
+        gaps = F.when(F.col("made").isNull(), F.array(gap))
+    else:
+        made = through_table(made)
+        kind = made.schema[run].dataType
+        runs = sorted((r[run] for r in made.select(run).distinct().collect()), key=lambda r: (r is None, r))
+        listed = made.groupBy(on).agg(F.collect_list(F.struct(run, "n_predictions")).alias("made"))
+        every = F.array(*[F.lit(r).cast(kind) for r in runs]).cast(ArrayType(kind))
+        has = F.transform(F.coalesce("made", F.array().cast(listed.schema["made"].dataType)), lambda m: m[run])
+        gaps = F.when(
+            (F.col("n_gold") > 0) & (F.size(has) < len(runs)),
+            F.transform(F.array_except(every, has), lambda r: F.struct(r.alias(run), F.lit(0).cast("long").alias("n_predictions"))),
+        )
+    matched = F.filter("made", lambda m: (F.col("n_gold") != 1) | (m["n_predictions"] != 1))
+    none = F.array().cast(listed.schema["made"].dataType)
+    rows = listed.join(wanted, on, "full").withColumn("n_gold", F.coalesce("n_gold", F.lit(0))).select(
+        on, "n_gold", F.inline(F.concat(F.coalesce(matched, none), F.coalesce(gaps.cast(listed.schema["made"].dataType), none)))
     )
-    return counts.withColumn("problem", problem).where(F.col("problem").isNotNull())
+    problem = F.when(F.col("n_gold") == 0, "no gold").when(F.col("n_predictions") == 0, "no prediction").otherwise("duplicate")
+    return rows.select(*keys, "n_predictions", "n_gold", problem.alias("problem"))
 
 
 def require_one_to_one(results: DataFrame, gold: DataFrame, on: str = "query_id", run: str | None = "run_id") -> None:

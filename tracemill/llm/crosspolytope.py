@@ -40,8 +40,7 @@ from tracemill.llm.components import components
 from tracemill.session import through_table
 
 SLACK = 1e-6
-# Of 64 signs of a rotated vector, pairs at 0.9 differ in 9 on average; more than this many differ once in a million pairs.
-SIGNS_DIFFER = 25
+SIGNS = 128
 
 
 # --- hashing -----------------------------------------------------------------------------
@@ -97,11 +96,17 @@ def buckets(m: np.ndarray, k: int, table: int, probes: int) -> np.ndarray:
 
 
 def signs(m: np.ndarray) -> np.ndarray:
-    """64 signs of the rotated rows, as one number; 0 for short vectors, whose rotations are too few."""
+    """Signs of the rotated rows, as two numbers a row; 0 for short vectors, whose rotations are too few."""
     if m.shape[1] < 32:
-        return np.zeros(len(m), np.int64)
-    bits = np.hstack([rotated(m, -s % 2**31)[:, :64] for s in range(1, 3)])[:, :64] > 0
-    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).ravel()
+        return np.zeros((len(m), 2), np.int64)
+    bits = np.hstack([rotated(m, 2**31 - s)[:, :SIGNS] for s in range(1, 1 + max(1, SIGNS // m.shape[1]))])[:, :SIGNS] > 0
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
+
+
+def most_differing(cosine: float) -> int:
+    """Signs in which pairs at the threshold differ, and five standard deviations more."""
+    p = math.acos(cosine) / math.pi
+    return math.floor(SIGNS * p + 5 * math.sqrt(SIGNS * p * (1 - p)))
 
 
 def _pairs_at(d: int, cosine: float, n: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +174,9 @@ def _hashed(nodes: DataFrame, plan: dict[int, tuple[int, int]], probes: int, kin
                 m = _units(part["v"], kind)
                 k, tables = plan[m.shape[1]]
                 names = np.hstack([buckets(m, k, t, probes) for t in range(tables)])
-                yield part.assign(d=np.int32(m.shape[1]), buckets=list(names), home=names[:, 0], signs=signs(m))
+                yield part.assign(d=np.int32(m.shape[1]), buckets=list(names), home=names[:, 0], signs=list(signs(m)))
 
-    return nodes.mapInPandas(run, "node long, v binary, copies long, least long, d int, buckets array<long>, home long, signs long")
+    return nodes.mapInPandas(run, "node long, v binary, copies long, least long, d int, buckets array<long>, home long, signs array<long>")
 
 
 def _placed(hashed: DataFrame, half: float, kind: np.dtype, sample: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -216,18 +221,22 @@ def _placed(hashed: DataFrame, half: float, kind: np.dtype, sample: int = 16) ->
 # --- pairs -------------------------------------------------------------------------------
 
 
-def _met(placed: DataFrame, probes: int) -> DataFrame:
+def _met(placed: DataFrame, probes: int, cosine: float) -> DataFrame:
     """Pairs a < b of balls that lie in a bucket of each other's probes and may be linked by their signs."""
-    entry = placed.select("ball", "d", "signs", F.posexplode("buckets").alias("pos", "bucket")).where("bucket >= 0")
+    both = [F.col("signs")[j].alias(f"s{j}") for j in (0, 1)]
+    entry = placed.select("ball", "d", *both, F.posexplode("buckets").alias("pos", "bucket")).where("bucket >= 0")
     entry = entry.select(
-        "ball", "d", F.expr(f"pos div {probes}").cast("int").alias("t"), "bucket", (F.col("pos") % probes == 0).alias("own"), "signs"
+        "ball", "d", F.expr(f"pos div {probes}").cast("int").alias("t"), "bucket", (F.col("pos") % probes == 0).alias("own"), "s0", "s1"
     )
     # A ball is in a bucket once, whoever of its members is there.
-    once = entry.where("ball < 0").groupBy("ball", "d", "t", "bucket").agg(F.max("own").alias("own"), F.first("signs").alias("signs"))
+    once = entry.where("ball < 0").groupBy("ball", "d", "t", "bucket").agg(
+        F.max("own").alias("own"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
+    )
     entry = through_table(entry.where("ball >= 0").unionByName(once))
-    i = entry.where("own").select("d", "t", "bucket", F.col("ball").alias("i"), F.col("signs").alias("i_signs"))
-    q = entry.select("d", "t", "bucket", F.col("ball").alias("q"), F.col("signs").alias("q_signs"))
-    close = F.bit_count(F.col("i_signs").bitwiseXOR(F.col("q_signs"))) <= SIGNS_DIFFER
+    i = entry.where("own").select("d", "t", "bucket", F.col("ball").alias("i"), F.col("s0").alias("i0"), F.col("s1").alias("i1"))
+    q = entry.select("d", "t", "bucket", F.col("ball").alias("q"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
+    differ = lambda j: F.bit_count(F.col(f"i{j}").bitwiseXOR(F.col(f"q{j}")))
+    close = differ(0) + differ(1) <= most_differing(cosine)
     met = i.join(q, ["d", "t", "bucket"]).where((F.col("i") != F.col("q")) & (close | (F.col("i") < 0) | (F.col("q") < 0)))
     return met.select(F.least("i", "q").alias("a"), F.greatest("i", "q").alias("b")).distinct()
 
@@ -266,7 +275,7 @@ def _compared(unsure: DataFrame, placed: DataFrame, balls: DataFrame, cosine: fl
     members = placed.join(named.join(balls.select("ball", "n"), "ball"), "ball")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).cast("int")
     packed = through_table(
-        members.groupBy("ball", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("node", "copies", "v"))).alias("m"))
+        members.withColumn("part", part).repartition("ball", "part").groupBy("ball", "part").agg(F.sort_array(F.collect_list(F.struct("node", "copies", "v"))).alias("m"))
     )
     side = lambda x: packed.select(F.col("ball").alias(x), F.col("m").alias(f"{x}_m"))
     met = unsure.join(side("a"), "a").join(side("b"), "b")
@@ -296,7 +305,7 @@ def linked(rows: DataFrame, cosine: float = 0.9, recall: float = 0.97, probes: i
     hashed = through_table(_hashed(nodes, plan, probes, kind))
     # All pairs of a ball are linked: two members are at most twice this apart.
     placed, balls = _placed(hashed, (math.acos(cosine) - SLACK) / 2, kind)
-    judged = _judged(_met(placed, probes), balls, cosine, kind)
+    judged = _judged(_met(placed, probes, cosine), balls, cosine, kind)
     parts = _compared(judged.where("not sure"), placed, balls, cosine, block, kind)
 
     weight = lambda x, y: judged.where("sure").select(F.col(x).alias("ball"), F.col(y).alias("other"))

@@ -301,7 +301,7 @@ def _pair_counts(heads: DataFrame) -> DataFrame:
     return heads.select("chunk", "pairs", "counts").mapInPandas(run, "chunk long, at int, pair long, n long")
 
 
-def aligned(docs: DataFrame, a_file: bytes, b_file: bytes, chunk: int = 8_000_000) -> DataFrame:
+def aligned(docs: DataFrame, a_file: bytes, b_file: bytes, chunk: int = 2_000_000) -> DataFrame:
     """``docs``: doc_id, text; the files' contents are those of a byte-level BPE (JSON) and a sentencepiece model.
 
     Returns doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.

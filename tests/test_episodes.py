@@ -53,19 +53,42 @@ def brute(rows, k):
 
 
 @pytest.mark.parametrize(
-    "seed, copies, k, max_postings, block, max_asked",
+    "seed, copies, k, max_postings, step, max_asked",
     [
-        (1, False, 3, 2000, 4096, 64), (2, True, 2, 2000, 4096, 5), (3, False, 3, 8, 16, 64), (4, True, 3, 3, 7, 0),
-        (5, True, 1, 0, 4096, 64),
+        (1, False, 3, 2000, 16, 64), (2, True, 2, 2000, 16, 5), (3, False, 3, 8, 16, 64), (4, True, 3, 3, 2, 0),
+        (5, True, 1, 0, 3, 64), (6, False, 2, 1, 2, 64),
     ],
 )
-def test_similar_episodes_are_exact(spark, seed, copies, k, max_postings, block, max_asked):
+def test_similar_episodes_are_exact(spark, monkeypatch, seed, copies, k, max_postings, step, max_asked):
     rows = make(seed, 150, copies)
     df = spark.createDataFrame(
         rows, "run_id string, seq long, query string, tools array<string>, available array<string>, stored boolean"
     )
-    got = E.similar_episodes(df.where("stored"), df, k, max_postings, block, max_asked).collect()
+    monkeypatch.setattr(E, "STEP", step)
+    levels = []
+    postings = E._postings
+    monkeypatch.setattr(E, "_postings", lambda v, f, level: levels.append(level) or postings(v, f, level))
+    got = E.similar_episodes(df.where("stored"), df, k, max_postings, max_asked).collect()
     assert {(r["run_id"], r["seq"], r["e_seq"], r["rank"]) for r in got} == brute(rows, k)
+    assert bool(levels) == (max_postings < 25) and (step > 3 or len(levels) > 1)
+
+
+def test_weights_that_cannot_reach_the_score_are_not_met(spark):
+    """Of many episodes that share a frequent word, only those with enough weight on it are scored."""
+    texts = [(i, "the " + " ".join(f"w{i}x{j}" for j in range(1 + i % 12))) for i in range(240)]
+    rows = [("a", i, t, ["add"], ["add"], True) for i, t in texts] + [("a", 1000 + i, "the the", ["add"], ["add"], False) for i in range(5)]
+    df = spark.createDataFrame(
+        rows, "run_id string, seq long, query string, tools array<string>, available array<string>, stored boolean"
+    )
+    stored, k = df.where("stored"), 3
+    vectors = E.text_vectors(stored, df, 10)
+    first = E._earliest_copies(stored, k)
+    asked = df.where("seq >= 1000").select("run_id", "seq", "available", E._text_id("query").alias("q_text"), F.lit(0.1).alias("theta"))
+    met = E._met(E._wanted(asked, vectors, 2), E._postings(vectors, first, 2))
+    everything = E._met(E._wanted(asked.withColumn("theta", F.lit(0.0)), vectors, 2), E._postings(vectors, first, 2))
+    assert 0 < met.count() < everything.count() / 2 and everything.count() == 240
+    got = {(r["seq"], r["e_seq"], r["rank"]) for r in E.similar_episodes(stored, df, k, 10).collect()}
+    assert got == {(s, e, n) for _, s, e, n in brute(rows, k)}
 
 
 def test_eligible_counts(spark):

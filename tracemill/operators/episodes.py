@@ -7,9 +7,9 @@ An episode is ``run_id, seq, query, tools`` (plus payload); a query is
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,17 +77,26 @@ def eligible_counts(episodes: DataFrame, queries: DataFrame, width: int = O.WIDT
 
 # --- similarity top-k --------------------------------------------------------------------
 
+STEP = 16
+BANDS = 16
+SLACK = 1e-6
+
 
 def _text_id(c: str) -> Column:
     return F.sha2(F.col(c), 256)
 
 
+def _level(postings: Column, max_postings: int) -> Column:
+    over = F.floor(F.log(postings / F.lit(float(max(max_postings, 1)))) / F.log(F.lit(float(STEP)))).cast("int")
+    return F.when(postings <= max_postings, 0).otherwise(F.greatest(over, F.lit(0)) + 1)
+
+
 def text_vectors(episodes: DataFrame, queries: DataFrame, max_postings: int) -> DataFrame:
     """Unit TF-IDF vector of every distinct text of each run.
 
     Weight: raw term count x (ln((1 + N) / (1 + df)) + 1), N and df over the run's
-    stored episodes. Copies of a text are counted, but worked on once. A term found in more
-    than ``max_postings`` distinct episode texts is marked hot.
+    stored episodes. Copies of a text are counted, but worked on once. Terms have a level by the number of distinct
+    episode texts that hold them: 0 up to ``max_postings``, then one more for each factor of ``STEP``. Vectors list the lowest level first.
     """
     own = lambda df, stored, asked: df.select(
         "run_id", _text_id("query").alias("text_id"), "query", F.lit(stored).alias("n"), F.lit(asked).alias("q")
@@ -112,7 +121,7 @@ def text_vectors(episodes: DataFrame, queries: DataFrame, max_postings: int) ->
     )
     weighted = O.salted_lookup(terms, found, ["run_id", "term"], F.col("text_id"))
     entry = F.struct(
-        "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("postings") > max_postings).alias("hot"),
+        _level(F.col("postings"), max_postings).alias("level"), "term", (F.col("tf") * F.col("idf")).alias("w"),
         (F.col("postings") > 0).alias("shared"),
     )
     vectors = weighted.groupBy("run_id", "text_id").agg(
@@ -123,38 +132,46 @@ def text_vectors(episodes: DataFrame, queries: DataFrame, max_postings: int) ->
         "run_id", "text_id", "copies", "asked",
         F.transform(
             # Terms no episode has count for the norm only.
-            F.filter("vec", lambda v: v["shared"]),
-            lambda v: F.struct(v["term"].alias("term"), (v["w"] / F.col("norm")).alias("w"), v["hot"].alias("hot")),
+            F.sort_array(F.filter("vec", lambda v: v["shared"])),
+            lambda v: F.struct(v["level"].alias("level"), v["term"].alias("term"), (v["w"] / F.col("norm")).alias("w")),
         ).alias("vec"),
     )
 
 
+def _dot(a: Column, b: Column) -> Column:
+    """Inner product of a list of (level, term, w) and a map from term to weight."""
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v["w"] * F.coalesce(F.try_element_at(b, v["term"]), F.lit(0.0)))
+
+
+def _as_map(vec: Column) -> Column:
+    return F.map_from_entries(F.transform(vec, lambda v: F.struct(v["term"], v["w"])))
+
+
 def _candidates(vectors: DataFrame) -> DataFrame:
-    """Exact similarity of text pairs that share a term that is not hot."""
-    rare = lambda name: F.inline(F.filter("vec", lambda v: ~v["hot"])).alias("term", name, "_h")
+    """Exact similarity of text pairs that share a term of level 0."""
+    rare = lambda name: F.inline(F.filter("vec", lambda v: v["level"] == 0)).alias("_l", "term", name)
     q = vectors.where("asked > 0").select("run_id", F.col("text_id").alias("q_text"), rare("qw"))
     e = vectors.where("copies > 0").select("run_id", F.col("text_id").alias("e_text"), rare("ew"))
     dots = (
-        q.drop("_h").join(e.drop("_h"), ["run_id", "term"])
+        q.drop("_l").join(e.drop("_l"), ["run_id", "term"])
         .groupBy("run_id", "q_text", "e_text").agg(F.sum(F.col("qw") * F.col("ew")).alias("dot"))
     )
-    hot = vectors.select(
-        "run_id", "text_id",
-        F.map_from_entries(
-            F.transform(F.filter("vec", lambda v: v["hot"]), lambda v: F.struct(v["term"], v["w"]))
-        ).alias("hot"),
-    ).where(F.size("hot") > 0)
-    qh = hot.select("run_id", F.col("text_id").alias("q_text"), F.col("hot").alias("q_hot"))
-    eh = hot.select("run_id", F.col("text_id").alias("e_text"), F.col("hot").alias("e_hot"))
+    rest = vectors.select("run_id", "text_id", F.filter("vec", lambda v: v["level"] > 0).alias("rest")).where(F.size("rest") > 0)
+    qh = rest.select("run_id", F.col("text_id").alias("q_text"), F.col("rest").alias("q_rest"))
+    eh = rest.select("run_id", F.col("text_id").alias("e_text"), _as_map(F.col("rest")).alias("e_rest"))
     joined = dots.join(eh, ["run_id", "e_text"], "left").join(qh, ["run_id", "q_text"], "left")
-    extra = F.aggregate(
-        F.map_entries("q_hot"), F.lit(0.0),
-        lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("e_hot", x["key"]), F.lit(0.0)),
-    )
-    total = F.col("dot") + F.coalesce(F.when(F.col("e_hot").isNotNull(), extra), F.lit(0.0))
+    total = F.col("dot") + F.coalesce(F.when(F.col("e_rest").isNotNull(), _dot(F.col("q_rest"), F.col("e_rest"))), F.lit(0.0))
     return joined.select("run_id", "q_text", "e_text", F.round(total, 6).alias("score"))
 
 
+def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Exact similarity of given text pairs, from whole vectors."""
+    q = vectors.select("run_id", F.col("text_id").alias("q_text"), F.col("vec").alias("q_vec"))
+    e = vectors.select("run_id", F.col("text_id").alias("e_text"), _as_map(F.col("vec")).alias("e_vec"))
+    met = pairs.join(q, ["run_id", "q_text"]).join(e, ["run_id", "e_text"])
+    return met.select("run_id", "q_text", "e_text", F.round(_dot(F.col("q_vec"), F.col("e_vec")), 6).alias("score"))
+
+
 def _earliest_copies(episodes: DataFrame, k: int) -> DataFrame:
     """Of episodes alike in text and tools only the first k can be among the k best of
     any query: they score the same, are seen by every query that sees a later copy, and win ties."""
@@ -207,123 +224,125 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-_HITS = "run_id {run}, seq long, e_seq long, score double"
-
-
-def _best_in_block(k: int):
-    """Scores one block of queries against one block of episodes; gives back k hits per query."""
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        episodes, queries = right.to_pylist(), left.to_pylist()
-        postings: dict[str, tuple[list, list]] = {}
-        for i, e in enumerate(episodes):
-            for v in e["e_vec"]:
-                at, w = postings.setdefault(v["term"], ([], []))
-                at.append(i)
-                w.append(v["w"])
-        index = {t: (np.array(at), np.array(w)) for t, (at, w) in postings.items()}
-        seqs = np.array([e["e_seq"] for e in episodes], dtype=np.int64)
-        tools = [set(e["tools"]) for e in episodes]
-        hits = []
-        for q in queries:
-            score = np.zeros(len(episodes))
-            for v in q["q_vec"]:
-                if v["term"] in index:
-                    at, w = index[v["term"]]
-                    score[at] += v["w"] * w
-            score = np.round(score, 6)
-            near = np.flatnonzero((score > 0) & (seqs < q["seq"]))
-            near = near[np.lexsort((seqs[near], -score[near]))]
-            have, taken = set(q["available"]), 0
-            for i in near:
-                if taken == k:
-                    break
-                if tools[i] <= have:
-                    hits.append((q["run_id"], q["seq"], int(seqs[i]), float(score[i])))
-                    taken += 1
-        columns = list(zip(*hits)) if hits else [[], [], [], []]
-        kind = left.schema.field("run_id").type
-        return pa.table(
-            {
-                "run_id": pa.array(columns[0], kind), "seq": pa.array(columns[1], pa.int64()),
-                "e_seq": pa.array(columns[2], pa.int64()), "score": pa.array(columns[3], pa.float64()),
-            }
-        )
+def _reach(level: int) -> Column:
+    """The most that an episode can score which shares only terms above ``level``."""
+    return F.sqrt(F.aggregate(F.filter("vec", lambda v: v["level"] > level), F.lit(0.0), lambda s, v: s + v["w"] * v["w"]))
 
-    return best
 
+def _open(asked: DataFrame, ranked: DataFrame, vectors: DataFrame, level: int, k: int) -> DataFrame:
+    """Queries that terms above ``level`` may still change, with the score a new episode has to reach (0 below k hits)."""
+    kth = ranked.groupBy("run_id", "seq").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    reach = vectors.where("asked > 0").select("run_id", F.col("text_id").alias("q_text"), _reach(level).alias("reach")).where("reach > 0")
+    met = asked.join(reach, ["run_id", "q_text"]).join(kth, ["run_id", "seq"], "left")
+    theta = F.when(F.col("n") >= k, F.greatest(F.col("kth") - SLACK, F.lit(0.0))).otherwise(0.0)
+    return met.withColumn("theta", theta).where(F.col("theta") <= F.col("reach")).select(*asked.columns, "theta")
 
-def _blockwise(open_queries: DataFrame, episodes: DataFrame, vectors: DataFrame, k: int, block: int) -> DataFrame:
-    """Top-k by scoring blocks of bounded size against each other."""
-    vec = lambda side: vectors.select(
-        "run_id", F.col("text_id").alias(f"{side}_text"), F.col("vec").alias(f"{side}_vec")
-    )
-    e = episodes.join(vec("e"), ["run_id", "e_text"])
-    q = open_queries.join(vec("q"), ["run_id", "q_text"])
-    parts = lambda df, name: df.groupBy("run_id").agg(
-        F.ceil(F.count("*") / block).cast("int").alias(name)
+
+def _band(angle: Column) -> Column:
+    return F.least(F.greatest(F.floor(angle / (math.pi / 2) * BANDS), F.lit(0)), F.lit(BANDS - 1)).cast("int")
+
+
+def _wanted(open_: DataFrame, vectors: DataFrame, level: int) -> DataFrame:
+    """The terms at ``level`` of what is open, with the bands of posting weights that can reach its score.
+
+    An episode met first on term t, with weight sin(a), scores at most q * sin(a) + r * cos(a), where q is the query's weight and r the
+    length of its later terms. That is rho * cos(a - phi), so weights that can reach theta have their angles around phi.
+    """
+    asks = open_.withColumn("of", X.key_of(F.col("available"))).groupBy("run_id", "q_text", "of").agg(
+        F.min("theta").alias("theta"), F.max("seq").alias("last"), F.first("available").alias("available")
     )
-    grid = parts(episodes, "e_parts").join(parts(open_queries, "q_parts"), "run_id")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    e = e.join(grid, "run_id").withColumn("eb", part("e_seq", "e_parts")).withColumn("qb", every("q_parts"))
-    q = q.join(grid, "run_id").withColumn("qb", part("seq", "q_parts")).withColumn("eb", every("e_parts"))
-    keys = ["run_id", "eb", "qb"]
-    left = q.select(*keys, "seq", "available", "q_vec")
-    # Both sides stem from the same tables, so the keys of one get names of their own.
-    right = e.select(*[F.col(c).alias(f"of_{c}") for c in keys], "e_seq", "tools", "e_vec")
-    kind = dict(open_queries.dtypes)["run_id"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*[f"of_{c}" for c in keys])).applyInArrow(
-        _best_in_block(k), _HITS.format(run=kind)
+    v = vectors.select("run_id", F.col("text_id").alias("q_text"), F.filter("vec", lambda v: v["level"] >= level).alias("left"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v["w"] * v["w"])
+    terms = F.filter(
+        F.transform(
+            "left",
+            lambda v, i: F.struct(
+                v["level"].alias("level"), v["term"].alias("term"), v["w"].alias("q"),
+                F.sqrt(square(F.slice("left", i + 2, F.size("left")))).alias("r"),
+            ),
+        ),
+        lambda t: t["level"] == level,
     )
+    met = asks.join(v, ["run_id", "q_text"]).select("run_id", "q_text", "theta", "last", "available", F.inline(terms))
+    rho, phi = F.sqrt(F.col("q") * F.col("q") + F.col("r") * F.col("r")), F.atan2("q", "r")
+    met = met.withColumn("rho", rho).where(F.col("theta") <= F.col("rho") + SLACK)
+    half = F.acos(F.least(F.col("theta") / F.col("rho"), F.lit(1.0))) + SLACK
+    return met.withColumn("band", F.explode(F.sequence(_band(phi - half), _band(phi + half)))).drop("level", "rho")
+
+
+def _postings(vectors: DataFrame, first: DataFrame, level: int) -> DataFrame:
+    """Episode texts by term at ``level`` and band of weight, one row for each set of tools, with the first time seen."""
+    heads = first.groupBy("run_id", "e_text", "e_sig").agg(F.min("e_seq").alias("e_first"), F.first("tools").alias("tools"))
+    held = F.inline(F.filter("vec", lambda v: v["level"] == level)).alias("_l", "term", "e")
+    e = vectors.where("copies > 0").select("run_id", F.col("text_id").alias("e_text"), held).drop("_l")
+    return e.join(heads, ["run_id", "e_text"]).withColumn("band", _band(F.asin(F.least("e", F.lit(1.0)))))
+
+
+def _met(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """Text pairs that can reach what is asked: earlier, with tools at hand, and by the bound on the score."""
+    bound = F.col("q") * F.col("e") + F.col("r") * F.sqrt(F.greatest(1 - F.col("e") * F.col("e"), F.lit(0.0)))
+    fit = (bound >= F.col("theta") - SLACK) & (F.col("e_first") < F.col("last")) & TS.fits(F.col("tools"), F.col("available"))
+    return wanted.join(postings, ["run_id", "term", "band"]).where(fit).select("run_id", "q_text", "e_text").distinct()
 
 
 def similar_episodes(
-    episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 500, block: int = 4_096,
-    max_asked: int = 64,
+    episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 500, max_asked: int = 64
 ) -> DataFrame:
     """The k most similar usable earlier episodes of each query: ``run_id, seq, e_seq, score, rank``.
 
     Cosine of TF-IDF vectors, rounded to six places, ties to the earlier episode;
     episodes that share no term are not returned. The result is exact:
 
-    1. Texts meet on terms that are not hot, through an inverted index. For a text that more than
+    1. Texts meet on terms of level 0, through an inverted index. For a text that more than
        ``max_asked`` queries ask, candidates that none of them can retrieve are dropped first.
-    2. A query is settled if its k-th score beats the most that hot terms alone could
-       give, which is the length of the hot part of its vector.
-    3. The others, if any, are scored block against block, keeping k per query and block.
+    2. A query is settled if its k-th score beats the most that its terms of higher levels could give, which is the length of that part
+       of its vector.
+    3. What is open goes one level deeper: first to the postings of greatest weight of its terms at that level, which raise its k-th
+       score, then to those whose band of weights can reach that score. Levels follow each other until nothing is open.
+
+    There is one round for each factor of ``STEP`` in the number of episode texts, and each reads only what is still open.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     vectors = through_table(text_vectors(episodes, queries, max_postings))
     first = _earliest_copies(episodes, k)
     asked = queries.select("run_id", "seq", "available", _text_id("query").alias("q_text"))
-    seen = (F.col("e_seq") < F.col("seq")) & TS.fits(F.col("tools"), F.col("available"))
-    pairs = _candidates(vectors).join(first, ["run_id", "e_text"])
     often = vectors.where(F.col("asked") > max_asked).select("run_id", F.col("text_id").alias("q_text"))
-    if not often.isEmpty():
-        pairs = _thinned(pairs, often, k)
-    hits = (
-        pairs.join(asked, ["run_id", "q_text"])
-        .where(seen & (F.col("score") > 0)).select("run_id", "seq", "e_seq", "score")
-    )
-    ranked = _ranked(hits, k)
-    if vectors.where(F.exists("vec", lambda v: v["hot"])).isEmpty():
-        return ranked
-    ranked = through_table(ranked)
-    reach = F.sqrt(
-        F.aggregate(F.filter("vec", lambda v: v["hot"]), F.lit(0.0), lambda s, v: s + v["w"] * v["w"])
-    )
-    kth = ranked.groupBy("run_id", "seq").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    bound = vectors.select("run_id", F.col("text_id").alias("q_text"), reach.alias("reach")).where("reach > 0")
-    unsettled = asked.join(bound, ["run_id", "q_text"]).join(kth, ["run_id", "seq"], "left").where(
-        F.col("n").isNull() | (F.col("n") < k) | (F.col("kth") <= F.col("reach") + 1e-6)
-    )
-    unsettled = through_table(unsettled.select(*asked.columns))
-    if unsettled.isEmpty():
-        return ranked
-    again = _ranked(_blockwise(unsettled, first, vectors, k, block), k)
-    return ranked.join(unsettled.select("run_id", "seq"), ["run_id", "seq"], "left_anti").unionByName(again)
+    thin = not often.isEmpty()
+
+    def hits(scores: DataFrame, of: DataFrame) -> DataFrame:
+        pairs = scores.where("score > 0").join(first, ["run_id", "e_text"])
+        if thin:
+            pairs = _thinned(pairs, often, k)
+        seen = (F.col("e_seq") < F.col("seq")) & TS.fits(F.col("tools"), F.col("available"))
+        return pairs.join(of, ["run_id", "q_text"]).where(seen).select("run_id", "seq", "e_seq", "score")
+
+    ranked = _ranked(hits(_candidates(vectors), asked), k)
+    top = vectors.where("asked > 0").agg(F.max(F.array_max(F.transform("vec", lambda v: v["level"])))).first()[0] or 0
+    if top:
+        first, ranked = through_table(first), through_table(ranked)
+    for level in range(top):
+        open_ = through_table(_open(asked, ranked, vectors, level, k))
+        if open_.isEmpty():
+            break
+        postings = through_table(_postings(vectors, first, level + 1))
+        heaviest = W.partitionBy("run_id", "term", "e_sig").orderBy(F.desc("e"), "e_first", "e_text")
+        few = postings.withColumn("_rn", F.row_number().over(heaviest)).where(F.col("_rn") <= 4 * k).drop("_rn")
+        keys = ["run_id", "seq"]
+        settled, mine = ranked.join(open_, keys, "left_anti"), ranked.join(open_.select(*keys), keys, "left_semi")
+        for some in (few, postings):
+            scores = _scored(through_table(_met(_wanted(open_, vectors, level + 1), some)), vectors)
+            found = hits(scores, open_.drop("theta")).unionByName(mine.drop("rank")).distinct()
+            mine = through_table(_ranked(found, k))
+            # With a better k-th score fewer queries are open, and fewer postings reach it.
+            open_ = through_table(_open(open_.drop("theta"), mine, vectors, level, k))
+            if open_.isEmpty():
+                break
+            if some is few:
+                settled = settled.unionByName(mine.join(open_, keys, "left_anti"))
+                mine = mine.join(open_.select(*keys), keys, "left_semi")
+        ranked = through_table(settled.unionByName(mine))
+    return ranked
 
 
 # --- few-shot examples -------------------------------------------------------------------

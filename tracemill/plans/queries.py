@@ -385,7 +385,8 @@ def eligible_counts(spark, sf):
 
 @query
 def similar_episodes(spark, sf):
-    return E.similar_episodes(_episodes(spark, sf), I.memory_queries(spark, sf), 3)
+    """Few postings a term at level 0, so that small tables go through all levels."""
+    return E.similar_episodes(_episodes(spark, sf), I.memory_queries(spark, sf), 3, max_postings=16)
 
 
 @query

@@ -29,3 +29,19 @@ def test_pruned_scan(spark):
 def test_hot_groups_are_limited_before_the_shuffle(spark):
     plan = entry.queries()["few_shot_picks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_no_null_id_is_shuffled_by_entity(spark):
+    """Actions without an id look nothing up, so they must not gather on one key; whole traces are shuffled once, by their gold key."""
+    import re
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["scored_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    by = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    keys = [re.sub(r"#\d+L?", "", b) for b in by]
+    assert any(k.startswith("target, _key") for k in keys) and not any("entity_id" in k for k in keys)
+    assert not any(k.startswith("run_id") for k in keys)

@@ -176,6 +176,19 @@ def test_audit_of_odd_keys(spark):
     }
 
 
+def test_lookups_of_actions_without_an_id_are_spread(spark, tools, base):
+    from tracemill.operators import replay as R
+
+    acts = spark.createDataFrame([(q, s, act("make", name="x")) for q in range(20) for s in (1, 2, 3)], "query_id long, step long, action string")
+    looked = R._looked_up(R.effective_writes(acts, ["query_id"], tools), base, ["query_id"])
+    assert looked.count() == 60 and looked.where("in_base").count() == 0
+    # Rows of a repeated prediction come back with what their trace changes.
+    rows = [("r", "d", "c", 1, "q", [act("set", id="1", status="A")], "", "")] * 2 + [("r", "d", "c", 2, "q", [], "", "")]
+    g = spark.createDataFrame([(1, "q", []), (2, "q", [])], schemas.GOLD)
+    out = S.with_outcomes(spark.createDataFrame(rows, schemas.RESULTS), g, tools, base).collect()
+    assert sorted((r.query_id, r.changed, len(r.delta)) for r in out) == [(1, True, 1), (1, True, 1), (2, False, 0)]
+
+
 def test_partitioning_and_reads_do_not_matter(spark, tools, base):
     import random
 

@@ -52,15 +52,9 @@ def effective_writes(actions: DataFrame, keys: Sequence[str], tools: DataFrame)
 
 
 def _last_values(writes: Column) -> Column:
-    """One (name, value) per attribute: the last one written."""
+    """One (name, value, was) per attribute: the last one written."""
     names = F.array_distinct(F.transform(writes, lambda w: w["name"]))
-    return F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("name"),
-            F.element_at(F.filter(writes, lambda w: w["name"] == n), -1)["value"].alias("value"),
-        ),
-    )
+    return F.transform(names, lambda n: F.element_at(F.filter(writes, lambda w: w["name"] == n), -1))
 
 
 def _cells(target: Column, change: Column, row_key: Column, writes: Column, fold: bool) -> Column:
@@ -74,25 +68,53 @@ def _cells(target: Column, change: Column, row_key: Column, writes: Column, fold
     ).cast(DELTA)
 
 
-def fold_entities(writes: DataFrame, base_state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Net effect of each trace on each entity it writes."""
-    base = base_state.select("target", "entity_id", "attrs")
+def _looked_up(writes: DataFrame, base_state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Write actions as ``op``, with the base value of each attribute they name and whether base state has the entity.
+
+    Only what an action names leaves the lookup, not whole base rows. Actions without an id have nothing to look up: they
+    get keys of their own that meet no base row, so that they do not gather in one task.
+    """
+    base = base_state.where(F.col("entity_id").isNotNull()).select(
+        "target", F.col("entity_id").alias("_key"), F.lit(True).alias("_known"), "attrs"
+    )
+    known = F.col("entity_id").isNotNull()
+    spread = F.when(known, F.col("entity_id")).otherwise(F.xxhash64(*keys, "step").cast("string"))
+    met = writes.withColumns({"_key": spread, "_known": known}).join(base, ["target", "_key", "_known"], "left")
+    args = F.transform(
+        "args", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), F.try_element_at("attrs", a["name"]).alias("was"))
+    )
+    return met.select(
+        *keys, "target", "entity_id", "key_arg", F.col("attrs").isNotNull().alias("in_base"),
+        # An action without an id stands alone; its step tells it apart. Only an insert can then succeed.
+        F.when(~known, F.col("step")).alias("_own"),
+        F.when(F.col("args").isNotNull(), F.struct("step", "op_kind", args.alias("args"))).alias("op"),
+    )
+
+
+def fold_entities(
+    writes: DataFrame, base_state: DataFrame, keys: Sequence[str], carried: DataFrame | None = None, near: Sequence[str] | None = None
+) -> DataFrame:
+    """Net effect of each trace on each entity it writes.
+
+    ``carried`` are the traces' own rows (``keys`` and a struct ``row``). They travel in the same shuffle as the writes and come out as a
+    list ``rows``, each beside no entity, so that nothing has to be joined back. ``near`` are the keys to shuffle by, if not all.
+    """
     trace = list(keys)
-    one = F.when(F.col("args").isNotNull(), F.struct("step", "op_kind", "args"))
-    # An action without an id stands alone; its step tells it apart. Only an insert can then succeed.
-    own = F.when(F.col("entity_id").isNull(), F.col("step"))
+    looked = _looked_up(writes, base_state, keys)
+    if carried is None:
+        looked = looked.withColumn("row", F.lit(None).cast("int"))
+    else:
+        # Step 0 is no action's, so these rows are a group of their own.
+        looked = looked.unionByName(carried.select(*keys, F.lit(0).cast("long").alias("_own"), "row"), allowMissingColumns=True)
     grouped = (
-        writes.join(base, ["target", "entity_id"], "left")
-        .withColumn("_own", own)
-        .repartition(*trace)
+        looked.repartition(*(near or trace))
         .groupBy(*trace, "target", "entity_id", "_own")
         .agg(
-            F.sort_array(F.collect_list(one)).alias("ops"),
-            F.first("attrs").alias("attrs"),
-            F.first("key_arg").alias("key_arg"),
+            F.sort_array(F.collect_list("op")).alias("ops"), F.coalesce(F.bool_or("in_base"), F.lit(False)).alias("in_base"),
+            F.first("key_arg").alias("key_arg"), F.collect_list("row").alias("rows"),
         )
     )
-    in_base = F.col("attrs").isNotNull()
+    in_base = F.col("in_base")
     born = F.when(in_base, F.lit(0)).otherwise(
         F.array_min(F.transform(F.filter("ops", lambda o: o["op_kind"] == "insert"), lambda o: o["step"]))
     )
@@ -117,35 +139,34 @@ def fold_entities(writes: DataFrame, base_state: DataFrame, keys: Sequence[str])
             ),
         )
     )
+    carries = F.size("rows") > 0
     return (
-        grouped.withColumn("born", born).where(F.col("born").isNotNull())
+        grouped.withColumn("born", born).where(F.col("born").isNotNull() | carries)
         .withColumn("died", died)
         .where(in_base | F.col("died").isNull())
         .select(
-            *trace, "target", "entity_id", "attrs",
+            *trace, "target", "entity_id", "in_base", "rows", carries.alias("carries"),
             F.when(~in_base, F.col("born")).alias("added_at"),
             F.col("died").isNotNull().alias("deleted"),
-            F.when(F.col("died").isNull(), _last_values(written)).alias("cells"),
+            F.when(F.col("died").isNull() & ~carries, _last_values(written)).alias("cells"),
         )
     )
 
 
 def replay(
-    actions: DataFrame, tools: DataFrame, base_state: DataFrame, keys: Sequence[str]
+    actions: DataFrame, tools: DataFrame, base_state: DataFrame, keys: Sequence[str],
+    carried: DataFrame | None = None, near: Sequence[str] | None = None,
 ) -> DataFrame:
     """Final state change of each trace.
 
     ``delta`` is what a trace changes compared without regard to case (except for the
     attributes that keep theirs), ``changed`` whether it changes anything at all,
-    case included. Traces that write nothing have no row.
+    case included. Traces that write nothing have no row, unless they are in ``carried``
+    (see ``fold_entities``), whose rows come back in ``rows``.
     """
-    per_entity = fold_entities(effective_writes(actions, keys, tools), base_state, keys)
-    base_value = lambda w: F.try_element_at(F.col("attrs"), w["name"])
-    moved = F.filter("cells", lambda w: ~w["value"].eqNullSafe(base_value(w)))
-    moved_folded = F.filter(
-        "cells",
-        lambda w: ~X.fold_case(w["name"], w["value"]).eqNullSafe(X.fold_case(w["name"], base_value(w))),
-    )
+    per_entity = fold_entities(effective_writes(actions, keys, tools), base_state, keys, carried, near)
+    moved = F.filter("cells", lambda w: ~w["value"].eqNullSafe(w["was"]))
+    moved_folded = F.filter("cells", lambda w: ~X.fold_case(w["name"], w["value"]).eqNullSafe(X.fold_case(w["name"], w["was"])))
     gone = F.array(
         F.struct(
             F.col("target"), F.lit("delete"), F.col("entity_id"), F.lit(""), F.lit("")
@@ -153,16 +174,18 @@ def replay(
     ).cast(DELTA)
     is_new = F.col("added_at").isNotNull()
     updates = _cells(F.col("target"), F.lit("update"), F.col("entity_id"), moved_folded, True)
+    acts = ~F.col("carries")
     per_entity = per_entity.select(
-        *keys,
-        F.when(~is_new, F.when(F.col("deleted"), gone).otherwise(updates)).alias("old_rows"),
-        F.when(is_new, F.struct("target", "added_at", "cells")).alias("new_row"),
-        (is_new | F.col("deleted") | (F.size(moved) > 0)).alias("changed"),
+        *keys, "rows",
+        F.when(acts & ~is_new, F.when(F.col("deleted"), gone).otherwise(updates)).alias("old_rows"),
+        F.when(acts & is_new, F.struct("target", "added_at", "cells")).alias("new_row"),
+        (acts & (is_new | F.col("deleted") | (F.size(moved) > 0))).alias("changed"),
     )
     traces = per_entity.groupBy(*keys).agg(
         F.flatten(F.collect_list("old_rows")).alias("old_rows"),
         F.sort_array(F.collect_list("new_row")).alias("new_rows"),
         F.bool_or("changed").alias("changed"),
+        *([F.flatten(F.collect_list("rows")).alias("rows")] if carried is not None else []),
     )
     # Position of an added row among the rows added to the same target.
     place = lambda r, i: F.size(
@@ -174,7 +197,8 @@ def replay(
             lambda r, i: _cells(r["target"], F.lit("insert"), place(r, i).cast("string"), r["cells"], True),
         )
     )
-    return traces.select(*keys, F.sort_array(F.concat("old_rows", added)).alias("delta"), "changed")
+    own = ["rows"] if carried is not None else []
+    return traces.select(*keys, F.sort_array(F.concat("old_rows", added)).alias("delta"), "changed", *own)
 
 
 def deltas(replayed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -112,10 +112,11 @@ def iteration_limit_rows(results: DataFrame) -> DataFrame:
 
 
 def outcomes(
-    traces: DataFrame, actions: str, tools: DataFrame, base_state: DataFrame, keys: Sequence[str]
+    traces: DataFrame, actions: str, tools: DataFrame, base_state: DataFrame, keys: Sequence[str],
+    carried: DataFrame | None = None, near: Sequence[str] | None = None,
 ) -> DataFrame:
     escaped = traces.select(*keys, X.escape_newlines(X.actions_or_empty(F.col(actions))).alias("_a"))
-    return R.replay(R.explode_actions(escaped, keys, "_a"), tools, base_state, keys)
+    return R.replay(R.explode_actions(escaped, keys, "_a"), tools, base_state, keys, carried, near)
 
 
 def gold_outcomes(gold: DataFrame, tools: DataFrame, base_state: DataFrame, on: str = "query_id") -> DataFrame:
@@ -127,20 +128,19 @@ def with_outcomes(
     results: DataFrame, gold: DataFrame, tools: DataFrame, base_state: DataFrame,
     keys: Sequence[str] = KEYS, on: str = "query_id", gold_out: DataFrame | None = None,
 ) -> DataFrame:
-    """``harmonise`` plus the state change of both sides; each gold list is replayed once."""
-    predicted = outcomes(results, "function_calls", tools, base_state, keys)
+    """``harmonise`` plus the state change of both sides; each gold list is replayed once.
+
+    A prediction's row goes along with its writes and is shuffled once, by the key it meets its gold on.
+    """
+    rest = [c for c in results.columns if c not in keys]
+    carried = results.select(*keys, F.struct(*rest).alias("row"))
+    replayed = outcomes(results, "function_calls", tools, base_state, keys, carried, [on] if on in keys else None)
+    predicted = replayed.select(*keys, "delta", "changed", F.inline("rows"))
     gold_out = gold_outcomes(gold, tools, base_state, on) if gold_out is None else gold_out
-    nothing = F.array().cast(R.DELTA)
     return (
-        harmonise(results.join(predicted, list(keys), "left"), gold, on)
+        harmonise(predicted.select(*results.columns, "delta", "changed"), gold, on)
         .join(gold_out, on, "left")
-        .withColumns(
-            {
-                "delta": F.coalesce("delta", nothing),
-                "gold_delta": F.coalesce("gold_delta", nothing),
-                "changed": F.coalesce("changed", F.lit(False)),
-            }
-        )
+        .withColumn("gold_delta", F.coalesce("gold_delta", F.array().cast(R.DELTA)))
         .withColumn("same_outcome", F.col("delta") == F.col("gold_delta"))
     )
 

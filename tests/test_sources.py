@@ -9,7 +9,7 @@ from tracemill import schemas
 from tracemill.operators import score as S
 from tracemill.plans import standins as I
 from tracemill.session import shared_dir, through_table
-from tracemill.sources import files
+from tracemill.sources import csvsplit, files
 from tracemill.streaming import jobs
 from conftest import SF
 
@@ -30,6 +30,49 @@ def test_queries_csv(spark, tmp_path):
     assert [r["answer"] for r in files.read_queries(spark, path, first=2).orderBy("seq").collect()] == answers[:2]
 
 
+def _odd_csv(rng, path, ends, quoting):
+    """A file of odd fields and blank lines; its rows as the csv module reads them."""
+    field = lambda: "".join(rng.choices(["a", " ", '"', ",", "\n", "\r\n", "é", "xxxxx", "'", "\\"], k=rng.randint(0, 25)))
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f, quoting=quoting, lineterminator=ends)
+        w.writerow(["query\nof", "answer", "domains"])
+        for i in range(60):
+            w.writerow([field(), field(), "z\n" * 700 if i == 20 else f"r{i}"])
+            if i % 7 == 0:
+                f.write(ends)
+    return [r for r in csv.reader(open(path, newline=""))][1:]
+
+
+def test_csv_with_line_breaks_in_fields_is_read_by_several_tasks(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    kinds = [("\n", csv.QUOTE_ALL), ("\r\n", csv.QUOTE_ALL), ("\n", csv.QUOTE_MINIMAL)]
+    want = [r for i, (e, q) in enumerate(kinds) for r in _odd_csv(rng, f"{tmp_path}/f{i}.csv", e, q) if r]
+    (tmp_path / "g_header_only.csv").write_text("query,answer,domains\n")
+    (tmp_path / "h_empty.csv").write_text("")
+    (tmp_path / "i_bom.csv").write_text("\ufeffquery,answer,domains\na,b,c", encoding="utf-8")
+    want.append(["a", "b", "c"])
+    confs = {"spark.sql.files.maxPartitionBytes": "257", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    old = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        assert csvsplit._splits(csvsplit._lines(spark, str(tmp_path))).where("_file like '%f1.csv'").count() > 10
+        got = csvsplit.read_csv(spark, str(tmp_path), schemas.QUERIES_CSV).orderBy("seq").collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    assert [r.seq for r in got] == list(range(len(want)))
+    assert [[x or "" for x in (r.query, r.answer, r.domains)] for r in got] == want
+
+
+def test_a_field_that_is_never_closed_reaches_to_the_end(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('query,answer,domains\n"a",b,c\n"d\ne,f')
+    got = csvsplit.read_csv(spark, str(tmp_path / "q.csv"), schemas.QUERIES_CSV).orderBy("seq").collect()
+    assert len(got) == 2 and got[0].query == "a" and got[1].seq == 1 and "d\ne,f" in got[1].query
+
+
 def test_unreadable_literal_is_null(spark, tmp_path):
     path = str(tmp_path / "q.csv")
     write_csv(path, [["query", "answer", "domains"], ["q", "[oops", "[]"], ["p", "('a', 1)", "[]"]])

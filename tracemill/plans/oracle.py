@@ -656,8 +656,10 @@ ORACLE: dict[str, str] = {
         '2024-01-31_10-20-30' AS time, 'request ' || query_id AS query,
         coalesce(string_agg({RAW}, ' | ' ORDER BY step), '') AS function_calls, error
         FROM runs LEFT JOIN acts USING (c, query_id) GROUP BY ALL""",
+    "scored_from_files": f"""WITH {SCORED} SELECT 'mixed' AS domain, config, 'request ' || query_id AS query, exact_match, correct,
+        unwanted_side_effects, no_actions, wrong_email, end_date_minor_error, meeting_start_time_error FROM scored""",
     "result_tables": f"""WITH {ACTS} SELECT r.domain, r.config, count(DISTINCT r.query_id) AS n, count(a.step) AS n_calls
-        FROM runs r LEFT JOIN acts a USING (c, query_id) WHERE r.domain = 'email' GROUP BY ALL""",
+        FROM runs r LEFT JOIN acts a USING (c, query_id) GROUP BY ALL""",
     "episode_store": f"""WITH {MEM} SELECT fmt, run_id::VARCHAR AS run_id, seq, query, t1 || ',' || t2 AS tools, seq::VARCHAR AS k
         FROM eps, (VALUES ('parquet'), ('json')) f(fmt)""",
     "example_file": f"""WITH {MEM} SELECT {DOM.format(q='seq')} AS domain_key, count(*) AS n, min(seq) AS first_pos

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tracemill import schemas
 from tracemill.functions import jsontext as J
 from tracemill.functions import text as X
-
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+from tracemill.sources import csvsplit
 
 
 def list_literal(items: Column) -> Column:
@@ -31,15 +30,7 @@ def list_literal(items: Column) -> Column:
 
 def read_queries(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """Query and answer table; list literals become arrays, ``seq`` numbers the rows in the order of files and lines."""
-    raw = spark.read.schema(schemas.QUERIES_CSV).options(**_CSV).csv(path).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    # One row per split of a file: how many rows come before it.
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = raw.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = raw.join(splits, ["_file", "_start"]).withColumn("seq", F.col("_before") + F.col("_id") - F.col("_first"))
+    rows = csvsplit.read_csv(spark, path, schemas.QUERIES_CSV)
     if first is not None:
         rows = rows.where(F.col("seq") < first)
     return rows.select(
@@ -74,14 +65,18 @@ def export_results(df: DataFrame, root: str, domain: str, label: str, mode: str,
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
-    """All exported runs below ``root`` with what their paths say about them."""
-    raw = spark.read.schema(schemas.RESULTS_CSV).options(**_CSV).csv(f"{root}/*/*.csv")
+    """All exported runs below ``root`` with what their paths say about them.
+
+    ``run_id`` names the file of a run, ``query_id`` is that of ``read_queries``, so that runs can be scored as they are.
+    """
+    raw = csvsplit.read_csv(spark, f"{root}/*/*.csv", schemas.RESULTS_CSV)
     name = r"/([^/]+)/([a-z0-9-]+)_([^/]+)_(\d{4}-\d\d-\d\d_\d\d-\d\d-\d\d)\.csv"
-    part = lambda i: F.regexp_extract("_metadata.file_path", name, i)
+    part = lambda i: F.regexp_extract("_file", name, i)
+    run = F.concat(part(1), F.lit("/"), F.concat_ws("_", part(2), part(3), part(4)))
     return raw.select(
         part(1).alias("domain"), part(2).alias("label"), part(3).alias("mode"), part(4).alias("time"),
         "query", J.string_list(F.col("function_calls")).alias("function_calls"), "full_response",
-        F.coalesce("error", F.lit("")).alias("error"),
+        F.coalesce("error", F.lit("")).alias("error"), run.alias("run_id"), F.sha2("query", 256).alias("query_id"),
     )
 
 

@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill import constants as C
 from tracemill.functions import text as X
 
 DELTA = "array<struct<target string, change string, row_key string, attr string, value string>>"
@@ -51,21 +52,19 @@ def effective_writes(actions: DataFrame, keys: Sequence[str], tools: DataFrame)
     )
 
 
-def _last_values(writes: Column) -> Column:
-    """One (name, value, was) per attribute: the last one written."""
-    names = F.array_distinct(F.transform(writes, lambda w: w["name"]))
-    return F.transform(names, lambda n: F.element_at(F.filter(writes, lambda w: w["name"] == n), -1))
+# The rules below are SQL text: one expression each, where columns would be hundreds of calls from Python.
 
 
-def _cells(target: Column, change: Column, row_key: Column, writes: Column, fold: bool) -> Column:
-    value = (lambda w: X.fold_case(w["name"], w["value"])) if fold else (lambda w: w["value"])
-    return F.transform(
-        writes,
-        lambda w: F.struct(
-            target.alias("target"), change.alias("change"), row_key.alias("row_key"),
-            w["name"].alias("attr"), value(w).alias("value"),
-        ),
-    ).cast(DELTA)
+def _folded(name: str, value: str) -> str:
+    """An attribute value in lower case, unless the attribute keeps its case."""
+    kept = ", ".join(f"'{a}'" for a in C.CASE_KEPT_ATTRIBUTES)
+    return f"if({name} IN ({kept}), {value}, lower({value}))"
+
+
+def _cells(writes: str, target: str, change: str, row_key: str) -> str:
+    """Writes as changed cells, with values compared without regard to case."""
+    cell = f"struct({target} AS target, '{change}' AS change, {row_key} AS row_key, w.name AS attr, {_folded('w.name', 'w.value')} AS value)"
+    return f"CAST(transform({writes}, w -> {cell}) AS {DELTA})"
 
 
 def _looked_up(writes: DataFrame, base_state: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,20 +73,15 @@ def _looked_up(writes: DataFrame, base_state: DataFrame, keys: Sequence[str]) ->
     Only what an action names leaves the lookup, not whole base rows. Actions without an id have nothing to look up: they
     get keys of their own that meet no base row, so that they do not gather in one task.
     """
-    base = base_state.where(F.col("entity_id").isNotNull()).select(
-        "target", F.col("entity_id").alias("_key"), F.lit(True).alias("_known"), "attrs"
-    )
-    known = F.col("entity_id").isNotNull()
-    spread = F.when(known, F.col("entity_id")).otherwise(F.xxhash64(*keys, "step").cast("string"))
-    met = writes.withColumns({"_key": spread, "_known": known}).join(base, ["target", "_key", "_known"], "left")
-    args = F.transform(
-        "args", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), F.try_element_at("attrs", a["name"]).alias("was"))
-    )
-    return met.select(
-        *keys, "target", "entity_id", "key_arg", F.col("attrs").isNotNull().alias("in_base"),
+    base = base_state.where("entity_id IS NOT NULL").selectExpr("target", "entity_id AS _key", "true AS _known", "attrs")
+    spread = F.coalesce("entity_id", F.xxhash64(*keys, "step").cast("string"))
+    met = writes.withColumns({"_key": spread, "_known": F.expr("entity_id IS NOT NULL")}).join(base, ["target", "_key", "_known"], "left")
+    return met.selectExpr(
+        *keys, "target", "entity_id", "key_arg", "attrs IS NOT NULL AS in_base",
         # An action without an id stands alone; its step tells it apart. Only an insert can then succeed.
-        F.when(~known, F.col("step")).alias("_own"),
-        F.when(F.col("args").isNotNull(), F.struct("step", "op_kind", args.alias("args"))).alias("op"),
+        "if(entity_id IS NULL, step, NULL) AS _own",
+        """if(args IS NOT NULL, struct(step, op_kind, transform(args, a -> struct(
+            a.name AS name, a.value AS value, try_element_at(attrs, a.name) AS was)) AS args), NULL) AS op""",
     )
 
 
@@ -105,52 +99,28 @@ def fold_entities(
         looked = looked.withColumn("row", F.lit(None).cast("int"))
     else:
         # Step 0 is no action's, so these rows are a group of their own.
-        looked = looked.unionByName(carried.select(*keys, F.lit(0).cast("long").alias("_own"), "row"), allowMissingColumns=True)
-    grouped = (
-        looked.repartition(*(near or trace))
-        .groupBy(*trace, "target", "entity_id", "_own")
-        .agg(
-            F.sort_array(F.collect_list("op")).alias("ops"), F.coalesce(F.bool_or("in_base"), F.lit(False)).alias("in_base"),
-            F.first("key_arg").alias("key_arg"), F.collect_list("row").alias("rows"),
-        )
-    )
-    in_base = F.col("in_base")
-    born = F.when(in_base, F.lit(0)).otherwise(
-        F.array_min(F.transform(F.filter("ops", lambda o: o["op_kind"] == "insert"), lambda o: o["step"]))
-    )
-    died = F.array_min(
-        F.transform(
-            F.filter("ops", lambda o: (o["op_kind"] == "delete") & (o["step"] > F.col("born"))),
-            lambda o: o["step"],
-        )
-    )
-    lasting = F.filter(
-        "ops",
-        lambda o: ((o["op_kind"] == "update") & (o["step"] > F.col("born")))
-        | ((o["op_kind"] == "insert") & (o["step"] == F.col("born"))),
-    )
-    written = F.flatten(
-        F.transform(
-            lasting,
-            # The id names the row to change; only an added row also carries it as a cell.
-            lambda o: F.filter(
-                o["args"],
-                lambda a: (o["op_kind"] == "insert") | ~a["name"].eqNullSafe(F.col("key_arg")),
-            ),
-        )
-    )
-    carries = F.size("rows") > 0
-    return (
-        grouped.withColumn("born", born).where(F.col("born").isNotNull() | carries)
-        .withColumn("died", died)
-        .where(in_base | F.col("died").isNull())
-        .select(
-            *trace, "target", "entity_id", "in_base", "rows", carries.alias("carries"),
-            F.when(~in_base, F.col("born")).alias("added_at"),
-            F.col("died").isNotNull().alias("deleted"),
-            F.when(F.col("died").isNull() & ~carries, _last_values(written)).alias("cells"),
-        )
-    )
+        looked = looked.unionByName(carried.selectExpr(*keys, "0L AS _own", "row"), allowMissingColumns=True)
+    grouped = looked.repartition(*(near or trace)).groupBy(*trace, "target", "entity_id", "_own").agg(
+        F.expr("sort_array(collect_list(op)) AS ops"), F.expr("coalesce(bool_or(in_base), false) AS in_base"),
+        F.expr("first(key_arg) AS key_arg"), F.expr("collect_list(row) AS rows"),
+    )
+    born = grouped.selectExpr(
+        "*", "size(rows) > 0 AS carries",
+        "if(in_base, 0, array_min(transform(filter(ops, o -> o.op_kind = 'insert'), o -> o.step))) AS born",
+    ).where("born IS NOT NULL OR carries")
+    died = born.selectExpr(
+        "*", "array_min(transform(filter(ops, o -> o.op_kind = 'delete' AND o.step > born), o -> o.step)) AS died"
+    ).where("in_base OR died IS NULL")
+    # The id names the row to change; only an added row also carries it as a cell.
+    written = died.selectExpr(
+        *trace, "target", "entity_id", "in_base", "rows", "carries", "if(in_base, NULL, born) AS added_at", "died IS NOT NULL AS deleted",
+        """if(died IS NULL AND NOT carries, flatten(transform(
+            filter(ops, o -> o.op_kind = 'update' AND o.step > born OR o.op_kind = 'insert' AND o.step = born),
+            o -> filter(o.args, a -> o.op_kind = 'insert' OR NOT (a.name <=> key_arg)))), NULL) AS written""",
+    )
+    # One write per attribute: the last one.
+    last = "transform(array_distinct(transform(written, w -> w.name)), n -> element_at(filter(written, w -> w.name = n), -1)) AS cells"
+    return written.selectExpr(*(c for c in written.columns if c != "written"), last)
 
 
 def replay(
@@ -165,40 +135,23 @@ def replay(
     (see ``fold_entities``), whose rows come back in ``rows``.
     """
     per_entity = fold_entities(effective_writes(actions, keys, tools), base_state, keys, carried, near)
-    moved = F.filter("cells", lambda w: ~w["value"].eqNullSafe(w["was"]))
-    moved_folded = F.filter("cells", lambda w: ~X.fold_case(w["name"], w["value"]).eqNullSafe(X.fold_case(w["name"], w["was"])))
-    gone = F.array(
-        F.struct(
-            F.col("target"), F.lit("delete"), F.col("entity_id"), F.lit(""), F.lit("")
-        )
-    ).cast(DELTA)
-    is_new = F.col("added_at").isNotNull()
-    updates = _cells(F.col("target"), F.lit("update"), F.col("entity_id"), moved_folded, True)
-    acts = ~F.col("carries")
-    per_entity = per_entity.select(
+    moved = f"filter(cells, w -> NOT ({_folded('w.name', 'w.value')} <=> {_folded('w.name', 'w.was')}))"
+    gone = f"CAST(array(struct(target, 'delete', entity_id, '', '')) AS {DELTA})"
+    per_entity = per_entity.selectExpr(
         *keys, "rows",
-        F.when(acts & ~is_new, F.when(F.col("deleted"), gone).otherwise(updates)).alias("old_rows"),
-        F.when(acts & is_new, F.struct("target", "added_at", "cells")).alias("new_row"),
-        (acts & (is_new | F.col("deleted") | (F.size(moved) > 0))).alias("changed"),
+        f"if(NOT carries AND added_at IS NULL, if(deleted, {gone}, {_cells(moved, 'target', 'update', 'entity_id')}), NULL) AS old_rows",
+        "if(NOT carries AND added_at IS NOT NULL, struct(target, added_at, cells), NULL) AS new_row",
+        "NOT carries AND (added_at IS NOT NULL OR deleted OR exists(cells, w -> NOT (w.value <=> w.was))) AS changed",
     )
+    own = ["rows"] if carried is not None else []
     traces = per_entity.groupBy(*keys).agg(
-        F.flatten(F.collect_list("old_rows")).alias("old_rows"),
-        F.sort_array(F.collect_list("new_row")).alias("new_rows"),
-        F.bool_or("changed").alias("changed"),
-        *([F.flatten(F.collect_list("rows")).alias("rows")] if carried is not None else []),
+        F.expr("flatten(collect_list(old_rows)) AS old_rows"), F.expr("sort_array(collect_list(new_row)) AS new_rows"),
+        F.expr("bool_or(changed) AS changed"), *[F.expr("flatten(collect_list(rows)) AS rows") for _ in own],
     )
     # Position of an added row among the rows added to the same target.
-    place = lambda r, i: F.size(
-        F.filter(F.slice("new_rows", F.lit(1), i + 1), lambda q: q["target"] == r["target"])
-    )
-    added = F.flatten(
-        F.transform(
-            "new_rows",
-            lambda r, i: _cells(r["target"], F.lit("insert"), place(r, i).cast("string"), r["cells"], True),
-        )
-    )
-    own = ["rows"] if carried is not None else []
-    return traces.select(*keys, F.sort_array(F.concat("old_rows", added)).alias("delta"), "changed", *own)
+    place = "CAST(size(filter(slice(new_rows, 1, i + 1), q -> q.target = r.target)) AS string)"
+    added = f"flatten(transform(new_rows, (r, i) -> {_cells('r.cells', 'r.target', 'insert', place)}))"
+    return traces.selectExpr(*keys, f"sort_array(concat(old_rows, {added})) AS delta", "changed", *own)
 
 
 def deltas(replayed: DataFrame, keys: Sequence[str]) -> DataFrame:

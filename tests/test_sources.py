@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill import schemas
 from tracemill.operators import score as S
 from tracemill.plans import standins as I
-from tracemill.session import shared_dir, through_table
+from tracemill.session import drop_table, shared_dir, through_table
 from tracemill.sources import csvsplit, files
 from tracemill.streaming import jobs
 from conftest import SF
@@ -153,3 +153,14 @@ def test_first_rows_follow_the_files(spark, tmp_path):
     got = files.read_queries(spark, str(tmp_path))
     assert [(r.seq, r.query) for r in got.orderBy("seq").collect()] == [(i, f"q{i:06d}") for i in range(4100)]
     assert sorted(r.query for r in files.read_queries(spark, str(tmp_path), first=12).collect()) == [f"q{i:06d}" for i in range(12)]
+
+
+def test_dropped_tables_are_gone(spark):
+    import os
+
+    one, other = through_table(spark.range(5)), through_table(spark.range(7))
+    folder = one.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    drop_table(one)
+    drop_table(through_table(spark.range(0)))
+    assert not os.path.exists(folder) and other.count() == 7

@@ -64,3 +64,12 @@ def through_table(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Removes the files of a result of ``through_table`` that nothing reads any more: they lie below the shared folder."""
+    spark = table.sparkSession
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)

@@ -37,7 +37,7 @@ from pyspark.sql.functions import pandas_udf
 from tracemill.llm.components import components
 from tracemill.llm.sieve import likely, marked
 from tracemill.llm.words import distinct, hashed, mixed, shingles, spaced
-from tracemill.session import through_table
+from tracemill.session import drop_table, through_table
 
 CLASS_RATIO = 1.25
 FANOUT = 16
@@ -259,11 +259,13 @@ def _with_roots(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
 def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id of its class)."""
     texts = docs.select("doc_id", "text")
-    sketch = through_table(sketched(texts, k, percent))
+    with_cells = through_table(sketched(texts, k, percent))
+    sketch = through_table(with_cells.drop("cells"))
     key = ["n_shingles", "f1", "f2"]
-    filled = sketch.where("n_shingles > 0 and doc_id is not null")
+    there = "n_shingles > 0 and doc_id is not null"
+    filled = sketch.where(there)
     # Only rows whose set may occur again are brought together; a set that occurs once is its own.
-    told = marked(filled, filled.groupBy(*key).count().where("count > 1"), key)
+    told = marked(with_cells.where(there), filled.groupBy(*key).count().where("count > 1"), key)
     again = told.where("likely").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.any_value("cells").alias("cells"))
     sets = told.where("not likely").select(*key, "doc_id", "cells").unionByName(again)
     by_cell = Window.partitionBy("cell")
@@ -276,6 +278,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
         )
         .where("members > 1 and own = 1").drop("own")
     )
+    drop_table(with_cells)
     # Each member is tried against the leader that it shares most cells with; all other pairs are left to the search.
     shared = filed.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
     stars = through_table(shared.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("most")).select((-F.col("most.a")).alias("a"), "b"))
@@ -294,10 +297,12 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
         F.least("side", "met").alias("side_a"), F.greatest("side", "met").alias("side_b"),
     )
     spread = through_table(spread)
+    drop_table(filed)
     wanted = spread.select("doc_id").distinct()
     placed = points(likely(texts, wanted, ["doc_id"]).join(wanted, "doc_id", "left_semi"), k)
     ready = spread.join(placed, "doc_id").repartition("cell").sortWithinPartitions("cell")
     pairs = through_table(_searched(ready, percent).join(stars, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
+    drop_table(spread)
     # The likeliest pair of two classes first: if it links, the others of the two need no test.
     likeliest = pairs.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max(F.struct("bound", "a", "b")).alias("p"))
     first = through_table(likeliest.select("p.a", "p.b"))

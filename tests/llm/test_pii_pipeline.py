@@ -171,7 +171,25 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Without labels nothing is rejected; of the repeated rows one stays, and texts without words give the mix nothing.
+    assert {(r.doc_id, r.source) for r in rows} == {(None, "s"), (3, "s")}
+    assert {r.text for r in rows} == {"Some text here. It is fine.", "[EMAIL] " * 5}
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    names = ("row", "row_key", "spans", "base", "b_ip", "c", "was_null", "other_columns", "Row_Key_")
+    words = lambda at: " ".join(f"w{i}" for i in range(at, at + 30))
+    rows = [(i, words(100 * (i // 2)) + (" a@b.cd" if i == 4 else ""), *(f"{n}{i}" for n in names)) for i in range(6)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (spark.createDataFrame(rows, schema), through_table(spark.createDataFrame(rows, schema).repartition(2))):
+        kept = corpus_pipeline.near_copies_stage(spark, docs, str(tmp_path))
+        kept = corpus_pipeline.decontamination_stage(spark, through_table(kept), str(tmp_path))
+        kept = corpus_pipeline.personal_data_stage(spark, through_table(kept), str(tmp_path))
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [
+            (i, words(100 * (i // 2)) + (" [EMAIL]" if i == 4 else ""), *(f"{n}{i}" for n in names)) for i in (0, 2, 4)]
 
 
 def test_rows_that_share_an_id_or_have_none(spark, tmp_path):

@@ -53,3 +53,10 @@ PHASE_MARKERS = (
     ("verification", r"=== CRITIC verification pass \d+ of \d+ ==="),
     ("correction", r"=== CRITIC correction [^\n]*==="),
 )
+
+# Fixed value: how a block that holds a tool call is marked in a model's text.
+CALL_BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
+
+# How a plan marks a step's thought and the call whose result it names; {space} is white space.
+PLAN_MARK = r"(?U)(?:^|\n){space}*Plan{space}*:{space}*"
+PLAN_CALL = r"(?U)#E(\d+){space}*={space}*([A-Za-z_]\w*){space}*\["

@@ -23,7 +23,7 @@ from tracemill import constants as C
 from tracemill import schemas
 
 _JSON = json.JSONDecoder()
-_BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
+_BLOCK = C.CALL_BLOCK
 
 CALL = schemas._struct(name=T.StringType(), args=schemas.ARGS, args_json=T.StringType())
 VERDICT = schemas._struct(success=T.BooleanType(), reason=T.StringType())

@@ -37,7 +37,7 @@ def tool_call_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
 def malformed_rate(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
     """Share of call blocks that hold no readable call."""
-    blocks = F.size(F.regexp_extract_all(F.col(text), F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1))
+    blocks = F.size(F.regexp_extract_all(F.col(text), F.lit(C.CALL_BLOCK), 1))
     calls = F.size(J.tool_calls(F.col(text)))
     counted = df.select(*by, blocks.alias("b"), F.least(blocks, calls).alias("c"))
     return counted.groupBy(*by).agg(
@@ -103,8 +103,7 @@ def plan_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
     ``part`` numbers the pieces between ``Plan:`` marks, ``step`` the steps kept, both from 1.
     """
-    s = X.SPACE
-    opening = rf"(?U)#E(\d+){s}*={s}*([A-Za-z_]\w*){s}*\["
+    opening = C.PLAN_CALL.replace("{space}", X.SPACE)
 
     def cut(part: Column, i: Column) -> Column:
         # The pattern is searched once; its first match is also the first place of the matched text.
@@ -116,7 +115,7 @@ def plan_table(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
             ),
         )
 
-    parts = F.split(F.col(text), rf"(?U)(?:^|\n){s}*Plan{s}*:{s}*")
+    parts = F.split(F.col(text), C.PLAN_MARK.replace("{space}", X.SPACE))
     after_first = X.let(parts, lambda ps: F.slice(ps, F.lit(2), F.size(ps)))
     found = F.filter(F.transform(after_first, cut), lambda c: c["head"] != "")
     rows = df.select(*keys, F.inline_outer(found)).where(F.col("part").isNotNull())

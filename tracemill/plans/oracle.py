@@ -7,7 +7,7 @@ array and replay expressions of the library by another route.
 from __future__ import annotations
 
 from tracemill.operators import datasets as D
-from tracemill.plans.queries import NOW
+from tracemill.plans.queries import HEAD
 
 LIMIT = "Agent stopped due to iteration limit."
 
@@ -381,8 +381,7 @@ def _quote(text: str) -> str:
 
 
 def _prompt(phase: str) -> str:
-    clock = {"weekday": NOW.strftime("%A"), "date": str(NOW.date()), "time": str(NOW.time())}
-    return _quote(D.PREAMBLE.format(**clock) + D.TEMPLATES[phase])
+    return _quote(HEAD + D.TEMPLATES[phase])
 
 
 ORACLE: dict[str, str] = {
@@ -625,11 +624,10 @@ ORACLE: dict[str, str] = {
                round(avg(turns), 6) AS turns_per_query FROM q GROUP BY ALL""",
     # datasets
     "system_prompts": f"""WITH {EV},{TOOLS},
-        t AS (SELECT query_id, string_agg(line, chr(10) ORDER BY ord) AS tt FROM qtools GROUP BY ALL)
-        SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'tool_calling' WHEN 1 THEN 'react' WHEN 2 THEN 'rewoo' ELSE 'evaluator' END AS phase,
-          replace(CASE query_id % 4 WHEN 0 THEN {_prompt('tool_calling')} WHEN 1 THEN {_prompt('react')}
-            WHEN 2 THEN {_prompt('rewoo')} ELSE {_prompt('evaluator')} END,
-            '{{tools}}', 'Available tools:' || chr(10) || tt) AS system_prompt FROM t""",
+        t AS (SELECT query_id, string_agg(line, chr(10) ORDER BY ord) AS tt FROM qtools GROUP BY ALL),
+        p AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{p}', {_prompt(p)})" for i, p in enumerate(D.TEMPLATES))}) v(i, phase, template))
+        SELECT query_id, phase, replace(template, '{{tools}}', 'Available tools:' || chr(10) || tt) AS system_prompt
+        FROM t JOIN p ON query_id % {len(D.TEMPLATES)} = i""",
     "trajectory_texts": f"WITH {TRACES} SELECT query_id, trajectory FROM traj2",
     "follow_up_prompts": f"""WITH {TRACES}, n AS (SELECT *, chr(10) AS l FROM traj2) SELECT query_id,
         'User request:' || l || q || l || l || 'Draft plan:' || l || '- look up' || l || l ||
@@ -638,6 +636,28 @@ ORACLE: dict[str, str] = {
           || l || 'VERDICT: INCORRECT' || l || l || 'Solve the request anew, mending what was wrong.' AS correction,
         'User task:' || l || q || l || l || 'Agent attempt transcript:' || l || trajectory || l || l ||
           'Was the task fulfilled? Answer with the JSON object.' AS evaluator FROM n""",
+    "phase_prompts": f"""WITH {TRACES}, n AS (SELECT *, chr(10) AS l, chr(10) || chr(10) AS g FROM traj2),
+        a AS (SELECT query_id, min_by(verb, step) AS verb, min_by(k, step) AS k,
+                     string_agg('#E' || step || ' = seen ' || k, chr(10) ORDER BY step) AS ev FROM acted GROUP BY ALL)
+        SELECT query_id, 'Request:' || l || q || g || 'Run to check:' || l || trajectory AS verification,
+          'Comments so far:' || l || 'seen ' || q || g || 'Next:' || l || 'the following call, or the answer.' AS next_step,
+          'Proposals:' || l || trajectory || g || 'Wanted:' || l || 'the id of one.' AS choice,
+          'Request:' || l || q || g || 'Failed run:' || l || trajectory || g ||
+            CASE WHEN query_id % 2 = 0 THEN 'Reason given:' || l || 'late' || g ELSE '' END || 'Wanted:' || l || 'a note.' AS reflection,
+          'Tool:' || l || coalesce(verb, 'none') || g || 'Parameters:' || l || 'k (any): item number' || g || 'Arguments as planned:' || l ||
+            CASE WHEN verb IS NULL THEN '{{}}' ELSE '{{"k": "' || k || '"}}' END || g || 'Evidence:' || l || coalesce(ev, '(none)') AS repair
+        FROM n LEFT JOIN a USING (query_id)""",
+    "few_shot_messages": f"""WITH {EV},{TOOLS},{MEM},
+        ex AS (SELECT {DOM.format(q='seq')} AS dom, seq, query, t1, t2 FROM mem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY dom ORDER BY seq) AS rank FROM ex),
+        m AS (SELECT query_id, rank, r.seq, query, x.pos, x.t FROM qdom JOIN r ON domains = dom AND rank <= 3,
+              LATERAL (SELECT unnest([1, 2, 3, 4, 5, 6]) AS pos, unnest(['', t1, t1, t2, t2, '']) AS t) x)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS ord,
+          CASE WHEN pos = 1 THEN 'user' WHEN pos IN (3, 5) THEN 'tool' ELSE 'assistant' END AS role,
+          CASE WHEN pos IN (3, 5) THEN t END AS name,
+          CASE pos WHEN 1 THEN query WHEN 6 THEN 'done' WHEN 3 THEN 'ok' WHEN 5 THEN 'ok' END AS content,
+          CASE WHEN pos IN (2, 4) THEN '[{{"name":"' || t || '","args_json":"{{\\"k\\": \\"' || seq || '\\"}}"}}]' END AS tool_calls
+        FROM m""",
     "chat_messages": f"""WITH {TRACES},
         m AS (
           SELECT query_id, 0 AS p, 'system' AS role, NULL AS name, 'system text' AS content, NULL AS tool_calls FROM qs

@@ -609,15 +609,14 @@ def generation_cost(spark, sf):
 # --- datasets --------------------------------------------------------------------------------------------
 
 
-def _phases(spark, sf):
-    names = ("tool_calling", "react", "rewoo", "evaluator")
-    q = _queries(spark, sf)
-    return q.withColumn("phase", I._pick(names, F.col("query_id") % 4))
+HEAD = f"Date: {NOW.date()}.\n"
 
 
 @query
 def system_prompts(spark, sf):
-    return D.system_prompts(_phases(spark, sf), I.tools(spark), D.templates(spark, NOW))
+    """Every phase in turn."""
+    phased = _queries(spark, sf).withColumn("phase", I._pick(tuple(D.TEMPLATES), F.col("query_id") % len(D.TEMPLATES)))
+    return D.system_prompts(phased, I.tools(spark), D.templates(spark, head=HEAD))
 
 
 def _traces(spark, sf):
@@ -655,6 +654,30 @@ def follow_up_prompts(spark, sf):
     )
 
 
+@query
+def phase_prompts(spark, sf):
+    """The requests that open the other phases of a run."""
+    t = _traces(spark, sf)
+    q = F.concat(F.lit("request "), F.col("query_id").cast("string"))
+    tr = D.trajectory_text(F.col("actions"), F.col("final_answer"))
+    first = F.try_element_at("actions", F.lit(1))
+    evidence = F.transform("actions", lambda a, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("var"), a["observation"].alias("observation")))
+    params = F.array(F.struct(F.lit("k").alias("name"), F.lit(None).cast("string").alias("type"), F.lit("item number").alias("description")))
+    return t.select(
+        "query_id", D.verification_query(q, tr).alias("verification"), D.next_step_query(F.concat(F.lit("seen "), q)).alias("next_step"),
+        D.choice_query(tr).alias("choice"), D.reflection_query(q, tr, F.when(F.col("query_id") % 2 == 0, F.lit("late"))).alias("reflection"),
+        D.repair_query(F.coalesce(first["name"], F.lit("none")), params, F.coalesce(first["args_json"], F.lit("{}")), evidence).alias("repair"),
+    )
+
+
+@query
+def few_shot_messages(spark, sf):
+    """The examples picked for each query as messages before its request."""
+    store = I.examples(spark, sf).select("pos", "query", "actions", "final_answer")
+    prefix = D.demonstrations(QUERIES["few_shot_picks"](spark, sf), store, ["query_id"], ["pos"])
+    return D.message_rows(prefix, "prefix", ["query_id"])
+
+
 @query
 def chat_messages(spark, sf):
     t = _traces(spark, sf)

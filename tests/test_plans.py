@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tracemill.plans.queries import QUERIES
 
 # Write files or run streams when built; their plans only read those files back.
-EAGER = {"streamed_scores", "streamed_episodes", "result_history", "result_tables", "queries_from_csv", "scored_from_files", "episode_store", "example_file"}
+EAGER = {"streamed_scores", "streamed_episodes", "streamed_retrieval", "result_history", "result_tables", "queries_from_csv", "scored_from_files", "episode_store", "example_file"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))

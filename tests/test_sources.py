@@ -141,6 +141,53 @@ def test_stream_equals_batch(spark, tmp_path):
     assert read() == batch
 
 
+def _episode_rows(spark, seqs, text="add the row"):
+    call = [("add", [("k", "1")], "ok")]
+    rows = [("a", i, f"{text} {i}", call, "done", ["add"], "", 1, i % 4 != 0, 1) for i in seqs]
+    kind = ("run_id string, seq long, query string, actions array<struct<name string, args array<struct<name string, value string>>, observation string>>, "
+            "final_answer string, available array<string>, error string, n_actions long, same_outcome boolean, n_gold long")
+    return spark.createDataFrame(rows, kind)
+
+
+def test_store_keeps_each_episode_once_and_reads_nothing_back(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    stream = lambda: spark.readStream.schema(_episode_rows(spark, []).schema).parquet(f"{root}/in")
+    monkeypatch.setattr(files, "read_episodes", lambda *a, **k: (_ for _ in ()).throw(AssertionError("the store was read")))
+    for seqs in (range(10), [*range(5, 15), *range(5, 15)], range(3)):
+        _episode_rows(spark, seqs).write.mode("append").parquet(f"{root}/in")
+        jobs.keep_episodes(stream(), f"{root}/store", f"{root}/check").awaitTermination()
+    monkeypatch.undo()
+    stored = lambda **k: sorted(r.seq for r in files.read_episodes(spark, f"{root}/store", **k).collect())
+    assert stored() == [i for i in range(15) if i % 4]
+    assert stored(before=1) == [i for i in range(10) if i % 4] and stored(before=0) == []
+    # A batch that is written again replaces its version; one that is not complete is not seen.
+    files.write_version(through_table(files.read_episodes(spark, f"{root}/store", before=1)), f"{root}/store", 0)
+    assert stored() == [i for i in range(15) if i % 4]
+    again = _episode_rows(spark, [99]).withColumn("verified", F.lit(True)).select(*schemas.EPISODES.names)
+    again.write.parquet(f"{root}/store/batch=77")
+    assert 99 not in stored(before=100) and files.store_version(spark, f"{root}/store") in (1, 2)
+
+
+def test_retrieval_sees_earlier_batches_only_also_after_a_retry(spark, tmp_path):
+    root, work = str(tmp_path), []
+    kept = jobs._run
+    jobs._run = lambda stream, do, check: work.append(do) or kept(stream, do, check)
+    try:
+        for seqs in ([1, 2, 3], [5, 6, 2]):
+            _episode_rows(spark, seqs).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(_episode_rows(spark, []).schema).parquet(f"{root}/in")
+            jobs.retrieve_and_keep(stream, f"{root}/store", f"{root}/out", f"{root}/check", 2).awaitTermination()
+    finally:
+        jobs._run = kept
+    picks = lambda: sorted((r.batch, r.seq, r.e_seq) for r in spark.read.parquet(f"{root}/out").select("batch", "seq", "e_seq").collect())
+    seen = picks()
+    assert {b for b, _, _ in seen} == {1} and {s for _, s, _ in seen} == {5, 6} and {e for _, _, e in seen} <= {1, 2, 3}
+    # The second batch runs once more, although its own episodes are in the store by now.
+    work[-1](_episode_rows(spark, [5, 6]), 1)
+    assert picks() == seen
+    assert sorted(r.seq for r in files.read_episodes(spark, f"{root}/store").collect()) == [1, 2, 3, 5, 6]
+
+
 def test_written_table_keeps_rows(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = spark.range(5).withColumn("x", F.array(F.col("id")))

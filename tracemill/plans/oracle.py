@@ -227,8 +227,8 @@ mem AS (
 eps AS (SELECT * FROM mem WHERE stored)"""
 
 
-def _similar(k: int) -> str:
-    return f"""{MEM},
+def _similar(k: int, mem: str = MEM) -> str:
+    return f"""{mem},
 tok AS (
   SELECT run_id, seq, stored, w AS term, count(*) AS tf FROM (
     SELECT run_id, seq, stored, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM mem)
@@ -250,6 +250,14 @@ ranked AS (
 alike AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
 
+# Three batches: in each, what earlier ones stored and the queries of its own.
+BATCHED = f"""{MEM.replace("mem AS", "every AS", 1).split(",\neps AS")[0]},
+mem AS (
+  SELECT run_id * 3 + b AS run_id, seq, query, t1, t2, stored AND seq % 3 < b AS stored, seq % 3 = b AS asked
+  FROM every, (VALUES (0), (1), (2)) v(b) WHERE seq % 3 <= b),
+eps AS (SELECT * FROM mem WHERE stored)"""
+
+
 TRIALS = f"""
 tr AS (
   SELECT conv_id AS query_id, turn + 1 AS trial, turn, (conv_id + turn) % 7 AS j, (conv_id + turn) % 4 AS v,
@@ -684,6 +692,9 @@ ORACLE: dict[str, str] = {
         FROM eps, (VALUES ('parquet'), ('json')) f(fmt)""",
     "example_file": f"""WITH {MEM} SELECT {DOM.format(q='seq')} AS domain_key, count(*) AS n, min(seq) AS first_pos
         FROM mem GROUP BY ALL""",
+    "streamed_retrieval": f"""WITH {_similar(2, BATCHED)}
+        SELECT (a.run_id % 3)::BIGINT AS batch, (a.run_id // 3)::VARCHAR AS run_id, seq, e_seq, rank, score
+        FROM alike a JOIN mem USING (run_id, seq) WHERE asked""",
     "streamed_scores": f"WITH {SCORED} SELECT {SCORED_COLUMNS} FROM scored",
     "streamed_episodes": f"""WITH {MEM} SELECT run_id::VARCHAR AS run_id, seq, query FROM mem
         WHERE seq % 11 <> 0 AND seq % 4 <> 0 AND seq % 9 <> 0""",

@@ -793,6 +793,23 @@ def streamed_scores(spark, sf):
     return spark.read.parquet(f"{root}/scored").select("run_id", "query_id", "domain", "config", *FLAGS)
 
 
+@query
+def streamed_retrieval(spark, sf):
+    """Three deliveries, each a batch: queries retrieve from what earlier batches have stored. Some rows are delivered twice."""
+    root = shared_dir(spark)
+    m = I.memory_queries(spark, sf)
+    rows = _as_episodes(m).join(m.select("seq", "available", "stored"), "seq").withColumns(
+        {"error": F.lit(""), "n_actions": F.lit(1).cast("long"), "same_outcome": F.col("stored"), "n_gold": F.lit(1).cast("long")}
+    )
+    for part in range(3):
+        again = (F.col("seq") % 3 == part - 1) & (F.col("seq") % 5 == 0)
+        rows.where((F.col("seq") % 3 == part) | again).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        jobs.retrieve_and_keep(stream, f"{root}/store", f"{root}/out", f"{root}/checkpoint", 2).awaitTermination()
+    got = spark.read.schema("run_id string, seq long, e_seq long, score double, rank long, batch long").parquet(f"{root}/out")
+    return got.select("batch", "run_id", "seq", "e_seq", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def streamed_episodes(spark, sf):
     root = shared_dir(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from tracemill import schemas
@@ -80,14 +81,49 @@ def read_history(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_episodes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The stored episodes; none if nothing has been stored yet."""
+def _stored(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``; None if nothing has been written there yet."""
     try:
-        return spark.read.schema(schemas.EPISODES).format(fmt).load(path)
+        return spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return spark.createDataFrame([], schemas.EPISODES)
+        return None
+
+
+def read_episodes(spark: SparkSession, path: str, fmt: str = "parquet", before: int | None = None) -> DataFrame:
+    """The stored episodes; none if nothing has been stored yet.
+
+    ``before`` reads a store of versions as it was before that batch: complete versions below it, whatever has been or is being
+    written since.
+    """
+    if before is not None:
+        known = store_version(spark, path)
+        stored = _stored(spark, path, StructType([*schemas.EPISODES.fields, StructField("batch", LongType())]), fmt)
+        if stored is not None:
+            return stored.where(F.col("batch") < min(before, known + 1)).select(*schemas.EPISODES.names)
+    else:
+        stored = _stored(spark, path, schemas.EPISODES, fmt)
+        if stored is not None:
+            return stored.select(*schemas.EPISODES.names)
+    return spark.createDataFrame([], schemas.EPISODES)
+
+
+def store_version(spark: SparkSession, path: str) -> int:
+    """The last complete version of a store of versions; -1 if there is none."""
+    done = _stored(spark, f"{path}/_versions", StructType([StructField("version", LongType())]))
+    last = done.agg(F.max("version")).first()[0] if done is not None else None
+    return -1 if last is None else last
+
+
+def write_version(episodes: DataFrame, path: str, number: int) -> None:
+    """Writes the episodes of batch ``number`` as a folder of their own, then says that it is complete. Writing it again replaces it.
+
+    Nothing of the store is read: the caller sees to it that an episode comes in one batch only.
+    """
+    episodes.select(*schemas.EPISODES.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    version = episodes.sparkSession.createDataFrame([(number,)], "version long")
+    version.coalesce(1).write.mode("overwrite").parquet(f"{path}/_versions/batch={number}")
 
 
 def append_episodes(new: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -1,8 +1,8 @@
 """Incremental scoring and episode store upkeep with Structured Streaming.
 
-A result row carries its whole trace, so no state is kept between batches. Each
-batch may be run again after a failure: scored rows go to a folder per batch
-that is overwritten, episodes are appended only if the store lacks them.
+A result row carries its whole trace, so scoring keeps no state between batches; the episode store keeps the keys it has
+seen. Each batch may be run again after a failure: scored rows, retrieved episodes and stored episodes go to a folder per
+batch that is overwritten.
 """
 
 from __future__ import annotations
@@ -51,14 +51,47 @@ def score_stream(
     return _run(stream, work, checkpoint)
 
 
-def keep_episodes(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Appends newly verified episodes once.
+def _once(stream: DataFrame, watermark: tuple[str, str] | None) -> DataFrame:
+    """The first row of each (run, seq), remembered in the state of the stream, which is spread over the executors by key.
 
-    Rows need the columns of an episode plus those that ``episodes.gate`` reads.
+    ``watermark`` (a time column and a delay) lets the state forget keys; repeats then have to come within the delay.
+    """
+    keys = ["run_id", "seq"]
+    return stream.dropDuplicates(keys) if watermark is None else stream.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def _passed(rows: DataFrame) -> DataFrame:
+    return E.gate(rows).where("gate_status = 'stored'").withColumn("verified", F.lit(True))
+
+
+def keep_episodes(stream: DataFrame, store: str, checkpoint: str, watermark: tuple[str, str] | None = None) -> StreamingQuery:
+    """Stores newly verified episodes once, a version per batch.
+
+    Rows need the columns of an episode plus those that ``episodes.gate`` reads. What is known already is known by the state of
+    the stream, so no batch reads the store; a store belongs to its checkpoint.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        passed = E.gate(batch).where("gate_status = 'stored'").withColumn("verified", F.lit(True))
-        files.append_episodes(passed, store)
+        files.write_version(batch, store, number)
 
-    return _run(stream, work, checkpoint)
+    return _run(_once(_passed(stream), watermark), work, checkpoint)
+
+
+def retrieve_and_keep(
+    stream: DataFrame, store: str, out: str, checkpoint: str, k: int, watermark: tuple[str, str] | None = None
+) -> StreamingQuery:
+    """For each batch: the k most similar usable episodes of every query into ``out/batch=<n>``, then its verified episodes into the store.
+
+    Rows are those of ``keep_episodes`` with the tools ``available`` to the query. Retrieval reads the store as it was before the
+    batch, so that a batch that runs again retrieves the same and replaces what it wrote.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        rows = through_table(batch)
+        past = files.read_episodes(rows.sparkSession, store, before=number)
+        past = past.withColumn("tools", F.array_distinct(F.transform("actions", lambda a: a["name"])))
+        picks = E.similar_episodes(past, rows.select("run_id", "seq", "query", "available"), k)
+        picks.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        files.write_version(_passed(rows), store, number)
+
+    return _run(_once(stream, watermark), work, checkpoint)

@@ -46,12 +46,12 @@ def test_choose_draft(spark):
     assert pick(rounds=0) == pick(rounds=1) == {1: ("q1d1", False), 2: ("q2d1", False), 3: ("q3d0", True)}
 
 
-@pytest.mark.parametrize("size, width", [(0, 1000), (2, 1000), (3, 4)])
-def test_reflection_buffer(spark, size, width):
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 50])
+def test_reflection_buffer(spark, size):
     rng = random.Random(size)
     rows = [(q, t, rng.choice(["", "  ", None, f" r{t} "])) for q in range(3) for t in range(1, 30)]
     df = spark.createDataFrame(rows, "query_id int, trial int, reflection string")
-    got = {(r["query_id"], r["trial"]): r["buffer"] for r in T.reflection_buffer(df, size, width=width).collect()}
+    got = {(r["query_id"], r["trial"]): r["buffer"] for r in T.reflection_buffer(df, size).collect()}
     for q in range(3):
         kept = []
         for _, t, text in [r for r in rows if r[0] == q]:
@@ -60,6 +60,12 @@ def test_reflection_buffer(spark, size, width):
                 kept.append(text.strip())
 
 
+def test_reflection_buffer_takes_one_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, "a")], "query_id int, trial int, reflection string")
+    plan = T.reflection_buffer(df, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_reflected_query(spark):
     df = spark.createDataFrame([(["a", "b"],), ([],)], "b array<string>")
     got = [r[0] for r in df.select(D.reflected_query(F.lit("Q"), F.col("b"))).collect()]

@@ -1,7 +1,7 @@
 """Choosing among trials, attempts and drafts of one query, and judging the judges.
 
 Choices are plain aggregates (``min_by`` / ``max_by``), so they combine before the
-shuffle and need no window over a query's trials.
+shuffle and need no window over a query's trials; only the buffer of reflections follows their order.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsontext as J
-from tracemill.functions import ordered as O
 from tracemill.functions import text as X
 
 
@@ -86,34 +86,21 @@ def choose_draft(
     )
 
 
-def reflection_buffer(
-    trials: DataFrame, size: int, keys: Sequence[str] = ("query_id",), width: int = O.WIDTH
-) -> DataFrame:
+def reflection_buffer(trials: DataFrame, size: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """The last ``size`` non-empty reflections written before each trial, oldest first.
 
-    Non-empty reflections are numbered within their query; a trial that has seen c of
-    them joins numbers c - size + 1 .. c. Queries with very many trials are
-    numbered in ranges and spread over c.
+    One shuffle by query and windows in trial order: each non-empty reflection holds itself and the ``size - 1`` before it, and a
+    trial takes what the last of them holds. No row carries more than ``size`` reflections, however many trials a query has.
     """
     keys, none = list(keys), F.array().cast("array<string>")
     if size < 1:
         return trials.withColumn("buffer", none)
-    written = X.stripped(F.coalesce("reflection", F.lit("")))
-    numbered = O.running_sum(
-        trials.withColumn("_text", written), keys, "trial", (F.col("_text") != "").cast("int"), "seen", width=width
-    ).withColumn("seen", F.col("seen").cast("long"))
-    notes = (
-        numbered.where("_text <> ''")
-        .select(*keys, (F.col("seen") + 1).alias("no"), "_text")
-        .withColumn("seen", F.explode(F.sequence(F.col("no"), F.col("no") + size - 1)))
-        # The notes that trials with the same count see: at most ``size`` of them.
-        .groupBy(*keys, "seen").agg(F.sort_array(F.collect_list(F.struct("no", "_text"))).alias("notes"))
-    )
-    return (
-        numbered.join(notes, [*keys, "seen"], "left")
-        .withColumn("buffer", F.coalesce("notes._text", none))
-        .select(*trials.columns, "buffer")
-    )
+    near = trials.withColumn("_text", X.stripped(F.coalesce("reflection", F.lit("")))).withColumn("_said", F.col("_text") != "")
+    said = W.partitionBy(*keys, "_said").orderBy("trial").rowsBetween(1 - size, 0)
+    before = W.partitionBy(*keys).orderBy("trial").rowsBetween(W.unboundedPreceding, -1)
+    held = near.repartition(*keys).withColumn("_held", F.when(F.col("_said"), F.collect_list("_text").over(said)))
+    buffer = F.coalesce(F.last("_held", ignorenulls=True).over(before), none)
+    return held.withColumn("buffer", buffer).select(*trials.columns, "buffer")
 
 
 def judge_quality(

@@ -179,11 +179,35 @@ def test_turns(spark):
     acted = "A1\nObservation:\nR1\nA2\nObservation:\nR2\n"
     tree = "Thought candidates:\nc\nThought judge:\nj\nSelected thought:\ns\nObservation:\nR\nThought candidates:\nc\nFinal answer:\nx"
     df = table(spark, [acted + "Final", acted, tree, "Routing response:\nuse a\nSelected tools: a\ncalling"])
-    parts = T.sections(df, "text", ["id"]).withColumn("limited", F.col("id") == 1)
+    shape = F.element_at(F.array(*map(F.lit, ("react", "react", "tree_of_thoughts", "route_then_act"))), F.col("id") + 1)
+    parts = T.sections(df, "text", ["id"]).withColumns({"limited": F.col("id") == 1, "shape": shape})
     got = T.generation_cost(parts, ["id"], by=["id"], ended_on_limit="limited").orderBy("id").collect()
     assert [r["turns"] for r in got] == [3, 2, 3, 2]
 
 
+def test_turns_are_told_apart_by_their_calls(spark):
+    call = lambda n: f'<tool_call>{{"name": "{n}", "arguments": {{}}}}</tool_call>'
+    cases = [
+        # Adjacent blocks are one turn; words after a block open another.
+        ("direct", f"first {call('a')}\n{call('b')}\nthen {call('c')}\nall done", [("a", 1), ("c", 2), (None, 3)]),
+        ("direct", "all done", [(None, 1)]), ("direct", " \n", []),
+        ("plan_then_act", f"Plan:\n- look\n{call('a')}\nok", [(None, 1), ("a", 2), (None, 3)]),
+        ("plan_then_act", "Plan:\n- nothing to do", [(None, 1), (None, 2)]),
+        # A comment and the reply to it are two turns, the reply's text cannot be set apart.
+        ("self_reflection", f"Reflection:\nhm\n{call('a')}\nReflection:\ndone", [("a", 1), (None, 2), (None, 1), (None, 2)]),
+        ("rewoo", "Plan:\nPlan: x\n#E1 = a[{}]\nStep #E1\nThought: x\nObservation:\nr\nFinal answer:\ny", [(None, 1), (None, 1)]),
+        ("react", f"{call('a')} {call('b')}\nObservation:\nr\nend", [("a", 1), (None, 1)]),
+        ("unknown", "text", []),
+    ]
+    df = table(spark, [t for _, t, _ in cases])
+    shape = F.element_at(F.array(*(F.lit(s) for s, _, _ in cases)), F.col("id") + 1)
+    rows = T.turn_table(T.sections(df, "text", ["id"]).withColumn("shape", shape), ["id"]).orderBy("id", "ord", "turn").collect()
+    for i, (_, _, want) in enumerate(cases):
+        assert [(r.tool, r.turn) for r in rows if r.id == i] == want, i
+    own = [("mine", "response", False, "one")]
+    assert T.turn_table(T.sections(df, "text", ["id"]).withColumn("shape", F.lit("mine")), ["id"], rules=own).where("id = 1").count() == 1
+
+
 def test_trajectory_and_messages(spark):
     row = [(1, [(1, "a", '{"k": 1}', "o1"), (1, "b", "{}", "o2"), (2, "c", None, None)], "bye"), (2, [], ""), (3, [], "hi")]
     kind = "id int, actions array<struct<turn long, name string, args_json string, observation string>>, final_answer string"

@@ -196,13 +196,6 @@ def resolved_steps(planned: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- sections and cost -------------------------------------------------------------------
 
-# Phases that hold a turn of the model: turns of their own, and, after the line of the runner, the first turn of an attempt.
-GENERATED = (
-    "response", "routing", "plan", "reflection", "candidates", "judge", "evaluator", "reflection_added",
-    "draft", "verification", "correction", "selected_tools", "buffer",
-)
-
-
 def sections(
     df: DataFrame, text: str, keys: Sequence[str], markers: Sequence[tuple[str, str]] = C.PHASE_MARKERS
 ) -> DataFrame:
@@ -227,24 +220,78 @@ def sections(
     return rows.select(*keys, "ord", phase.alias("phase"), inner.alias("text"))
 
 
+# How a transcript of each shape shows the model's turns, phase by phase. ``own``: the phase opens with a turn of its own. ``then``:
+# what stands after that turn, or after what the runner wrote: one turn, or turns told apart by the calls they end with.
+TURN_RULES = (
+    ("direct", "response", False, "calls"),
+    ("react", "response", False, "one"), ("react", "observation", False, "one"),
+    ("plan_then_act", "plan", True, "calls"),
+    ("route_then_act", "routing", True, None), ("route_then_act", "selected_tools", False, "calls"),
+    ("self_reflection", "reflection", True, "one"),
+    ("tree_of_thoughts", "candidates", True, None), ("tree_of_thoughts", "judge", True, None),
+    ("rewoo", "plan", True, None), ("rewoo", "final_answer", True, None),
+    ("reflexion", "buffer", False, "calls"), ("reflexion", "evaluator", True, None), ("reflexion", "reflection_added", True, None),
+    ("critic", "draft", False, "calls"), ("critic", "verification", False, "calls"), ("critic", "correction", False, "calls"),
+)
+RULES = "shape string, phase string, own boolean, then string"
+
+
+def turn_table(
+    parts: DataFrame, keys: Sequence[str], shape: str = "shape", rules: Sequence[tuple] = TURN_RULES
+) -> DataFrame:
+    """One row per turn of the model: ``keys, ord, turn, phase, text, tool, args_json``, with the first call of the turn.
+
+    ``parts`` are ``sections`` with the ``shape`` of their transcript; other shapes bring ``rules`` of their own. A turn ends with its
+    run of call blocks, so blocks with only white space between them are one turn. Where a turn cannot be set apart from the
+    one before it (a comment and the reply to it, a plan and an answer without calls), it has a row without text.
+    """
+    spark = parts.sparkSession
+    known = spark.createDataFrame(list(rules), RULES).withColumnRenamed("shape", shape)
+    met = parts.join(F.broadcast(known), [shape, "phase"])
+    block = "<tool_call>"
+    # Cut after each run of blocks; an own turn ends where the first block begins.
+    lead = f"if(own, substring_index(text, '{block}', 1), '')"
+    cut = "(?<=</tool_call>)(?!\\\\s*<tool_call>)"
+    found = met.withColumn("text", F.coalesce("text", F.lit(""))).selectExpr(
+        "*", f"{lead} AS lead", f"filter(split(substr(text, length({lead}) + 1), '{cut}'), p -> p rlike '\\\\S') AS runs"
+    ).selectExpr(
+        "*",
+        # What the runner writes before the first mark may be nothing at all.
+        """CASE WHEN then IS NULL THEN array(text)
+                WHEN then = 'one' AND own THEN array(text, CAST(NULL AS string))
+                WHEN then = 'one' THEN if(phase = 'response' AND NOT text rlike '\\\\S', array(), array(text))
+                WHEN own THEN concat(array(lead), if(size(runs) = 0, array(CAST(NULL AS string)), runs))
+                WHEN size(runs) > 0 THEN runs
+                WHEN phase = 'response' THEN array()
+                ELSE array(CAST(NULL AS string)) END AS said""",
+    )
+    rows = found.select(*keys, "ord", "phase", F.posexplode("said").alias("_p", "text"))
+    first = F.try_element_at(J.tool_calls(F.coalesce("text", F.lit(""))), F.lit(1))
+    return rows.withColumn("_c", first).select(
+        *keys, "ord", (F.col("_p") + 1).cast("long").alias("turn"), "phase", "text", F.col("_c.name").alias("tool"), F.col("_c.args_json").alias("args_json")
+    )
+
+
 def generation_cost(
-    parts: DataFrame, keys: Sequence[str], by: Sequence[str] = ("config",),
-    generated: Sequence[str] = GENERATED, ended_on_limit: str | None = None,
+    parts: DataFrame, keys: Sequence[str], by: Sequence[str] = ("config",), shape: str = "shape",
+    rules: Sequence[tuple] = TURN_RULES, ended_on_limit: str | None = None,
 ) -> DataFrame:
     """Per configuration: queries, generated turns, trials and verification rounds, and turns per query.
 
-    No mark stands between an observation and the model's reply to it, so each observation counts for one turn. It does not
-    where thought candidates answer it, which are a phase, nor does the last one of a query whose boolean column
-    ``ended_on_limit`` is true. Turns that nothing in the text sets apart count as one.
+    Turns are those of ``turn_table``. Where the boolean column ``ended_on_limit`` is true and a transcript's last phase is an
+    observation, nothing has replied to it.
     """
+    group = list(dict.fromkeys([*by, *keys]))
+    turns = turn_table(parts, group, shape, rules).groupBy(*group).agg(F.count("*").alias("turns"))
     n = lambda c: F.count_if(c).cast("long")
-    seen = n(F.col("phase") == "observation")
-    unanswered = F.lit(0) if ended_on_limit is None else F.coalesce(F.bool_or(ended_on_limit), F.lit(False)).cast("long")
-    replies = F.when(F.bool_or(F.col("phase") == "candidates"), 0).otherwise(F.greatest(seen - unanswered, F.lit(0)))
-    per_query = parts.groupBy(*dict.fromkeys([*by, *keys])).agg(
-        (n(F.col("phase").isin(*generated) & (X.stripped(F.col("text")) != "")) + replies).alias("turns"),
-        n(F.col("phase") == "trial").alias("trials"),
-        n(F.col("phase") == "verification").alias("rounds"),
+    limit = F.lit(False) if ended_on_limit is None else F.coalesce(F.bool_or(ended_on_limit), F.lit(False))
+    unanswered = limit & (F.max_by("phase", "ord") == "observation") & F.coalesce(F.max_by(shape, "ord") == "react", F.lit(False))
+    seen = parts.groupBy(*group).agg(
+        unanswered.cast("long").alias("unanswered"), n(F.col("phase") == "trial").alias("trials"), n(F.col("phase") == "verification").alias("rounds"),
+    )
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in group]
+    per_query = seen.alias("s").join(turns.alias("t"), same, "left").select(
+        *[F.col(f"s.{c}").alias(c) for c in group], "trials", "rounds", (F.coalesce("turns", F.lit(0)) - F.col("unanswered")).alias("turns")
     )
     return per_query.groupBy(*by).agg(
         F.count("*").alias("n_queries"), F.sum("turns").alias("turns"), F.sum("trials").alias("trials"),

@@ -625,11 +625,18 @@ ORACLE: dict[str, str] = {
     "custom_markers": f"WITH {EV} SELECT CASE WHEN w THEN 'ok' ELSE 'note' END AS phase, count(*) AS n FROM evw GROUP BY ALL "
     "UNION ALL SELECT 'response', count(*) FROM qs",
     "generation_cost": f"""WITH {EV}, q AS (SELECT {CFG.format(c='(query_id % 4)')} AS config, query_id,
-          -- one turn for each event, one for the plan, one for each attempt, one for the routing
-          count(*) + max(CASE query_id % 4 WHEN 1 THEN 2 ELSE 3 END) AS turns, max(CASE query_id % 2 WHEN 0 THEN 2 ELSE 0 END) AS trials
+          -- a reply to each observation; else an attempt for each buffer, a plan and what follows, a routing and what follows
+          CASE max(query_id % 4) WHEN 2 THEN count_if(verb IN ('create_item', 'update_item', 'delete_item')) ELSE 2 END AS turns,
+          max(CASE query_id % 2 WHEN 0 THEN 2 ELSE 0 END) AS trials
           FROM ev GROUP BY ALL)
         SELECT config, count(*) AS n_queries, sum(turns)::BIGINT AS turns, sum(trials)::BIGINT AS trials, 0::BIGINT AS rounds,
                round(avg(turns), 6) AS turns_per_query FROM q GROUP BY ALL""",
+    "turn_table": f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step) AS i FROM ev)
+        SELECT query_id, CASE WHEN query_id % 2 = 0 AND query_id % 5 <> 3 THEN i ELSE 1 END AS ord,
+          CASE WHEN query_id % 2 = 0 OR query_id % 5 = 3 THEN 1 ELSE i END::BIGINT AS turn,
+          CASE WHEN query_id % 2 = 0 AND query_id % 5 <> 3 AND i > 1 THEN 'observation' ELSE 'response' END AS phase,
+          CASE WHEN query_id % 5 = 3 OR event_id % 19 <> 0 THEN dom || '__' || verb END AS tool
+        FROM n WHERE query_id % 5 <> 3 OR i = 1""",
     # datasets
     "system_prompts": f"""WITH {EV},{TOOLS},
         t AS (SELECT query_id, string_agg(line, chr(10) ORDER BY ord) AS tt FROM qtools GROUP BY ALL),

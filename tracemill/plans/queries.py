@@ -602,8 +602,20 @@ def custom_markers(spark, sf):
 
 @query
 def generation_cost(spark, sf):
-    s = TX.sections(I.responses(spark, sf), "full_response", ["query_id", "config"])
-    return _round_all(TX.generation_cost(s, ["query_id"]))
+    shapes = ("reflexion", "plan_then_act", "react", "route_then_act")
+    r = I.responses(spark, sf).withColumn("shape", I._pick(shapes, F.col("query_id") % 4))
+    return _round_all(TX.generation_cost(TX.sections(r, "full_response", ["query_id", "config", "shape"]), ["query_id"]))
+
+
+@query
+def turn_table(spark, sf):
+    """Turns and their first calls: blocks between observations, blocks and text without observations, one text without blocks."""
+    t = I.call_texts(spark, sf)
+    bare = F.regexp_replace("text", "\nObservation:\nok\n", " so then ")
+    shaped = t.withColumn("shape", F.when(F.col("query_id") % 2 == 0, "react").otherwise("direct"))
+    shaped = shaped.withColumn("text", F.when(F.col("shape") == "react", F.col("text")).otherwise(bare))
+    turns = TX.turn_table(TX.sections(shaped, "text", ["query_id", "shape"]), ["query_id"])
+    return turns.select("query_id", "ord", "turn", "phase", "tool")
 
 
 # --- datasets --------------------------------------------------------------------------------------------

@@ -17,6 +17,7 @@ starts with a header line, which may itself hold line breaks. A field that is ne
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +84,7 @@ def _splits(lines: DataFrame) -> DataFrame:
 
 
 def _place(file: str, start: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(f"{start} {file}")
+    return int.from_bytes(hashlib.blake2b(f"{start} {file}".encode(), digest_size=8).digest(), "little")
 
 
 WHOLE, TAIL, HEAD = 0, 1, 2

@@ -175,6 +175,44 @@ def test_routing_sections(spark):
     assert [(r["phase"], r["text"]) for r in got] == [("routing", "use a"), ("selected_tools", "a\ncalling")]
 
 
+def _objects_plainly(text):
+    """A decode at every brace."""
+    at, out = text.find("{"), []
+    while at >= 0:
+        try:
+            out.append(json.JSONDecoder().raw_decode(text, at)[0])
+        except (ValueError, RecursionError):
+            pass
+        at = text.find("{", at + 1)
+    return out
+
+
+def test_objects_are_those_of_a_decode_at_every_brace():
+    import random
+
+    rng = random.Random(3)
+    bits = ['{', '}', '{"a": ', '"b"', ': ', '1', 'tru', 'true', ', ', '[', ']', '{"k": {"m": [1, {"n": null}]}}', '\\u00e9', '"\\u00', ' ', '\n', '"', '-', '1e5', 'x' * 40]
+    for _ in range(400):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 60)))
+        assert list(J.objects_in(text)) == _objects_plainly(text), text
+    for edge in range(990, 1060):
+        for tail in ('true}', '"\\u00e9"}', '-12.5e7}', '"y" }', '{"b": false}}', '"open', 'tru', '1'):
+            text = "p " + '{"' + "k" * edge + '": ' + tail + " rest" * 3
+            assert list(J.objects_in(text)) == _objects_plainly(text)
+    long = json.dumps({"a": ["v" * 50_000, {"b": "\u00e9" * 9_000}]})
+    assert list(J.objects_in("x\n" * 99 + long + " {")) == [json.loads(long), json.loads(long)["a"][1]]
+
+
+def test_a_million_braces_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for text in ("{" * 1_000_000, '{"' * 500_000, '{"a" ' * 200_000, "{}" * 300_000):
+        n = sum(1 for _ in J.objects_in(text))
+        assert n == (300_000 if text.startswith("{}") else 0)
+    assert time.perf_counter() - start < 60
+
+
 def test_turns(spark):
     acted = "A1\nObservation:\nR1\nA2\nObservation:\nR2\n"
     tree = "Thought candidates:\nc\nThought judge:\nj\nSelected thought:\ns\nObservation:\nR\nThought candidates:\nc\nFinal answer:\nx"

@@ -36,17 +36,36 @@ VERDICT = schemas._struct(success=T.BooleanType(), reason=T.StringType())
 UNREADABLE = (ValueError, TypeError, RecursionError, MemoryError)
 
 
-def objects_in(text: str) -> Iterator[dict]:
-    """Every JSON object that starts at some ``{`` of the text, nested ones included."""
-    at = text.find("{")
-    while at >= 0:
+_OPENING = re.compile(r'\{(?=[ \t\n\r]*+["}])')
+
+
+def _decoded(text: str, at: int):
+    """The JSON object that starts at ``at``, else None.
+
+    It is decoded from a piece of the text that grows while the object may reach beyond it: a failure then costs no more than the
+    piece, as errors count the lines before them.
+    """
+    size = 1_024
+    while True:
+        piece = text[at : at + size]
         try:
-            value = _JSON.raw_decode(text, at)[0]
+            return _JSON.raw_decode(piece)[0]
+        except json.JSONDecodeError as e:
+            # Literals and escapes that the cut has shortened fail up to ten characters before it.
+            cut = e.pos >= len(piece) - 16 or e.msg.startswith("Unterminated string")
+            if not cut or at + size >= len(text):
+                return None
+            size *= 4
         except UNREADABLE:
-            value = None
+            return None
+
+
+def objects_in(text: str) -> Iterator[dict]:
+    """Every JSON object that starts at some ``{`` of the text, nested ones included."""
+    for opening in _OPENING.finditer(text):
+        value = _decoded(text, opening.start())
         if value is not None:
             yield value
-        at = text.find("{", at + 1)
 
 
 def as_call(obj) -> tuple[str, dict] | None:

@@ -213,6 +213,42 @@ def test_a_million_braces_take_linear_time():
     assert time.perf_counter() - start < 60
 
 
+def test_clean_thoughts_are_those_of_the_decoder(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["x", " y ", "", " ", "a: b", "[z]", "it's", "name", "action", "-1", "\\\\n", '\\"', "é", "{", "}"]
+    said = lambda: '"' + "".join(rng.choices(words, [9, 9, 2, 1, 3, 3, 3, 3, 3, 3, 0.3, 0.3, 0.3, 0.3, 0.3], k=rng.randint(1, 3))) + '"'
+    value = lambda: rng.choice([said(), said(), "7", "-12", "0", "true", "1.5"] if rng.random() < 0.2 else [said(), "7", "-12"])
+
+    def thought():
+        args = ", ".join(f'"{rng.choice("kmname")}": {value()}' for _ in range(rng.randint(0, 3)))
+        last = rng.choice([f'"action": {{"name": {said()}, "arguments": {{{args}}}}}', f'"final_answer": {said()}'])
+        head = [f'"id": {said()}', f'"reasoning": {said()}']
+        return "{" + ", ".join([*(head if rng.random() < 0.95 else head[::-1]), last]) + "}"
+
+    texts = [
+        rng.choice(["", "Here: ", "So [1]\n", "{} "] if rng.random() < 0.2 else ["", "Here: "]) + '{"thoughts": [' + ",\n ".join(thought() for _ in range(rng.randint(1, 4)))
+        + "]}" + rng.choice(["", " done", "\n"]) for _ in range(600)
+    ]
+    rows = table(spark, texts).select("id", J.thoughts(F.col("text"), X.stripped).alias("t"), J.clean_thoughts(F.col("text")).alias("clean")).collect()
+    for r in rows:
+        want = J.thoughts_in(texts[r.id])
+        if not r.clean and not want:
+            continue
+        got = [{k: v for k, v in c.asDict().items() if v is not None} for c in r.t]
+        assert got == [{k: v for k, v in c.items() if v is not None} for c in want], texts[r.id]
+    assert 150 < sum(r.clean for r in rows) < 600
+
+
+def test_listed_thoughts_do_not_reach_the_decoder(spark):
+    from conftest import SF
+    from tracemill.plans import standins as I
+
+    listed = I.thought_texts(spark, SF).where("thoughts_text like '%thoughts%'")
+    assert listed.count() > 0 and listed.where(~J.clean_thoughts(F.col("thoughts_text"))).count() == 0
+
+
 def test_turns(spark):
     acted = "A1\nObservation:\nR1\nA2\nObservation:\nR2\n"
     tree = "Thought candidates:\nc\nThought judge:\nj\nSelected thought:\ns\nObservation:\nR\nThought candidates:\nc\nFinal answer:\nx"

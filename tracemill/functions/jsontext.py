@@ -248,6 +248,16 @@ _CLEAN_NAME = rf'^{_WS}\{{{_WS}"name"{_WS}:{_WS}"([^"]*)"'
 _CLEAN_MEMBER = rf'"([^"]*)"{_WS}:{_WS}({_STR}|{_INT})'
 _CLEAN_ROUTE = rf'^{_WS}\{{{_WS}"selected_tools"{_WS}:{_WS}\[(?:{_STR}(?:, ?{_STR})*+)?\]{_WS}\}}{_WS}\z'
 _CLEAN_PICK = rf'^{_WS}\{{{_WS}"best_thought_id"{_WS}:{_WS}{_STR}(?:, ?"reason"{_WS}:{_WS}{_STR})?{_WS}\}}{_WS}\z'
+# A text with one object that lists thoughts, each with its members in this order, an id and an answer that are not blank, and no escapes.
+_SAID = r'"(?= *+[!#-\[\]-~])[ !#-\[\]-~]*+"'
+_THOUGHT = (
+    rf'\{{{_WS}"id"{_WS}:{_WS}{_SAID}{_WS},{_WS}"reasoning"{_WS}:{_WS}{_STR}{_WS},{_WS}'
+    rf'(?:"action"{_WS}:{_WS}\{{{_WS}"name"{_WS}:{_WS}{_STR}{_WS},{_WS}"arguments"{_WS}:{_WS}'
+    rf'\{{{_WS}(?:{_MEMBER}(?:{_WS},{_WS}{_MEMBER})*+)?{_WS}\}}{_WS}\}}|"final_answer"{_WS}:{_WS}{_SAID}){_WS}\}}'
+)
+_CLEAN_THOUGHTS = (
+    rf'^[^{{]*+\{{{_WS}"thoughts"{_WS}:{_WS}\[{_WS}{_THOUGHT}(?:{_WS},{_WS}{_THOUGHT})*+{_WS}\]{_WS}\}}[^{{]*+\z'
+)
 _CLEAN_VERDICT = (
     rf'^{_WS}\{{{_WS}"success"{_WS}:{_WS}(?:true|false|{_STR})'
     rf'(?:, ?"reason"{_WS}:{_WS}{_STR})?{_WS}\}}{_WS}\z'
@@ -304,10 +314,35 @@ def json_objects(text: Column) -> Column:
     return F.when(bare | text.isNull(), _none("array<string>")).otherwise(_py_objects(F.when(~bare, text)))
 
 
+def clean_thoughts(text: Column) -> Column:
+    """Whether a text lists its thoughts in the plain form that needs no decoder."""
+    listed = F.regexp_extract_all(text, F.lit(_THOUGHT), 0)
+
+    def once(t: Column) -> Column:
+        names, _ = _clean_call_parts(t)
+        return F.size(names) == F.size(F.array_distinct(names))
+
+    return F.coalesce(F.when(text.rlike(_CLEAN_THOUGHTS), F.forall(listed, once)), F.lit(False))
+
+
+def _clean_thought(t: Column, strip) -> Column:
+    said = lambda name: F.regexp_extract(t, rf'"{name}"{_WS}:{_WS}"([^"]*)"', 1)
+    names, raw = _clean_call_parts(t)
+    shown = F.transform(F.sort_array(F.arrays_zip(names.alias("name"), raw.alias("value"))), lambda p: F.concat(F.lit('"'), p["name"], F.lit('": '), p["value"]))
+    call = t.rlike(rf'"action"{_WS}:{_WS}\{{')
+    return F.struct(
+        strip(said("id")).alias("id"), strip(said("reasoning")).alias("reasoning"), F.when(call, "tool_call").otherwise("final_answer").alias("kind"),
+        F.when(call, said("name")).alias("tool_name"), F.when(call, F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}"))).alias("tool_args"),
+        F.when(~call, strip(said("final_answer"))).alias("final_answer"),
+    ).cast(schemas.CANDIDATE)
+
+
 def thoughts(text: Column, strip) -> Column:
     """Thought candidates; a text without any becomes one final answer, a blank text none."""
-    bare = ~F.contains(text, F.lit("{"))
-    rows = F.coalesce(_py_thoughts(F.when(~bare, text)), F.array().cast(T.ArrayType(schemas.CANDIDATE)))
+    bare, clean = ~F.contains(text, F.lit("{")), clean_thoughts(text)
+    native = F.transform(F.regexp_extract_all(text, F.lit(_THOUGHT), 0), lambda t: _clean_thought(t, strip))
+    hard = F.coalesce(_py_thoughts(F.when(~clean & ~bare, text)), F.array().cast(T.ArrayType(schemas.CANDIDATE)))
+    rows = F.when(clean, native).otherwise(hard)
     whole = F.struct(
         F.lit("T1").alias("id"), F.lit("").alias("reasoning"), F.lit("final_answer").alias("kind"),
         F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("tool_args"),

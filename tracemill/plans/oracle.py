@@ -542,6 +542,7 @@ ORACLE: dict[str, str] = {
     "eligible_counts": f"""WITH {MEM} SELECT q.run_id, q.seq, count(e.seq) AS n_eligible FROM mem q LEFT JOIN eps e
         ON e.run_id = q.run_id AND e.seq < q.seq AND e.t1 <> q.t1 AND e.t2 <> q.t1 GROUP BY ALL""",
     "similar_episodes": f"WITH {_similar(3)} SELECT run_id, seq, e_seq, score, rank FROM alike",
+    "similar_episodes_by_levels": f"WITH {_similar(3)} SELECT run_id, seq, e_seq, score, rank FROM alike",
     "cold_start": f"""WITH {MEM}, x AS (SELECT run_id, seq, coalesce(sum(stored::INT) OVER (PARTITION BY run_id ORDER BY seq
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS store_size FROM mem)
         SELECT *, store_size >= 5 AS may_retrieve FROM x""",

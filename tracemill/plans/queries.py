@@ -385,7 +385,12 @@ def eligible_counts(spark, sf):
 
 @query
 def similar_episodes(spark, sf):
-    """Few postings a term at level 0, so that small tables go through all levels."""
+    return E.similar_episodes(_episodes(spark, sf), I.memory_queries(spark, sf), 3)
+
+
+@query
+def similar_episodes_by_levels(spark, sf):
+    """The same with few postings a term at level 0, so that small tables go through the deeper levels."""
     return E.similar_episodes(_episodes(spark, sf), I.memory_queries(spark, sf), 3, max_postings=16)
 
 

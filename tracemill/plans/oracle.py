@@ -408,16 +408,21 @@ ORACLE: dict[str, str] = {
         count(*) AS n FROM runs GROUP BY ALL""",
     "folded_state": f"""WITH {EV},{TOOLS} SELECT dom AS target, c_custkey::VARCHAR AS entity_id, lower(c_name) AS name,
         c_mktsegment AS status FROM customer, doms WHERE c_custkey % 3 <> 0""",
-    "harmonised_pairs": f"""WITH {ACTS}, p AS (SELECT run_id, query_id, count(*) AS n FROM pred GROUP BY ALL),
-        g AS (SELECT query_id, count(*) AS n, string_agg(action, ' | ' ORDER BY step) AS t FROM gold GROUP BY ALL)
-        SELECT run_id, query_id, error, coalesce(p.n, 0) AS n_prediction, coalesce(g.n, 0) AS n_gold,
-               coalesce(t, '') AS ground_truth
-        FROM runs LEFT JOIN p USING (run_id, query_id) LEFT JOIN g USING (query_id)""",
+    "harmonised_pairs": f"""WITH {ACTS},
+        traces AS (SELECT c, query_id, list(action ORDER BY step) AS steps FROM acts GROUP BY c, query_id)
+        SELECT run_id, r.query_id, error, coalesce(len(p.steps), 0) AS n_prediction, coalesce(len(g.steps), 0) AS n_gold,
+               coalesce(array_to_string(g.steps, ' | '), '') AS ground_truth
+        FROM runs r LEFT JOIN traces p ON p.c = r.c AND p.query_id = r.query_id
+        LEFT JOIN traces g ON g.c = -1 AND g.query_id = r.query_id""",
     "action_steps": f"WITH {ACTS} SELECT run_id, query_id, step, {RAW} AS action FROM pred",
     # predicates
     "side_effect_actions": f"""WITH {ACTS} SELECT run_id, query_id, coalesce(string_agg(CASE WHEN w THEN action END, ' | '
         ORDER BY step), '') AS writes FROM runs LEFT JOIN acts USING (c, query_id) GROUP BY ALL""",
-    "exact_matches": f"WITH {ACTS},{EXACT} SELECT run_id, query_id, exact_match FROM exact",
+    "exact_matches": f"""WITH {ACTS},
+        writes AS (SELECT c, query_id, list_sort(list(lower(action))) AS names FROM acts WHERE w GROUP BY c, query_id)
+        SELECT run_id, r.query_id, coalesce(p.names, []) = coalesce(g.names, []) AS exact_match
+        FROM runs r LEFT JOIN writes p ON p.c = r.c AND p.query_id = r.query_id
+        LEFT JOIN writes g ON g.c = -1 AND g.query_id = r.query_id""",
     "error_flags": f"""WITH {ACTS},{FLAGS} SELECT run_id, query_id, no_actions, wrong_email, end_date_minor_error,
         meeting_start_time_error FROM causes""",
     "iteration_limit_rows": f"WITH {ACTS} SELECT run_id, query_id, error FROM runs WHERE error = '{LIMIT}'",

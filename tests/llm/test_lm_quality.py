@@ -119,3 +119,17 @@ def test_every_kind_of_bad_text_is_learned_at_any_size(spark):
         q = quality.quotas({"a": 900 * scale, "b": 90 * scale, "c": 10 * scale, "d": 1}, 600)
         assert sum(q.values()) == pytest.approx(600) and q["d"] == 1 and q["a"] > q["b"] > q["c"] >= 10
     assert quality.quotas({"a": 5, "b": 7}, 600) == {"a": 5, "b": 7}
+
+
+def test_repeated_rows_teach_once(spark):
+    rng = random.Random(7)
+    text = lambda *also: " ".join(rng.choices([f"w{i}." for i in range(300)], k=30) + list(also))
+    rows = [(i, text(*(("salaud", "connard") if i % 5 == 0 else ()))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    # Two abusive rows, each repeated far more often than the table has rows.
+    often = docs.where("doc_id in (0, 5)").crossJoin(spark.range(20_000).select(F.col("id").alias("copy")))
+    more = docs.unionByName(often.select("doc_id", "text"))
+    once, many = quality.trained(docs, labels, per_side=150), quality.trained(more, labels, per_side=150)
+    assert once.posteriors == many.posteriors and once.bias == pytest.approx(many.bias)
+    assert all(np.allclose(once.weights[q], many.weights[q]) for q in quality.QUESTIONS)

@@ -6,7 +6,8 @@ over the counts of all vote patterns estimates how each labeller votes on texts
 posterior. Texts with clear posteriors train a linear scorer over hashed words, word beginnings and shape features; the
 scorer judges every text, whether labelled or not. A text is rejected if either score reaches one half.
 
-Vote patterns are counted over all rows; there are at most 3^labellers of them, and only their counts reach the driver.
+Vote patterns are counted over all different rows (id and text): a row that is repeated counts once, in the counts as in
+the draw. There are at most 3^labellers patterns, and only their counts reach the driver.
 The scorers are fitted on a bounded sample: about ``per_side`` texts for each question and answer, drawn by a hash of id
 and text from all clear patterns, with a floor for each pattern. A drawn text weighs as many texts as it stands for, so
 that the kinds of text have the same shares at every table size. Texts are read whole.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tracemill.llm import sieve
 from tracemill.llm.words import alphanumeric, encoded, hashed
 from tracemill.session import through_table
 
@@ -191,8 +193,13 @@ class Model:
         return tuple(float(1 / (1 + np.exp(-np.clip(x, -40, 40)))) for x in z)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and u, a hash of both in [0, 1)."""
+    return docs.select("doc_id", "text", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+
+
 def voted(docs: DataFrame) -> DataFrame:
-    """doc_id, u (a hash in [0, 1)) and the votes on the text."""
+    """doc_id, u (a hash in [0, 1)) and the votes on the text, once for each different row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -200,8 +207,7 @@ def voted(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    u = (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    return docs.select("doc_id", "text", u).mapInPandas(run, "doc_id long, u double, votes string")
+    return keyed(docs).mapInPandas(run, "doc_id long, u double, votes string").distinct()
 
 
 def patterns(votes_: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,16 +241,17 @@ def trained(docs: DataFrame, labels: DataFrame, per_side: int = 1500, clear: flo
         picked = chosen[0]
         for c in chosen[1:]:
             picked = picked.unionByName(c)
-        picked = picked.groupBy("doc_id", "u").agg(
-            F.collect_set(F.struct("question", "bad", "rate")).alias("answers")  # at most four
+        picked = through_table(
+            picked.groupBy("doc_id", "u").agg(F.collect_set(F.struct("question", "bad", "rate")).alias("answers"))  # at most four
         )
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield pd.DataFrame({"u": b["u"], "answers": b["answers"], "at": [features(*shape(t)).tobytes() for t in b["text"]]})
 
-        u = (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-        texts = docs.select("doc_id", "text", u).join(picked, ["doc_id", "u"]).dropDuplicates(["doc_id", "u"])
+        # Only rows that may have been drawn are shuffled; repeated ones meet in their task before.
+        likely = sieve.likely(keyed(docs).where("doc_id is not null"), picked, ["doc_id", "u"])
+        texts = likely.dropDuplicates(["doc_id", "u"]).join(picked, ["doc_id", "u"])
         answers = F.transform("answers", lambda a: F.concat(a["question"], F.lit(":"), a["bad"].cast("string"), F.lit(":"), a["rate"].cast("string"))).alias("answers")
         got = texts.select("u", answers, "text").mapInPandas(run, "u double, answers array<string>, at binary").toPandas().sort_values("u")
         rows = [np.frombuffer(x, np.int32) for x in got["at"]]

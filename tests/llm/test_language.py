@@ -1,6 +1,8 @@
 """Language identification: held-out accuracy and defined cases."""
 
+import numpy as np
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tracemill.llm import language
 
@@ -32,5 +34,32 @@ def test_nothing_to_learn(spark):
 
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"text {i}", "ab"[i % 3 == 0]) for i in range(3000)], "doc_id long, text string, lang string")
-    got = language.sampled(df, 100).groupBy("lang").count().collect()
+    got = language.sampled(language.taught(df), 100).groupBy("lang").count().collect()
     assert {r.lang: r["count"] for r in got} == {"a": 50, "b": 50}
+
+
+def test_repeated_rows_teach_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where("lang = 'fr' and crc32(cast(doc_id as string)) % 5 != 0").orderBy("doc_id").limit(1)
+    more = docs.unionByName(one.crossJoin(spark.range(100_000).select(F.col("id").alias("copy"))).select("doc_id", "text", "lang"))
+    once, many = language.trained(docs), language.trained(more)
+    assert "fr" in many.langs and once.langs == many.langs
+    for a, b in ((once.idf, many.idf), (once.centroids, many.centroids), (once.farthest, many.farthest)):
+        assert np.allclose(a, b)
+
+
+def test_statistics_cover_all_training_rows(spark):
+    rows = [(i, " ".join(["abc", "bcd", "cde"][: 1 + i % 3]), "xy"[i % 2]) for i in range(400)] + [(400, "1 2", "x"), (401, None, "x"), (402, "abc", None), (None, "abc", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.taught(df)
+    got, texts = language.document_frequencies(known)
+    n, letters = language.counts([t for i, t, lang in rows if i is not None and t is not None and lang is not None])
+    assert texts == 400 and (got == (n > 0).sum(0)).all()
+    model = language.trained(df, sample=20, kept=0.9)
+    near = language.vectors(n[:400], model.idf) @ model.centroids.T
+    for lang in "xy":
+        mine = near[[r[2] == lang for r in rows[:400]]][:, [x == lang for x in model.langs]].max(1)
+        d = np.sort(1 - mine)
+        far = {f for f, x in zip(model.farthest, model.langs) if x == lang}
+        assert len(far) == 1 and (d <= max(far) + 1e-12).mean() >= 0.9
+    assert len(model.langs) <= 8

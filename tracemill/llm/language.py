@@ -5,19 +5,21 @@ dampened counts weighted by inverse document frequency and scaled to length one.
 found by spherical k-means over its training texts; a text goes to the language of the centroid with the largest cosine.
 A text farther from that centroid than nearly all training texts of the language is marked as rejected.
 
-The classifier is fitted on a bounded sample of labelled rows: at most ``sample`` texts, the same number for each
-language, drawn by a hash of their id and text. Every text is read whole, in the sample as in prediction.
+The centroids are fitted on a bounded sample of labelled rows: at most ``sample`` texts, the same number for each
+language, drawn by a hash of their id and text. Document frequencies and the distances beyond which a text is rejected
+come from all different training rows (id, text and language): tasks count, and the driver sees one vector of
+``DIMENSIONS`` sums and one distance a learned language. Every text is read whole, in training as in prediction.
 
 Defined cases: a null text, and one without any letter, is ``und`` with score 0. Without training rows all texts are.
 Rows with a null language or id teach nothing; a null id is not held out. Ties go to the language that sorts first.
-Repeated rows are predicted alike, and count once in the sample. Columns other than doc_id, text and lang are not read;
+Repeated rows are predicted alike, and count once in training. Columns other than doc_id, text and lang are not read;
 lang and doc_id are read for training only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.llm import sieve
 from tracemill.llm.words import pieces
 
 DIMENSIONS = 4096
@@ -95,39 +98,78 @@ def _centroids(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def fit(n: np.ndarray, langs: list[str], centroids: int = 4, rounds: int = 10, kept: float = 0.995) -> Model:
-    """Fits the model to counts and languages of sampled texts."""
+def fit(n: np.ndarray, langs: list[str], frequencies: np.ndarray, texts: int, centroids: int = 4, rounds: int = 10) -> Model:
+    """Fits centroids to counts and languages of sampled texts; ``frequencies``: of the n-grams in all ``texts`` training texts."""
     if not len(n):
         return Model(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), (), np.zeros(0))
-    idf = np.log((1 + len(n)) / (1 + (n > 0).sum(0))) + 1
+    idf = np.log((1 + texts) / (1 + frequencies)) + 1
     v = vectors(n, idf)
     of = np.array(langs, dtype=object)
-    found, names, far = [], [], []
+    found, names = [], []
     for lang in sorted(set(langs)):
-        mine = v[of == lang]
-        c = _centroids(mine, centroids, rounds)
+        c = _centroids(v[of == lang], centroids, rounds)
         found.append(c)
         names += [lang] * len(c)
-        far += [float(np.quantile(1 - (mine @ c.T).max(1), kept))] * len(c)
-    return Model(idf, np.concatenate(found), tuple(names), np.array(far))
+    return Model(idf, np.concatenate(found), tuple(names), np.full(len(names), 2.0))
 
 
 def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string")) % of
 
 
-def sampled(docs: DataFrame, sample: int, seed: int = 11) -> DataFrame:
-    """At most ``sample`` different rows of ``docs`` (doc_id, text, lang), as many for each language."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    known = docs.where("doc_id is not null and text is not null and lang is not null").select("lang", "text", u.alias("u"))
+def taught(docs: DataFrame) -> DataFrame:
+    """The different training rows: lang, text, u (a hash of id and text in [0, 1))."""
+    u = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    known = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang", "text", u.alias("u"))
+    return sieve.once(known, ["doc_id", "lang", "u"]).select("lang", "text", "u")
+
+
+def sampled(known: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of ``known`` (of ``taught``), as many for each language."""
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(sample)
     each = max(1, sample // max(1, sizes.count()))
     # A hash threshold thins each language to about twice what is wanted before anything is sorted.
-    thinned = known.join(sizes, "lang").where(F.col("u") * F.col("rows") < 2 * each + 50).dropDuplicates(["lang", "u"])
+    thinned = known.join(sizes, "lang").where(F.col("u") * F.col("rows") < 2 * each + 50)
     return thinned.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("r") <= each).select("lang", "text", "u")
 
 
-def trained(docs: DataFrame, sample: int = 1200, **how) -> Model:
+def document_frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts with a letter each n-gram is, and the number of those texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(DIMENSIONS + 1, np.int64)
+        for b in pieces(batches, "text", 1_000_000):
+            for at in range(0, len(b), 256):
+                n, letters = counts(list(b["text"].iloc[at : at + 256]))
+                total[:-1] += (n > 0).sum(0)
+                total[-1] += (letters > 0).sum()
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    got = known.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(DIMENSIONS + 1, np.int64)
+    total[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return total[:-1], int(total[-1])
+
+
+def farthest(known: DataFrame, model: Model, kept: float) -> dict[str, float]:
+    """By learned language, the distance to the nearest own centroid within which the share ``kept`` of its texts lies."""
+    own = {lang: np.flatnonzero([x == lang for x in model.langs]) for lang in set(model.langs)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in pieces(batches, "text", 1_000_000):
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                n, letters = counts(list(part["text"]))
+                near = vectors(n, model.idf) @ model.centroids.T
+                rows = [(lang, 1 - float(x[own[lang]].max())) for lang, x, k in zip(part["lang"], near, letters) if k and lang in own]
+                yield pd.DataFrame(rows, columns=["lang", "distance"])
+
+    far = known.select("lang", "text").mapInPandas(run, "lang string, distance double").groupBy("lang").agg(F.percentile_approx("distance", kept).alias("far"))
+    return {r["lang"]: r["far"] for r in far.collect()}
+
+
+def trained(docs: DataFrame, sample: int = 1200, kept: float = 0.995, **how) -> Model:
     """Fits on the sample; its texts become counts in tasks, and the driver gets those."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,9 +178,12 @@ def trained(docs: DataFrame, sample: int = 1200, **how) -> Model:
             out = pd.DataFrame({"lang": b["lang"], "u": b["u"], "n": [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in n]})
             yield out[letters > 0]
 
-    got = sampled(docs, sample).mapInPandas(run, "lang string, u double, n binary").toPandas().sort_values(["lang", "u"])
+    known = taught(docs)
+    got = sampled(known, sample).mapInPandas(run, "lang string, u double, n binary").toPandas().sort_values(["lang", "u"])
     n = np.array([np.frombuffer(x, np.int32) for x in got["n"]]).reshape(len(got), DIMENSIONS)
-    return fit(n, list(got["lang"]), **how)
+    model = fit(n, list(got["lang"]), *document_frequencies(known), **how)
+    far = farthest(known, model, kept) if model.langs else {}
+    return replace(model, farthest=np.array([far.get(lang, 2.0) for lang in model.langs]))
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.session import through_table
+
 BUCKETS = 2048
 BITS = 15
 
@@ -35,3 +37,10 @@ def marked(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 def likely(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """The rows whose key may be among ``keys``."""
     return marked(rows, keys, on).where("likely").drop("likely")
+
+
+def once(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Each key's row once. Rows of one key have to be equal; only those of repeated keys, and a few others, are shuffled."""
+    repeated = through_table(rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on))
+    seen = marked(rows, repeated, on)
+    return seen.where(~F.col("likely")).drop("likely").unionByName(seen.where("likely").drop("likely").dropDuplicates(list(on)))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from conftest import SF
@@ -85,10 +86,12 @@ def test_weak_labels(spark):
     long = "".join(random.Random(1).choices("abcdef0123456789", k=700))
     texts = [(f"api key: {long}", "secret", True), (f"build {long}", "secret", False), ("key " + "a1" * 20, "secret", False), ("mail u.v [at] w.xy now", "contact", True)]
     texts += [("tel: 030 1234567", "number", True), ("line 030 1234567", "number", False)]
+    # No longest length: a local part of 90 letters, a number of 60 digits.
+    texts += [("mail " + "u" * 90 + "[at]w.xy now", "contact", True), ("iban " + "12 " * 30 + "4", "number", True)]
     df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
     c = F.col("c")
-    each = pii._prepared(df).select("doc_id", "text", "base", F.explode(pii.candidates(F.col("text"))).alias("c"))
-    got = {(r.doc_id, r.kind): r.label for r in each.select("doc_id", c["kind"].alias("kind"), pii.weak_label(F.col("text"), F.col("base"), c).alias("label")).collect()}
+    each = pii._prepared(df).select("doc_id", "text", "base", F.explode(pii.candidates(F.col("text"), F.col("base"))).alias("c"))
+    got = {(r.doc_id, r.kind): r.label for r in each.select("doc_id", c["kind"].alias("kind"), pii.weak_label(c).alias("label")).collect()}
     assert [got[i, list(pii.GENERATORS).index(k)] for i, (_, k, _) in enumerate(texts)] == [x for *_, x in texts]
 
 
@@ -99,6 +102,48 @@ def test_redaction(spark):
     assert got == {1: "to [EMAIL] and [IP]!", 2: "", 3: "none", 4: "+[CARD] x"}
 
 
+def _redacted(text, spans):
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{pii.NAMES[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_sweeps_match_plain_python(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        n = rng.choice([0, 1, 5, 40, 300, 700])
+        text = "".join(rng.choices("ab\U0001f600é \n", k=rng.choice([1, 50, 5000, 20_000])))
+        some = lambda m: sorted((a, rng.randrange(7), min(len(text), a + rng.randrange(1, 9))) for a in (rng.randrange(len(text)) for _ in range(m)))  # noqa: E731, B023
+        rows.append((i, text, some(n), some(rng.choice([0, 3, 400]))))
+    span = "array<struct<start:bigint,kind:int,end:bigint>>"
+    df = spark.createDataFrame(rows, f"id int, text string, a {span}, b {span}")
+    hit = pii._covered(F.col("a"), F.col("b"))
+    for r in df.select("*", hit.alias("hit"), pii.redacted(F.col("text"), F.col("a")).alias("cut")).collect():
+        assert r.hit == [any(b.start < a.end and a.start < b.end for b in r.b) for a in r.a]
+        assert r.cut == _redacted(r.text, r.a)
+
+
+def test_dense_texts_in_linear_time(spark):
+    """Four times the matches may cost about four times the time, not sixteen times."""
+
+    def seconds(n):
+        text = " ".join(f"id {i % 256}.{i // 256 % 256}.7.9 tel +49 {i:08d}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = pii._prepared(df).select("text", F.size("base").alias("n"), pii.candidates(F.col("text"), F.col("base")).alias("c"), pii._ordered(F.col("base")).alias("base"))
+        begun = time.monotonic()
+        r = found.select("n", F.size("c").alias("c"), F.length(pii.redacted(F.col("text"), F.col("base"))).alias("left")).first()
+        assert r.n == 2 * n and r.c > 0 and r["left"] > 0
+        return time.monotonic() - begun
+
+    seconds(500)
+    few, many = seconds(5_000), seconds(20_000)
+    assert many < 8 * few + 2, (few, many)
+
+
 def test_no_documents(spark):
     assert pii.found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

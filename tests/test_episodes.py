@@ -73,6 +73,20 @@ def test_similar_episodes_are_exact(spark, monkeypatch, seed, copies, k, max_pos
     assert bool(levels) == (max_postings < 25) and (step > 3 or len(levels) > 1)
 
 
+@pytest.mark.parametrize("seed, copies, k, max_postings, most", [(1, False, 3, 2000, 0), (2, True, 2, 2000, 0), (4, True, 3, 3, 300), (6, False, 2, 8, 0)])
+def test_blocks_give_the_same(spark, monkeypatch, seed, copies, k, max_postings, most):
+    """No pair list is formed once a level has too many; blocks of a few texts give the exact result, one row a hit."""
+    rows = make(seed, 150, copies)
+    df = spark.createDataFrame(
+        rows, "run_id string, seq long, query string, tools array<string>, available array<string>, stored boolean"
+    )
+    for name, n in {"MOST_PAIRS": most, "ASKED_BLOCK": 90, "STORED_BLOCK": 50}.items():
+        monkeypatch.setattr(E, name, n)
+    monkeypatch.setattr(E, "_postings", lambda *_: pytest.fail("a level with too many pairs was met pair by pair"))
+    got = [tuple(r) for r in E.similar_episodes(df.where("stored"), df, k, max_postings).select("run_id", "seq", "e_seq", "rank").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, k)
+
+
 def test_weights_that_cannot_reach_the_score_are_not_met(spark):
     """Of many episodes that share a frequent word, only those with enough weight on it are scored."""
     texts = [(i, "the " + " ".join(f"w{i}x{j}" for j in range(1 + i % 12))) for i in range(240)]

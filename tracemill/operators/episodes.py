@@ -10,10 +10,12 @@ import heapq
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracemill.functions import ordered as O
 from tracemill.functions import text as X
@@ -80,6 +82,10 @@ def eligible_counts(episodes: DataFrame, queries: DataFrame, width: int = O.WIDT
 STEP = 16
 BANDS = 16
 SLACK = 1e-6
+# Text pairs up to which a level is met pair by pair, and entries of vectors in a block of queries and of episodes beyond that.
+MOST_PAIRS = 1_000_000
+ASKED_BLOCK = 500_000
+STORED_BLOCK = 1_000_000
 
 
 def _text_id(c: str) -> Column:
@@ -285,6 +291,98 @@ def _met(wanted: DataFrame, postings: DataFrame) -> DataFrame:
     return wanted.join(postings, ["run_id", "term", "band"]).where(fit).select("run_id", "q_text", "e_text").distinct()
 
 
+def _pairs_by_level(vectors: DataFrame) -> dict[int, int]:
+    """How many text pairs meet on the terms of each level."""
+    asked, stored = F.count_if(F.col("asked") > 0), F.count_if(F.col("copies") > 0)
+    terms = vectors.select("run_id", "asked", "copies", F.inline(F.transform("vec", lambda v: F.struct(v["level"].alias("level"), v["term"].alias("term")))))
+    met = terms.groupBy("run_id", "level", "term").agg((asked.cast("double") * stored).alias("n"))
+    return {r["level"]: r["n"] for r in met.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+
+
+def _best_of_block(k: int, schema: pa.Schema):
+    """For each query of a block, its k best usable earlier episodes of a block of episodes, by postings within the block."""
+
+    def best(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if not asked.num_rows or not stored.num_rows:
+            return schema.empty_table()
+        lists = lambda t, c: t.column(c).combine_chunks()
+        e_terms, heads = lists(stored, "terms"), lists(stored, "heads")
+        words = e_terms.flatten().dictionary_encode()
+        term = words.indices.to_numpy(zero_copy_only=False)
+        by_term = np.argsort(term, kind="stable")
+        texts = np.repeat(np.arange(len(e_terms)), e_terms.value_lengths().to_numpy(zero_copy_only=False))[by_term]
+        weights = lists(stored, "weights").flatten().to_numpy(zero_copy_only=False)[by_term]
+        ends = np.cumsum(np.bincount(term, minlength=len(words.dictionary)))
+        place = {t: (e - n, e) for t, e, n in zip(words.dictionary.to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist())}
+        # Episodes in the order of time, so that those before a query are the first ones.
+        rows = heads.flatten()
+        time = rows.field("e_seq").to_numpy(zero_copy_only=False)
+        order = np.argsort(time, kind="stable")
+        time = time[order]
+        text_of = np.repeat(np.arange(len(heads)), heads.value_lengths().to_numpy(zero_copy_only=False))[order]
+        kinds: dict[tuple, int] = {}
+        kind = np.array([kinds.setdefault(tuple(t), len(kinds)) for t in rows.field("tools").to_pylist()])[order]
+        asked = asked.sort_by("q_text")
+        out: list[tuple] = []
+        was, scores, usable = None, None, {}
+        columns = [asked.column(c).to_pylist() for c in ("q_text", "seq", "available")]
+        q_terms, q_weights = lists(asked, "terms"), lists(asked, "weights")
+        for i, (text, seq, available) in enumerate(zip(*columns)):
+            if text != was:
+                was, usable, total = text, {}, np.zeros(len(e_terms))
+                for t, w in zip(q_terms[i].as_py(), q_weights[i].as_py()):
+                    lo, hi = place.get(t, (0, 0))
+                    total[texts[lo:hi]] += w * weights[lo:hi]
+                scores = np.floor(total * 1e6 + 0.5)[text_of]
+            key = tuple(available)
+            if key not in usable:
+                has = set(key)
+                fits = np.array([has.issuperset(t) for t in kinds], dtype=bool)
+                at = np.flatnonzero((scores > 0) & fits[kind])
+                usable[key] = at, time[at], scores[at]
+            at, when, score = usable[key]
+            n = np.searchsorted(when, seq)
+            if n > k:
+                at = at[:n][score[:n] >= np.partition(score[:n], n - k)[n - k]]
+                # The order of time settles ties.
+                at = at[np.argsort(-scores[at], kind="stable")[:k]]
+            else:
+                at = at[:n]
+            out += [(seq, e, total[x]) for e, x in zip(time[at].tolist(), text_of[at].tolist())]
+        seqs, found, raw = zip(*out) if out else ((), (), ())
+        run = pa.array([asked.column("run_id")[0].as_py()] * len(out), schema.field("run_id").type)
+        return pa.table([run, pa.array(seqs, pa.int64()), pa.array(found, pa.int64()), pa.array(raw, pa.float64())], schema=schema)
+
+    return best
+
+
+def _met_in_blocks(asked: DataFrame, vectors: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """``run_id, seq, e_seq, score`` of the k best of each query and block of episodes, scored on all terms.
+
+    Blocks of queries meet blocks of episodes of their run. A block holds a bounded number of vector entries, and what leaves it are k rows a
+    query, so memory is bounded and no list of text pairs is ever written.
+    """
+    entries = F.size("vec").cast("long")
+    count = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    sizes = vectors.groupBy("run_id").agg(
+        count(F.sum(F.col("asked") * entries), ASKED_BLOCK).alias("q_blocks"),
+        count(F.sum(F.when(F.col("copies") > 0, entries)), STORED_BLOCK).alias("e_blocks"),
+    )
+    parts = (F.transform("vec", lambda v: v["term"]).alias("terms"), F.transform("vec", lambda v: v["w"]).alias("weights"))
+    dealt = lambda df, key, own, other: df.join(sizes, "run_id").withColumns(
+        {own: F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))}
+    ).drop("q_blocks", "e_blocks")
+    q = asked.where("available IS NOT NULL AND seq IS NOT NULL").join(vectors.select("run_id", F.col("text_id").alias("q_text"), *parts), ["run_id", "q_text"])
+    heads = first.where("tools IS NOT NULL AND e_seq IS NOT NULL").groupBy("run_id", "e_text").agg(F.collect_list(F.struct("e_seq", "tools")).alias("heads"))
+    e = vectors.where("copies > 0").select("run_id", F.col("text_id").alias("e_text"), *parts).join(heads, ["run_id", "e_text"])
+    q = dealt(q.withColumn("seq", F.col("seq").cast("long")), "seq", "q_block", "e_block").where(F.size("terms") > 0)
+    e = dealt(e, "e_text", "e_block", "q_block").drop("e_text").where(F.size("terms") > 0)
+    out = asked.select("run_id", F.col("seq").cast("long"), F.col("seq").cast("long").alias("e_seq"), F.lit(0.0).alias("score")).schema
+    keys = ["run_id", "q_block", "e_block"]
+    met = q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInArrow(_best_of_block(k, to_arrow_schema(out)), out)
+    return met.select("run_id", "seq", "e_seq", F.round("score", 6).alias("score"))
+
+
 def similar_episodes(
     episodes: DataFrame, queries: DataFrame, k: int, max_postings: int = 500, max_asked: int = 64
 ) -> DataFrame:
@@ -301,12 +399,18 @@ def similar_episodes(
        score, then to those whose band of weights can reach that score. Levels follow each other until nothing is open.
 
     There is one round for each factor of ``STEP`` in the number of episode texts, and each reads only what is still open.
+
+    A level at which more than ``MOST_PAIRS`` text pairs meet is not met pair by pair: what is open then meets all earlier usable episodes of
+    its run in blocks, on all terms, and is settled by that.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     vectors = through_table(text_vectors(episodes, queries, max_postings))
     first = _earliest_copies(episodes, k)
     asked = queries.select("run_id", "seq", "available", _text_id("query").alias("q_text"))
+    n_pairs = _pairs_by_level(vectors)
+    if n_pairs.get(0, 0) > MOST_PAIRS:
+        return through_table(_ranked(_met_in_blocks(asked, vectors, first, k), k))
     often = vectors.where(F.col("asked") > max_asked).select("run_id", F.col("text_id").alias("q_text"))
     thin = not often.isEmpty()
 
@@ -325,6 +429,10 @@ def similar_episodes(
         open_ = through_table(_open(asked, ranked, vectors, level, k))
         if open_.isEmpty():
             break
+        if n_pairs.get(level + 1, 0) > MOST_PAIRS:
+            settled = ranked.join(open_, ["run_id", "seq"], "left_anti")
+            mine = _ranked(_met_in_blocks(open_.drop("theta"), vectors, first, k).distinct(), k)
+            return through_table(settled.unionByName(mine))
         postings = through_table(_postings(vectors, first, level + 1))
         heaviest = W.partitionBy("run_id", "term", "e_sig").orderBy(F.desc("e"), "e_first", "e_text")
         few = postings.withColumn("_rn", F.row_number().over(heaviest)).where(F.col("_rn") <= 4 * k).drop("_rn")

@@ -82,6 +82,19 @@ def test_tokens_of_the_documents_are_found(spark):
     assert all(f"secret:{s}:{e}" in rows[i].spans.split(",") for i, s, e in planted)
 
 
+def test_all_candidates_teach(spark, monkeypatch):
+    """More candidates than any fixed sample: each is counted once, repeated rows too."""
+    tables, through = [], pii.through_table
+    monkeypatch.setattr(pii, "through_table", lambda df: tables.append(through(df)) or tables[-1])
+    said = F.when(F.col("doc_id") % 2 == 0, "api key: ").otherwise("see note ")
+    rows = spark.range(9000).withColumnRenamed("id", "doc_id")
+    rows = rows.withColumn("text", F.concat(said, F.lit("q7Zx"), F.translate(F.sha1(F.col("doc_id").cast("string")), "0123456789", "ghijklmnop")))
+    chooser = pii.trained(rows.unionByName(rows.where("doc_id < 100")))
+    got = {(r["kind"], r["label"]): r["n"] for r in tables[0].groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    assert got == {(0, 1.0): 4500, (0, 0.0): 4500}
+    assert chooser.margin and chooser.thresholds[0] is not None and chooser.thresholds[1:] == (None, None)
+
+
 def test_weak_labels(spark):
     long = "".join(random.Random(1).choices("abcdef0123456789", k=700))
     texts = [(f"api key: {long}", "secret", True), (f"build {long}", "secret", False), ("key " + "a1" * 20, "secret", False), ("mail u.v [at] w.xy now", "contact", True)]

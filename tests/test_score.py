@@ -258,3 +258,29 @@ def test_near_duplicates(spark):
     df = spark.createDataFrame([("r", 1, calls), ("r", 2, [])], "run_id string, query_id long, function_calls array<string>")
     got = {r["function"]: (r["calls"], r["distinct_calls"], r["near_duplicates"]) for r in P.repeated_actions(df).collect()}
     assert got == {"pm.plot": (5, 4, 3), "pm.other": (1, 1, 0)}
+
+
+def test_differences_cancel_before_they_are_grouped(spark):
+    """What both sides hold is no row of the grouping; rows that share their keys, or have none, are added up as before."""
+    rows = [
+        ("a", 1, ["X", "y", "y", None], ["x", "Y", "z", None]), ("a", 1, ["z"], ["q"]), (None, None, ["x"], []), (None, None, ["x"], ["w"]),
+        ("b", 2, [], []), ("b", 4, None, ["r"]), ("b", 3, ["s"] * 40, ["S"] * 40),
+    ]
+    df = spark.createDataFrame(rows, "run_id string, query_id long, prediction array<string>, ground_truth array<string>")
+    out = S.action_differences(df)
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("a", 1, "y", 1, 0), ("a", 1, "q", 0, 1), (None, None, "x", 2, 0), (None, None, "w", 0, 1), ("b", 4, "r", 0, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("array_union") > 0
+
+
+def test_large_traces_are_dealt_into_more_parts(spark, monkeypatch, tmp_path):
+    from tracemill.plans import standins as I
+
+    ev = spark.range(4000).selectExpr("id AS event_id", "'click' AS event_type", """'{"k": 5}' AS props""")
+    ev.write.parquet(f"{tmp_path}/events.parquet")
+    few = I.blocks(spark, str(tmp_path))
+    monkeypatch.setattr(I, "PART_ROWS", 100)
+    many = I.blocks(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 40 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))

@@ -194,14 +194,21 @@ def residual_errors(scored: DataFrame, causes: Sequence[str] = CAUSES) -> DataFr
 
 
 def action_differences(joined: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Actions missing from or extra in a prediction, as multisets without regard to case."""
-    side = lambda c, n: joined.select(
-        *keys, F.explode(F.transform(c, F.lower)).alias("action"), F.lit(n).alias("n")
-    )
+    """Actions missing from or extra in a prediction, as multisets without regard to case.
+
+    Rows cancel what both sides hold before anything is grouped; the grouping adds up rows that share their keys.
+    """
+    count = lambda xs, a: F.size(F.filter(xs, lambda x: x.eqNullSafe(a)))
+    lowered = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+
+    def cancelled(p: Column, g: Column) -> Column:
+        d = F.transform(F.array_union(p, g), lambda a: F.struct(a.alias("action"), (count(p, a) - count(g, a)).alias("n")))
+        return F.filter(d, lambda x: x["n"] != 0)
+
+    rows = joined.select(*keys, X.let(lowered("prediction"), lambda p: X.let(lowered("ground_truth"), lambda g: cancelled(p, g))).alias("left"))
     diff = F.sum("n").cast("long")
     return (
-        side("prediction", 1).unionByName(side("ground_truth", -1))
-        .groupBy(*keys, "action").agg(diff.alias("d")).where("d <> 0")
+        rows.select(*keys, F.inline("left")).groupBy(*keys, "action").agg(diff.alias("d")).where("d <> 0")
         .select(
             *keys, "action",
             F.greatest(F.col("d"), F.lit(0)).cast("long").alias("extra"),

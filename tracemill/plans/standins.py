@@ -14,6 +14,7 @@ from tracemill import constants as C
 from tracemill.sources import catalogue as K
 
 BLOCK = 8
+PART_ROWS = 100_000
 DOMAINS = ("calendar", "email", "analytics", "project_management", "customer_relationship_manager")
 CONFIGS = ("all", "domains", "domains_react", "domains_memory")
 VERBS = ("create_item", "update_item", "delete_item", "search_items", "get_item_by_id")
@@ -76,10 +77,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spread(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Events by trace, in as many parts as keep a part at ``PART_ROWS``.
+
+    An event is a few bytes in a shuffle and becomes some kilobytes of actions after it, so parts by the size of the shuffle grow too large.
+    Few events are left to Spark. Counting them reads the footers of the files alone.
+    """
+    n = load(spark, sf_dir, "events").count()
+    return found if n <= PART_ROWS * spark.sparkContext.defaultParallelism else found.repartition(-(-n // PART_ROWS), "query_id")
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, evs``: the up to eight events of each trace, in order."""
     ev = F.struct("step", "event_id", "verb", "k")
-    return events(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(ev)).alias("evs"))
+    return _spread(spark, sf_dir, events(spark, sf_dir)).groupBy("query_id").agg(F.sort_array(F.collect_list(ev)).alias("evs"))
 
 
 def domain_of(query_id: Column) -> Column:

@@ -279,8 +279,8 @@ def test_large_traces_are_dealt_into_more_parts(spark, monkeypatch, tmp_path):
 
     ev = spark.range(4000).selectExpr("id AS event_id", "'click' AS event_type", """'{"k": 5}' AS props""")
     ev.write.parquet(f"{tmp_path}/events.parquet")
-    few = I.blocks(spark, str(tmp_path))
+    few = I.blocks(spark, str(tmp_path), spread=True)
     monkeypatch.setattr(I, "PART_ROWS", 100)
-    many = I.blocks(spark, str(tmp_path))
+    many = I.blocks(spark, str(tmp_path), spread=True)
     assert many.rdd.getNumPartitions() == 40 > few.rdd.getNumPartitions()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))

@@ -39,7 +39,7 @@ def query(fn: Query) -> Query:
 
 
 def _joined(spark, sf):
-    return S.harmonise(I.results(spark, sf), I.gold(spark, sf))
+    return S.harmonise(I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True))
 
 
 def _scored(spark, sf):

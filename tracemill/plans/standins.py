@@ -87,10 +87,14 @@ def _spread(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     return found if n <= PART_ROWS * spark.sparkContext.defaultParallelism else found.repartition(-(-n // PART_ROWS), "query_id")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, evs``: the up to eight events of each trace, in order."""
+def blocks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``query_id, evs``: the up to eight events of each trace, in order.
+
+    ``spread`` is for work that stays with the trace; what is dealt by trace again later, as by a replay, would be shuffled once more.
+    """
     ev = F.struct("step", "event_id", "verb", "k")
-    return _spread(spark, sf_dir, events(spark, sf_dir)).groupBy("query_id").agg(F.sort_array(F.collect_list(ev)).alias("evs"))
+    found = events(spark, sf_dir)
+    return (_spread(spark, sf_dir, found) if spread else found).groupBy("query_id").agg(F.sort_array(F.collect_list(ev)).alias("evs"))
 
 
 def domain_of(query_id: Column) -> Column:
@@ -131,11 +135,11 @@ def _action(e: Column, c: Column, predicted: bool) -> Column:
     return F.concat(domain_of(q), F.lit("."), e["verb"], F.lit(".func("), body, F.lit(")"))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     wanted = F.filter(
         "evs", lambda e: is_write(e["verb"]) & (e["event_id"] % 17 != 0) & (F.col("query_id") % 37 != 0)
     )
-    return blocks(spark, sf_dir).select(
+    return blocks(spark, sf_dir, spread).select(
         "query_id",
         F.concat(F.lit("request "), F.col("query_id").cast("string")).alias("query"),
         F.transform(wanted, lambda e: _action(e, F.lit(0), False)).alias("answer"),
@@ -149,9 +153,9 @@ def error_of(q: Column, c: Column) -> Column:
     )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Predictions of four configurations for every query."""
-    runs = blocks(spark, sf_dir).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
+    runs = blocks(spark, sf_dir, spread).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
         "c", F.col("c").cast("long")
     )
     q, c = F.col("query_id"), F.col("c")

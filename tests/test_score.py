@@ -284,3 +284,21 @@ def test_large_traces_are_dealt_into_more_parts(spark, monkeypatch, tmp_path):
     many = I.blocks(spark, str(tmp_path), spread=True)
     assert many.rdd.getNumPartitions() == 40 > few.rdd.getNumPartitions()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_traces_meet_base_state_without_moving(spark, tools, base):
+    """An entity that all runs of a query address is looked up once, and no trace is dealt anew for its replay."""
+    from conftest import SF
+
+    import __spark_entry__ as entry
+    from tracemill.operators import replay as R
+
+    twice = act("set", id="1", status="Done")
+    rows = [(f"r{i}", "d", "c", 1, "q", [twice, act("set", id="2", status=str(i))], "", "") for i in range(4)]
+    r = spark.createDataFrame(rows, schemas.RESULTS)
+    known = R.lookups(S._writes(r, "function_calls", R.writing_tools(tools)), base, ["query_id"]).collect()
+    assert [sorted((k.entity_id, *k.was) for k in x.known) for x in known] == [[("1", None, "Open"), ("2", None, "Open")]]
+    out = S.with_outcomes(r.unionByName(r), spark.createDataFrame([(1, "q", [twice])], schemas.GOLD), tools, base.unionByName(base)).collect()
+    assert len(out) == 8 and {(x.changed, x.same_outcome, len(x.delta)) for x in out} == {(True, False, 2)}
+    plan = entry.queries()["scored_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan and "Window" in plan

@@ -19,7 +19,7 @@ _WELL_FORMED = (
     r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\.func\("
     rf'(?:[A-Za-z_]\w*="{_LITERAL}"(?:, [A-Za-z_]\w*="{_LITERAL}")*+)?\)$'
 )
-_ARGUMENT = rf'(?<=\(|", )[A-Za-z_]\w*+="{_LITERAL}"'
+_ARGUMENT = rf'([A-Za-z_]\w*+)="({_LITERAL})"'
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -71,8 +71,7 @@ def render_action(name: Column, args: Column) -> Column:
 
 def function_name(action: Column) -> Column:
     """First two dotted parts of what stands before the first bracket."""
-    head = F.substring_index(action, "(", 1)
-    return F.array_join(F.slice(F.split(head, r"\."), 1, 2), ".")
+    return F.substring_index(F.substring_index(action, "(", 1), ".", 2)
 
 
 def escape_newlines(actions: Column) -> Column:
@@ -83,25 +82,20 @@ def actions_or_empty(actions: Column) -> Column:
     return F.coalesce(actions, F.array().cast(_STRINGS))
 
 
-def _argument(item: Column) -> Column:
-    name = F.substring_index(item, "=", 1)
-    quoted = F.substr(item, F.length(name) + 3)
-    return F.struct(name.alias("name"), F.left(quoted, F.length(quoted) - 1).alias("value"))
-
-
 def action_args(action: Column) -> Column:
     """Ordered arguments of an action; null if its text could not be called: the quoting
     does not hold, or an argument repeats.
 
     Costly to evaluate, so callers project it once and do not filter on it.
     """
-    items = F.when(action.rlike(_WELL_FORMED), F.regexp_extract_all(action, F.lit(_ARGUMENT), 0))
+    # Behind the bracket, arguments follow each other: a match ends where the next separator stands.
+    found = lambda group: F.regexp_extract_all(F.substr(action, F.instr(action, "(") + 1), F.lit(_ARGUMENT), group)
 
-    def unless_repeated(found: Column) -> Column:
-        names = F.transform(found, lambda i: F.substring_index(i, "=", 1))
-        return F.when(F.size(F.array_distinct(names)) == F.size(names), F.transform(found, _argument))
+    def unless_repeated(names: Column) -> Column:
+        paired = F.zip_with(names, found(2), lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), paired)
 
-    return let(items, unless_repeated).cast(schemas.ARGS)
+    return let(F.when(action.rlike(_WELL_FORMED), found(1)), unless_repeated).cast(schemas.ARGS)
 
 
 def slug(c: Column) -> Column:

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill import constants as C
@@ -34,7 +35,7 @@ def explode_actions(df: DataFrame, keys: Sequence[str], actions: str) -> DataFra
 def effective_writes(actions: DataFrame, keys: Sequence[str], tools: DataFrame) -> DataFrame:
     """Write actions with the entity they address; reads and unknown tools drop out here.
 
-    ``args`` is null for an action that could not be called, which ``fold_entities`` drops.
+    ``args`` is null for an action that could not be called, which ``net_changes`` drops.
     """
     kinds = tools.where(F.col("op_kind").isin("insert", "update", "delete")).select(
         X.internal_tool_id(F.col("tool")).alias("_fn"), "op_kind", "target", "key_arg"
@@ -85,73 +86,132 @@ def _looked_up(writes: DataFrame, base_state: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def fold_entities(
-    writes: DataFrame, base_state: DataFrame, keys: Sequence[str], carried: DataFrame | None = None, near: Sequence[str] | None = None
-) -> DataFrame:
-    """Net effect of each trace on each entity it writes.
+def _net_effects(traces: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Net effect of each trace on each entity it writes, from its write actions in ``ops``, as a list ``folded``.
 
-    ``carried`` are the traces' own rows (``keys`` and a struct ``row``). They travel in the same shuffle as the writes and come out as a
-    list ``rows``, each beside no entity, so that nothing has to be joined back. ``near`` are the keys to shuffle by, if not all.
+    All of it happens inside the row of a trace: its actions are sorted by entity, and each run of the same entity is folded.
     """
-    trace = list(keys)
-    looked = _looked_up(writes, base_state, keys)
-    if carried is None:
-        looked = looked.withColumn("row", F.lit(None).cast("int"))
-    else:
-        # Step 0 is no action's, so these rows are a group of their own.
-        looked = looked.unionByName(carried.selectExpr(*keys, "0L AS _own", "row"), allowMissingColumns=True)
-    grouped = looked.repartition(*(near or trace)).groupBy(*trace, "target", "entity_id", "_own").agg(
-        F.expr("sort_array(collect_list(op)) AS ops"), F.expr("coalesce(bool_or(in_base), false) AS in_base"),
-        F.expr("first(key_arg) AS key_arg"), F.expr("collect_list(row) AS rows"),
+    alike = "struct(o.target, o.entity_id, o.own) <=> struct(get(ops, i - 1).target, get(ops, i - 1).entity_id, get(ops, i - 1).own)"
+    cut = traces.selectExpr(*keep, "sort_array(filter(ops, o -> o.args IS NOT NULL)) AS ops").selectExpr(
+        *keep, "ops", f"filter(transform(ops, (o, i) -> if(i > 0 AND {alike}, NULL, i)), i -> i IS NOT NULL) AS starts"
     )
-    born = grouped.selectExpr(
-        "*", "size(rows) > 0 AS carries",
-        "if(in_base, 0, array_min(transform(filter(ops, o -> o.op_kind = 'insert'), o -> o.step))) AS born",
-    ).where("born IS NOT NULL OR carries")
-    died = born.selectExpr(
-        "*", "array_min(transform(filter(ops, o -> o.op_kind = 'delete' AND o.step > born), o -> o.step)) AS died"
-    ).where("in_base OR died IS NULL")
+    let = lambda value, name, use: f"transform(array({value}), {name} -> {use})[0]"
+    group = "slice(ops, s + 1, coalesce(get(starts, j + 1), size(ops)) - s)"
+    born = "if(held, 0L, array_min(transform(filter(g, o -> o.op_kind = 'insert'), o -> o.step)))"
+    died = "array_min(transform(filter(g, o -> o.op_kind = 'delete' AND o.step > born), o -> o.step))"
     # The id names the row to change; only an added row also carries it as a cell.
-    written = died.selectExpr(
-        *trace, "target", "entity_id", "in_base", "rows", "carries", "if(in_base, NULL, born) AS added_at", "died IS NOT NULL AS deleted",
-        """if(died IS NULL AND NOT carries, flatten(transform(
-            filter(ops, o -> o.op_kind = 'update' AND o.step > born OR o.op_kind = 'insert' AND o.step = born),
-            o -> filter(o.args, a -> o.op_kind = 'insert' OR NOT (a.name <=> key_arg)))), NULL) AS written""",
-    )
+    written = """flatten(transform(filter(g, o -> o.op_kind = 'update' AND o.step > born OR o.op_kind = 'insert' AND o.step = born),
+        o -> filter(o.args, a -> o.op_kind = 'insert' OR NOT (a.name <=> g[0].key_arg))))"""
     # One write per attribute: the last one.
-    last = "transform(array_distinct(transform(written, w -> w.name)), n -> element_at(filter(written, w -> w.name = n), -1)) AS cells"
-    return written.selectExpr(*(c for c in written.columns if c != "written"), last)
+    last = "transform(array_distinct(transform(ws, w -> w.name)), n -> element_at(filter(ws, w -> w.name = n), -1))"
+    effect = f"""if(born IS NULL OR (NOT held AND died IS NOT NULL), NULL, struct(
+        g[0].target AS target, g[0].entity_id AS entity_id, held AS in_base, born AS added_at, died IS NOT NULL AS deleted,
+        {let(f"if(died IS NULL, {written}, NULL)", "ws", last)} AS cells))"""
+    folded = let(group, "g", let("exists(g, o -> o.in_base)", "held", let(born, "born", let(died, "died", effect))))
+    return cut.selectExpr(*keep, f"filter(transform(starts, (s, j) -> {folded}), g -> g IS NOT NULL) AS folded")
 
 
-def replay(
-    actions: DataFrame, tools: DataFrame, base_state: DataFrame, keys: Sequence[str],
-    carried: DataFrame | None = None, near: Sequence[str] | None = None,
-) -> DataFrame:
-    """Final state change of each trace.
+def net_changes(traces: DataFrame) -> DataFrame:
+    """Traces with the final state change of their write actions ``ops``.
 
     ``delta`` is what a trace changes compared without regard to case (except for the
     attributes that keep theirs), ``changed`` whether it changes anything at all,
-    case included. Traces that write nothing have no row, unless they are in ``carried``
-    (see ``fold_entities``), whose rows come back in ``rows``.
+    case included, ``writes`` whether any of its actions took effect.
     """
-    per_entity = fold_entities(effective_writes(actions, keys, tools), base_state, keys, carried, near)
-    moved = f"filter(cells, w -> NOT ({_folded('w.name', 'w.value')} <=> {_folded('w.name', 'w.was')}))"
-    gone = f"CAST(array(struct(target, 'delete', entity_id, '', '')) AS {DELTA})"
-    per_entity = per_entity.selectExpr(
-        *keys, "rows",
-        f"if(NOT carries AND added_at IS NULL, if(deleted, {gone}, {_cells(moved, 'target', 'update', 'entity_id')}), NULL) AS old_rows",
-        "if(NOT carries AND added_at IS NOT NULL, struct(target, added_at, cells), NULL) AS new_row",
-        "NOT carries AND (added_at IS NOT NULL OR deleted OR exists(cells, w -> NOT (w.value <=> w.was))) AS changed",
-    )
-    own = ["rows"] if carried is not None else []
-    traces = per_entity.groupBy(*keys).agg(
-        F.expr("flatten(collect_list(old_rows)) AS old_rows"), F.expr("sort_array(collect_list(new_row)) AS new_rows"),
-        F.expr("bool_or(changed) AS changed"), *[F.expr("flatten(collect_list(rows)) AS rows") for _ in own],
+    keep = [c for c in traces.columns if c != "ops"]
+    moved = f"filter(g.cells, w -> NOT ({_folded('w.name', 'w.value')} <=> {_folded('w.name', 'w.was')}))"
+    gone = f"CAST(array(struct(g.target, 'delete', g.entity_id, '', '')) AS {DELTA})"
+    rows = _net_effects(traces, keep).selectExpr(
+        *keep, "size(folded) > 0 AS writes",
+        f"flatten(transform(filter(folded, g -> g.in_base), g -> if(g.deleted, {gone}, {_cells(moved, 'g.target', 'update', 'g.entity_id')}))) AS old_rows",
+        "sort_array(transform(filter(folded, g -> NOT g.in_base), g -> struct(g.target AS target, g.added_at AS added_at, g.cells AS cells))) AS new_rows",
+        "exists(folded, g -> NOT g.in_base OR g.deleted OR exists(g.cells, w -> NOT (w.value <=> w.was))) AS changed",
     )
     # Position of an added row among the rows added to the same target.
     place = "CAST(size(filter(slice(new_rows, 1, i + 1), q -> q.target = r.target)) AS string)"
     added = f"flatten(transform(new_rows, (r, i) -> {_cells('r.cells', 'r.target', 'insert', place)}))"
-    return traces.selectExpr(*keys, f"sort_array(concat(old_rows, {added})) AS delta", "changed", *own)
+    return rows.selectExpr(*keep, f"sort_array(concat(old_rows, {added})) AS delta", "changed", "writes")
+
+
+def replay(actions: DataFrame, tools: DataFrame, base_state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Final state change of each trace, from a table of actions. Traces that write nothing have no row."""
+    looked = _looked_up(effective_writes(actions, keys, tools), base_state, keys)
+    op = "struct(target, entity_id, _own AS own, op.step AS step, op.op_kind AS op_kind, op.args AS args, in_base, key_arg)"
+    traces = looked.where("op IS NOT NULL").groupBy(*keys).agg(F.expr(f"collect_list({op}) AS ops"))
+    return net_changes(traces).where("writes").drop("writes")
+
+
+# --- lists of actions inside rows ------------------------------------------------------------
+
+
+def writing_tools(tools: DataFrame) -> Column:
+    """What each writing tool does, by internal name, as one map computed once per query (scalar subquery)."""
+    name = X.internal_tool_id(F.col("tool"))
+    kind = F.struct(name.alias("fn"), "op_kind", "target", "key_arg")
+    found = tools.where(F.col("op_kind").isin("insert", "update", "delete")).agg(F.collect_set(name).alias("names"), F.collect_set(kind).alias("kinds"))
+    listed = F.transform("names", lambda n: F.struct(n, F.filter("kinds", lambda k: k["fn"] == n)))
+    return found.select(F.map_from_entries(listed)).scalar()
+
+
+def write_list(actions: Column, kinds: Column) -> Column:
+    """The write actions of a list that could be called, with the entity they address; ``effective_writes`` inside a row."""
+    def of(a: Column, i: Column, args: Column, k: Column) -> Column:
+        key = F.try_element_at(F.filter(args, lambda x: x["name"] == k["key_arg"]), F.lit(1))["value"]
+        return F.struct(
+            k["target"].alias("target"), key.alias("entity_id"), (i + 1).cast("long").alias("step"), k["op_kind"].alias("op_kind"),
+            args.alias("args"), k["key_arg"].alias("key_arg"),
+        )
+
+    def read(a: Column, i: Column) -> Column:
+        found = F.try_element_at(kinds, X.function_name(a))
+        args = X.let(X.action_args(a), lambda args: F.when(args.isNotNull(), F.transform(found, lambda k: of(a, i, args, k))))
+        return F.when(F.map_contains_key(kinds, X.function_name(a)), args)
+
+    return F.flatten(F.filter(F.transform(actions, read), lambda w: w.isNotNull()))
+
+
+def lookups(writes: DataFrame, base_state: DataFrame, near: Sequence[str]) -> DataFrame:
+    """For all rows of ``writes`` (``near`` and a list ``writes``) that share ``near``: a list ``known`` of the base rows they address.
+
+    An entity that several of them address is looked up once for each set of attributes they name. Actions without an id look nothing
+    up, and only what an action names leaves the lookup, not whole base rows.
+    """
+    named = "transform(filter(writes, w -> w.entity_id IS NOT NULL), w -> struct(w.target AS target, w.entity_id AS _key, transform(w.args, a -> a.name) AS names))"
+    asked = writes.selectExpr(*near, f"array_distinct({named}) AS asked")
+    asked = asked.groupBy(*near).agg(F.expr("array_distinct(flatten(collect_list(asked))) AS asked")).selectExpr(*near, "inline(asked)")
+    base = base_state.where("entity_id IS NOT NULL AND attrs IS NOT NULL").selectExpr("target", "entity_id AS _key", "attrs")
+    met = base.join(asked, ["target", "_key"]).selectExpr(
+        *near, "struct(target, _key AS entity_id, names, transform(names, n -> try_element_at(attrs, n)) AS was) AS known"
+    )
+    return met.groupBy(*near).agg(F.collect_list("known").alias("known"))
+
+
+# A write with the base values of what it names, once for each base row of its entity; ``own`` tells actions without an id apart.
+MET = """flatten(transform(writes, w -> transform(
+    array(transform(filter(known, k -> k.target = w.target AND k.entity_id = w.entity_id AND k.names = transform(w.args, a -> a.name)), k -> k.was)),
+    found -> transform(if(size(found) > 0, found, array(CAST(NULL AS array<string>))), v -> struct(
+        w.target AS target, w.entity_id AS entity_id, if(w.entity_id IS NULL, w.step, NULL) AS own, w.step AS step,
+        w.op_kind AS op_kind, transform(w.args, (a, i) -> struct(a.name AS name, a.value AS value, get(v, i) AS was)) AS args,
+        v IS NOT NULL AS in_base, w.key_arg AS key_arg)))[0]))"""
+
+
+def replay_rows(traces: DataFrame, known: DataFrame, keys: Sequence[str], near: Sequence[str]) -> DataFrame:
+    """Rows with a list ``writes`` and the state change of their trace; rows of the same ``keys`` are one trace.
+
+    Rows stay where they are: traces meet what was looked up for them by ``near``, which comes first in the sort, so that one sort
+    serves this and joins by ``near`` after it.
+    """
+    same = W.partitionBy(*near, *[k for k in keys if k not in near])
+    merged = traces.withColumn("writes", F.flatten(F.array_distinct(F.collect_list("writes").over(same))))
+    if len(near) == 1:
+        met = merged.join(known, list(near), "left")
+    else:
+        # Keys may be null, and rows without a key are a trace as well.
+        renamed = known.withColumnsRenamed({c: f"_near_{c}" for c in near})
+        on = [F.col(c).eqNullSafe(F.col(f"_near_{c}")) for c in near]
+        met = merged.join(renamed, on, "left").drop(*[f"_near_{c}" for c in near])
+    rest = [c for c in met.columns if c not in ("writes", "known")]
+    return net_changes(met.selectExpr(*rest, f"{MET} AS ops")).drop("writes")
 
 
 def deltas(replayed: DataFrame, keys: Sequence[str]) -> DataFrame:

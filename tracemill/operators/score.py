@@ -17,10 +17,10 @@ KEYS = ("run_id", "query_id")
 CAUSES = ("no_actions", "wrong_email", "end_date_minor_error", "meeting_start_time_error")
 
 
-def harmonise(results: DataFrame, gold: DataFrame, on: str = "query_id") -> DataFrame:
-    """Predictions with their gold lists; nulls become empty, newlines are escaped."""
+def harmonise(results: DataFrame, gold: DataFrame, on: str = "query_id", also: Sequence[str] = ()) -> DataFrame:
+    """Predictions with their gold lists; nulls become empty, newlines are escaped. ``also`` names more columns of gold to keep."""
     left = results.withColumnRenamed("function_calls", "prediction").fillna("")
-    right = gold.select(on, F.col("answer").alias("ground_truth"))
+    right = gold.select(on, F.col("answer").alias("ground_truth"), *also)
     clean = lambda c: X.escape_newlines(X.actions_or_empty(F.col(c)))
     return left.join(right, on).withColumns(
         {"prediction": clean("prediction"), "ground_truth": clean("ground_truth")}
@@ -111,17 +111,16 @@ def iteration_limit_rows(results: DataFrame) -> DataFrame:
     return results.where(F.col("error") == C.ITERATION_LIMIT)
 
 
-def outcomes(
-    traces: DataFrame, actions: str, tools: DataFrame, base_state: DataFrame, keys: Sequence[str],
-    carried: DataFrame | None = None, near: Sequence[str] | None = None,
-) -> DataFrame:
-    escaped = traces.select(*keys, X.escape_newlines(X.actions_or_empty(F.col(actions))).alias("_a"))
-    return R.replay(R.explode_actions(escaped, keys, "_a"), tools, base_state, keys, carried, near)
+def _writes(df: DataFrame, actions: str, kinds: Column) -> DataFrame:
+    listed = R.write_list(X.escape_newlines(X.actions_or_empty(F.col(actions))), F.col("_kinds"))
+    return df.withColumn("_kinds", kinds).withColumn("writes", listed).drop("_kinds")
 
 
 def gold_outcomes(gold: DataFrame, tools: DataFrame, base_state: DataFrame, on: str = "query_id") -> DataFrame:
     """State change of each gold list. Worth keeping if several jobs score against the same gold."""
-    return outcomes(gold, "answer", tools, base_state, [on]).select(on, F.col("delta").alias("gold_delta"))
+    asked = _writes(gold.select(on, "answer"), "answer", R.writing_tools(tools)).groupBy(on).agg(F.flatten(F.collect_list("writes")).alias("writes"))
+    replayed = R.replay_rows(asked, R.lookups(asked, base_state, [on]), [on], [on])
+    return replayed.select(on, F.col("delta").alias("gold_delta"))
 
 
 def with_outcomes(
@@ -130,16 +129,24 @@ def with_outcomes(
 ) -> DataFrame:
     """``harmonise`` plus the state change of both sides; each gold list is replayed once.
 
-    A prediction's row goes along with its writes and is shuffled once, by the key it meets its gold on.
+    Rows of both sides move only to meet by ``on``. What goes to base state and back are the entities they address, once for all
+    predictions and the gold list of a key.
     """
-    rest = [c for c in results.columns if c not in keys]
-    carried = results.select(*keys, F.struct(*rest).alias("row"))
-    replayed = outcomes(results, "function_calls", tools, base_state, keys, carried, [on] if on in keys else None)
-    predicted = replayed.select(*keys, "delta", "changed", F.inline("rows"))
-    gold_out = gold_outcomes(gold, tools, base_state, on) if gold_out is None else gold_out
+    kinds, near = R.writing_tools(tools), [on] if on in keys else list(keys)
+    made = _writes(results, "function_calls", kinds)
+    asked = made.select(*near, "writes")
+    if gold_out is None:
+        wanted = _writes(gold.select(on, "answer"), "answer", kinds)
+        if near == [on]:
+            known = gold_known = R.lookups(asked.unionByName(wanted.select(on, "writes")), base_state, near)
+        else:
+            known, gold_known = R.lookups(asked, base_state, near), R.lookups(wanted, base_state, [on])
+        right = R.replay_rows(wanted, gold_known, [on], [on]).drop("changed").withColumnRenamed("delta", "gold_delta")
+    else:
+        known, right = R.lookups(asked, base_state, near), gold.join(gold_out, on, "left")
+    predicted = R.replay_rows(made, known, keys, near)
     return (
-        harmonise(predicted.select(*results.columns, "delta", "changed"), gold, on)
-        .join(gold_out, on, "left")
+        harmonise(predicted.select(*results.columns, "delta", "changed"), right, on, ["gold_delta"])
         .withColumn("gold_delta", F.coalesce("gold_delta", F.array().cast(R.DELTA)))
         .withColumn("same_outcome", F.col("delta") == F.col("gold_delta"))
     )

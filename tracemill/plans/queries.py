@@ -43,7 +43,7 @@ def _joined(spark, sf):
 
 
 def _scored(spark, sf):
-    return S.score(I.results(spark, sf), I.gold(spark, sf), I.tools(spark), I.base_state(spark, sf))
+    return S.score(I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True), I.tools(spark), I.base_state(spark, sf))
 
 
 def _matched(spark, sf):
@@ -200,7 +200,7 @@ def replayed_changes(spark, sf):
 
 @query
 def outcome_equality(spark, sf):
-    o = S.with_outcomes(I.results(spark, sf), I.gold(spark, sf), I.tools(spark), I.base_state(spark, sf))
+    o = S.with_outcomes(I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True), I.tools(spark), I.base_state(spark, sf))
     return o.select(
         "run_id", "query_id", "same_outcome", "changed", F.size("delta").cast("long").alias("n_cells"),
         F.size("gold_delta").cast("long").alias("n_gold_cells"),
@@ -209,7 +209,7 @@ def outcome_equality(spark, sf):
 
 @query
 def state_difference(spark, sf):
-    o = S.with_outcomes(I.results(spark, sf), I.gold(spark, sf), I.tools(spark), I.base_state(spark, sf))
+    o = S.with_outcomes(I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True), I.tools(spark), I.base_state(spark, sf))
     return R.state_difference(o, S.KEYS)
 
 
@@ -231,7 +231,7 @@ def residual_errors(spark, sf):
 def custom_error_class(spark, sf):
     extra = {"wrong_case": F.exists("prediction", lambda a: F.contains(a, F.lit("ITEM")))}
     s = S.score(
-        I.results(spark, sf), I.gold(spark, sf), I.tools(spark), I.base_state(spark, sf), error_classes=extra
+        I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True), I.tools(spark), I.base_state(spark, sf), error_classes=extra
     )
     out = P.error_classes(s, (*S.CAUSES, "wrong_case"))
     return out.select("domain", "config", "n", "n_wrong_case", "n_residual")
@@ -246,7 +246,7 @@ def added_tool(spark, sf):
         "op_kind": "delete", "target": "email", "key_arg": "k",
     }
     t = t.where("tool <> 'email__search_items'").unionByName(K.catalogue(spark, [more]))
-    s = S.score(I.results(spark, sf), I.gold(spark, sf), t, I.base_state(spark, sf))
+    s = S.score(I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True), t, I.base_state(spark, sf))
     return P.accuracy(s, ("domain",)).select("domain", "n", "n_correct")
 
 
@@ -410,7 +410,7 @@ def few_shot_picks(spark, sf):
 
 
 def _gated(spark, sf):
-    o = S.with_outcomes(I.results(spark, sf), I.gold(spark, sf), I.tools(spark), I.base_state(spark, sf))
+    o = S.with_outcomes(I.results(spark, sf, spread=True), I.gold(spark, sf, spread=True), I.tools(spark), I.base_state(spark, sf))
     return E.gate(
         o.withColumns(
             {"n_actions": F.size("prediction").cast("long"), "n_gold": F.size("ground_truth").cast("long")}

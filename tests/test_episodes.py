@@ -167,3 +167,10 @@ def test_demonstrations_follow_rank(spark):
     rows = D.message_rows(D.demonstrations(picks, store, ["q"], ["e"]), "prefix", ["q"]).orderBy("ord").collect()
     assert [(r["role"], r["content"]) for r in rows] == [
         ("user", "eleven"), ("user", "ten"), ("assistant", None), ("tool", "o"), ("assistant", "fin")]
+
+
+def test_text_ids_are_short(spark):
+    """Every entry of a vector is shuffled with the id of its text: 32 bytes, also for texts that differ in one letter."""
+    df = spark.createDataFrame([("a", i, f"word {i}", ["add"], ["add"], True) for i in range(5)], "run_id string, seq long, query string, tools array<string>, available array<string>, stored boolean")
+    ids = [r.text_id for r in E.text_vectors(df, df, 10).collect()]
+    assert len(set(ids)) == 5 and {len(i) for i in ids} == {32}

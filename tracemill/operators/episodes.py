@@ -89,7 +89,8 @@ STORED_BLOCK = 1_000_000
 
 
 def _text_id(c: str) -> Column:
-    return F.sha2(F.col(c), 256)
+    """32 bytes; every shuffled entry of a vector carries them, and they do not compress."""
+    return F.unhex(F.sha2(F.col(c), 256))
 
 
 def _level(postings: Column, max_postings: int) -> Column:

@@ -84,13 +84,16 @@ def _spread(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     Few events are left to Spark. Counting them reads the footers of the files alone.
     """
     n = load(spark, sf_dir, "events").count()
-    return found if n <= PART_ROWS * spark.sparkContext.defaultParallelism else found.repartition(-(-n // PART_ROWS), "query_id")
+    if n <= PART_ROWS * spark.sparkContext.defaultParallelism:
+        return found
+    # With fewer parts than other shuffles have, a join by trace would deal the traces once more.
+    return found.repartition(max(-(-n // PART_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), "query_id")
 
 
 def blocks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``query_id, evs``: the up to eight events of each trace, in order.
 
-    ``spread`` is for work that stays with the trace; what is dealt by trace again later, as by a replay, would be shuffled once more.
+    ``spread`` is for work that stays with the trace; what is dealt by trace again later would be shuffled once more.
     """
     ev = F.struct("step", "event_id", "verb", "k")
     found = events(spark, sf_dir)

@@ -302,3 +302,44 @@ def test_traces_meet_base_state_without_moving(spark, tools, base):
     assert len(out) == 8 and {(x.changed, x.same_outcome, len(x.delta)) for x in out} == {(True, False, 2)}
     plan = entry.queries()["scored_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" not in plan and "Window" in plan
+
+
+def test_actions_that_runs_share_are_parsed_once_for_the_lookup(spark, tools, base):
+    from tracemill.operators import replay as R
+
+    a, b = act("set", id="1", status="Done"), act("set", id="2", name="x")
+    lists = [(1, [a, b, None]), (1, [b, a, a]), (1, None), (2, []), (None, [a]), (None, [a])]
+    r = spark.createDataFrame(lists, "query_id long, actions array<string>")
+    got = {x.query_id: sorted(x.actions, key=str) for x in R.distinct_actions(r, ["query_id"], "actions").collect()}
+    assert got == {1: sorted([a, b, None], key=str), 2: [], None: [a]}
+    each = R.lookups(S._writes(r, "actions", R.writing_tools(tools)), base, ["query_id"]).collect()
+    once = S._known(r, R.writing_tools(tools), base, ["query_id"]).collect()
+    shown = lambda rows: {x.query_id: sorted(map(str, x.known)) for x in rows}
+    assert shown(once) == shown(each) and len(once) == 2
+
+
+def test_a_single_action_on_an_entity_is_folded_like_several(spark, tools, base):
+    """Each case with and without an action more on the entity that changes nothing."""
+    idle = act("set", id="1")
+    known = [act("set", id="1", status="Done"), act("set", id="1", name="ANN"), act("drop", id="1"), act("make", id="1", name="n"), idle]
+    new = [act("make", id="7", name="n"), act("set", id="7", name="n"), act("drop", id="7")]
+    lists = [([x], [x, idle] if x != act("drop", id="1") else [idle, x]) for x in known]
+    lists += [([x], [act("drop", id="7"), x]) for x in new] + [([act("add", name="N")], [act("add", name="N")])]
+    rows = [("r", "d", "c", i, "q", alone, "", "") for i, (alone, _) in enumerate(lists)]
+    more = [("s", "d", "c", i, "q", several, "", "") for i, (_, several) in enumerate(lists)]
+    gold = spark.createDataFrame([(i, "q", alone) for i, (alone, _) in enumerate(lists)], schemas.GOLD)
+    out = {(x.run_id, x.query_id): (x.delta, x.changed) for x in S.with_outcomes(spark.createDataFrame(rows + more, schemas.RESULTS), gold, tools, base).collect()}
+    assert all(out["r", i] == out["s", i] for i in range(len(lists)))
+    assert [x[1] for _, x in sorted(out.items())][: len(lists)] == [True, True, True, False, False, True, False, False, True]
+
+
+def test_large_traces_have_as_many_parts_as_other_shuffles_start_with(spark, monkeypatch, tmp_path):
+    from tracemill.plans import standins as I
+
+    spark.range(800).selectExpr("id AS event_id", "'click' AS event_type", """'{"k": 5}' AS props""").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(I, "PART_ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "30")
+    try:
+        assert I.blocks(spark, str(tmp_path), spread=True).rdd.getNumPartitions() == 30
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")

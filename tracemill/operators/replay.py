@@ -107,7 +107,12 @@ def _net_effects(traces: DataFrame, keep: Sequence[str]) -> DataFrame:
     effect = f"""if(born IS NULL OR (NOT held AND died IS NOT NULL), NULL, struct(
         g[0].target AS target, g[0].entity_id AS entity_id, held AS in_base, born AS added_at, died IS NOT NULL AS deleted,
         {let(f"if(died IS NULL, {written}, NULL)", "ws", last)} AS cells))"""
-    folded = let(group, "g", let("exists(g, o -> o.in_base)", "held", let(born, "born", let(died, "died", effect))))
+    several = let("exists(g, o -> o.in_base)", "held", let(born, "born", let(died, "died", effect)))
+    # The same for a single action, whose attributes are distinct: it changes a known row or adds one, or nothing.
+    single = """if(NOT o.in_base AND o.op_kind <> 'insert', NULL, struct(
+        o.target AS target, o.entity_id AS entity_id, o.in_base AS in_base, if(o.in_base, 0L, o.step) AS added_at, o.op_kind = 'delete' AS deleted,
+        if(o.op_kind = 'delete', NULL, filter(o.args, a -> if(o.in_base, o.op_kind = 'update' AND NOT (a.name <=> o.key_arg), true))) AS cells))"""
+    folded = let(group, "g", f"if(size(g) = 1, {let('g[0]', 'o', single)}, {several})")
     return cut.selectExpr(*keep, f"filter(transform(starts, (s, j) -> {folded}), g -> g IS NOT NULL) AS folded")
 
 
@@ -163,22 +168,29 @@ def write_list(actions: Column, kinds: Column) -> Column:
         )
 
     def read(a: Column, i: Column) -> Column:
-        found = F.try_element_at(kinds, X.function_name(a))
-        args = X.let(X.action_args(a), lambda args: F.when(args.isNotNull(), F.transform(found, lambda k: of(a, i, args, k))))
-        return F.when(F.map_contains_key(kinds, X.function_name(a)), args)
+        # One lookup in the map: it compares names one by one.
+        called = lambda found: X.let(X.action_args(a), lambda args: F.when(args.isNotNull(), F.transform(found, lambda k: of(a, i, args, k))))
+        return X.let(F.try_element_at(kinds, X.function_name(a)), lambda found: F.when(found.isNotNull(), called(found)))
 
     return F.flatten(F.filter(F.transform(actions, read), lambda w: w.isNotNull()))
 
 
-def lookups(writes: DataFrame, base_state: DataFrame, near: Sequence[str]) -> DataFrame:
+def distinct_actions(lists: DataFrame, near: Sequence[str], actions: str) -> DataFrame:
+    """One row per ``near``: the actions of all its lists, each text once. Null lists and actions hold none."""
+    return lists.groupBy(*near).agg(F.array_distinct(F.flatten(F.collect_list(actions))).alias(actions))
+
+
+def lookups(writes: DataFrame, base_state: DataFrame, near: Sequence[str], whole: bool = False) -> DataFrame:
     """For all rows of ``writes`` (``near`` and a list ``writes``) that share ``near``: a list ``known`` of the base rows they address.
 
     An entity that several of them address is looked up once for each set of attributes they name. Actions without an id look nothing
-    up, and only what an action names leaves the lookup, not whole base rows.
+    up, and only what an action names leaves the lookup, not whole base rows. ``whole`` says that no two rows share ``near``.
     """
-    named = "transform(filter(writes, w -> w.entity_id IS NOT NULL), w -> struct(w.target AS target, w.entity_id AS _key, transform(w.args, a -> a.name) AS names))"
+    named = "transform(filter(writes, w -> w.entity_id IS NOT NULL), w -> struct(w.target AS target, w.entity_id AS _key, w.args.name AS names))"
     asked = writes.selectExpr(*near, f"array_distinct({named}) AS asked")
-    asked = asked.groupBy(*near).agg(F.expr("array_distinct(flatten(collect_list(asked))) AS asked")).selectExpr(*near, "inline(asked)")
+    if not whole:
+        asked = asked.groupBy(*near).agg(F.expr("array_distinct(flatten(collect_list(asked))) AS asked"))
+    asked = asked.selectExpr(*near, "inline(asked)")
     base = base_state.where("entity_id IS NOT NULL AND attrs IS NOT NULL").selectExpr("target", "entity_id AS _key", "attrs")
     met = base.join(asked, ["target", "_key"]).selectExpr(
         *near, "struct(target, _key AS entity_id, names, transform(names, n -> try_element_at(attrs, n)) AS was) AS known"
@@ -188,7 +200,7 @@ def lookups(writes: DataFrame, base_state: DataFrame, near: Sequence[str]) -> Da
 
 # A write with the base values of what it names, once for each base row of its entity; ``own`` tells actions without an id apart.
 MET = """flatten(transform(writes, w -> transform(
-    array(transform(filter(known, k -> k.target = w.target AND k.entity_id = w.entity_id AND k.names = transform(w.args, a -> a.name)), k -> k.was)),
+    array(transform(filter(known, k -> k.target = w.target AND k.entity_id = w.entity_id AND k.names = w.args.name), k -> k.was)),
     found -> transform(if(size(found) > 0, found, array(CAST(NULL AS array<string>))), v -> struct(
         w.target AS target, w.entity_id AS entity_id, if(w.entity_id IS NULL, w.step, NULL) AS own, w.step AS step,
         w.op_kind AS op_kind, transform(w.args, (a, i) -> struct(a.name AS name, a.value AS value, get(v, i) AS was)) AS args,

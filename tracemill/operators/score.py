@@ -116,10 +116,15 @@ def _writes(df: DataFrame, actions: str, kinds: Column) -> DataFrame:
     return df.withColumn("_kinds", kinds).withColumn("writes", listed).drop("_kinds")
 
 
+def _known(lists: DataFrame, kinds: Column, base_state: DataFrame, near: Sequence[str]) -> DataFrame:
+    """``replay.lookups`` for lists ``actions``. Runs of a query share many actions, so each text is parsed once for its key."""
+    return R.lookups(_writes(R.distinct_actions(lists, near, "actions"), "actions", kinds), base_state, near, whole=True)
+
+
 def gold_outcomes(gold: DataFrame, tools: DataFrame, base_state: DataFrame, on: str = "query_id") -> DataFrame:
     """State change of each gold list. Worth keeping if several jobs score against the same gold."""
     asked = _writes(gold.select(on, "answer"), "answer", R.writing_tools(tools)).groupBy(on).agg(F.flatten(F.collect_list("writes")).alias("writes"))
-    replayed = R.replay_rows(asked, R.lookups(asked, base_state, [on]), [on], [on])
+    replayed = R.replay_rows(asked, R.lookups(asked, base_state, [on], whole=True), [on], [on])
     return replayed.select(on, F.col("delta").alias("gold_delta"))
 
 
@@ -134,16 +139,17 @@ def with_outcomes(
     """
     kinds, near = R.writing_tools(tools), [on] if on in keys else list(keys)
     made = _writes(results, "function_calls", kinds)
-    asked = made.select(*near, "writes")
+    asked = results.select(*near, F.col("function_calls").alias("actions"))
     if gold_out is None:
         wanted = _writes(gold.select(on, "answer"), "answer", kinds)
+        gold_asked = gold.select(on, F.col("answer").alias("actions"))
         if near == [on]:
-            known = gold_known = R.lookups(asked.unionByName(wanted.select(on, "writes")), base_state, near)
+            known = gold_known = _known(asked.unionByName(gold_asked), kinds, base_state, near)
         else:
-            known, gold_known = R.lookups(asked, base_state, near), R.lookups(wanted, base_state, [on])
+            known, gold_known = _known(asked, kinds, base_state, near), _known(gold_asked, kinds, base_state, [on])
         right = R.replay_rows(wanted, gold_known, [on], [on]).drop("changed").withColumnRenamed("delta", "gold_delta")
     else:
-        known, right = R.lookups(asked, base_state, near), gold.join(gold_out, on, "left")
+        known, right = _known(asked, kinds, base_state, near), gold.join(gold_out, on, "left")
     predicted = R.replay_rows(made, known, keys, near)
     return (
         harmonise(predicted.select(*results.columns, "delta", "changed"), right, on, ["gold_delta"])

@@ -87,7 +87,9 @@ def _spread(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     if n <= PART_ROWS * spark.sparkContext.defaultParallelism:
         return found
     # With fewer parts than other shuffles have, a join by trace would deal the traces once more.
-    return found.repartition(max(-(-n // PART_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), "query_id")
+    others = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or others)
+    return found.repartition(max(-(-n // PART_ROWS), others), "query_id")
 
 
 def blocks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:

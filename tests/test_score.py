@@ -343,3 +343,17 @@ def test_large_traces_have_as_many_parts_as_other_shuffles_start_with(spark, mon
         assert I.blocks(spark, str(tmp_path), spread=True).rdd.getNumPartitions() == 30
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_traces_from_files_are_dealt_once(spark, tools, base, tmp_path):
+    """Rows that repeat a run and a query meet, also with null keys, though rows are dealt by the query alone and before they are parsed."""
+    a, b = act("set", id="1", status="Done"), act("drop", id="2")
+    data = [("r", 1, [a]), ("r", 1, [b]), ("r", 1, None), ("s", 1, [a]), (None, 1, [b]), (None, 1, [b]), ("r", None, [a]), ("r", 2, [])]
+    rows = [(run, "d", "c", q, "q", calls, "", "") for run, q, calls in data]
+    spark.createDataFrame(rows, schemas.RESULTS).write.parquet(f"{tmp_path}/results")
+    g = spark.createDataFrame([(1, "q", [a]), (2, "q", [])], schemas.GOLD)
+    out = S.with_outcomes(spark.read.parquet(f"{tmp_path}/results"), g, tools, base)
+    got = sorted((str(x.run_id), x.query_id, len(x.delta), x.same_outcome) for x in out.collect())
+    assert got == [("", 1, 1, False)] * 2 + [("r", 1, 2, False)] * 3 + [("r", 2, 0, True), ("s", 1, 1, True)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "run_id" in line]

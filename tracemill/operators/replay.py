@@ -207,14 +207,24 @@ MET = """flatten(transform(writes, w -> transform(
         v IS NOT NULL AS in_base, w.key_arg AS key_arg)))[0]))"""
 
 
-def replay_rows(traces: DataFrame, known: DataFrame, keys: Sequence[str], near: Sequence[str]) -> DataFrame:
-    """Rows with a list ``writes`` and the state change of their trace; rows of the same ``keys`` are one trace.
+def with_writes(traces: DataFrame, actions: str, kinds: Column, keys: Sequence[str], near: Sequence[str]) -> DataFrame:
+    """Rows with the list ``writes`` of their trace, read from the lists ``actions``; rows of the same ``keys`` are one trace.
 
-    Rows stay where they are: traces meet what was looked up for them by ``near``, which comes first in the sort, so that one sort
-    serves this and joins by ``near`` after it.
+    Rows are dealt by ``near`` alone, where they meet what is looked up for them: the rows of a trace are peers in its order. So one
+    shuffle and one sort serve this and joins by ``near`` after it, and both move the texts, as writes are read after them.
     """
-    same = W.partitionBy(*near, *[k for k in keys if k not in near])
-    merged = traces.withColumn("writes", F.flatten(F.array_distinct(F.collect_list("writes").over(same))))
+    same, rest = W.partitionBy(*near), [k for k in keys if k not in near]
+    if rest:
+        same = same.orderBy(*rest).rangeBetween(W.currentRow, W.currentRow)
+    listed = F.transform("writes", lambda a: write_list(X.escape_newlines(a), F.col("_kinds")))
+    return (
+        traces.withColumn("writes", F.collect_list(actions).over(same)).withColumn("_kinds", kinds)
+        .withColumn("writes", F.flatten(F.array_distinct(listed))).drop("_kinds")
+    )
+
+
+def replay_rows(merged: DataFrame, known: DataFrame, near: Sequence[str]) -> DataFrame:
+    """Rows with a list ``writes`` and the state change of their trace. Rows stay where they are, and meet what was looked up for them."""
     if len(near) == 1:
         met = merged.join(known, list(near), "left")
     else:

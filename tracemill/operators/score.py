@@ -124,7 +124,7 @@ def _known(lists: DataFrame, kinds: Column, base_state: DataFrame, near: Sequenc
 def gold_outcomes(gold: DataFrame, tools: DataFrame, base_state: DataFrame, on: str = "query_id") -> DataFrame:
     """State change of each gold list. Worth keeping if several jobs score against the same gold."""
     asked = _writes(gold.select(on, "answer"), "answer", R.writing_tools(tools)).groupBy(on).agg(F.flatten(F.collect_list("writes")).alias("writes"))
-    replayed = R.replay_rows(asked, R.lookups(asked, base_state, [on], whole=True), [on], [on])
+    replayed = R.replay_rows(asked, R.lookups(asked, base_state, [on], whole=True), [on])
     return replayed.select(on, F.col("delta").alias("gold_delta"))
 
 
@@ -138,19 +138,18 @@ def with_outcomes(
     predictions and the gold list of a key.
     """
     kinds, near = R.writing_tools(tools), [on] if on in keys else list(keys)
-    made = _writes(results, "function_calls", kinds)
     asked = results.select(*near, F.col("function_calls").alias("actions"))
     if gold_out is None:
-        wanted = _writes(gold.select(on, "answer"), "answer", kinds)
+        wanted = R.with_writes(gold.select(on, "answer"), "answer", kinds, [on], [on])
         gold_asked = gold.select(on, F.col("answer").alias("actions"))
         if near == [on]:
             known = gold_known = _known(asked.unionByName(gold_asked), kinds, base_state, near)
         else:
             known, gold_known = _known(asked, kinds, base_state, near), _known(gold_asked, kinds, base_state, [on])
-        right = R.replay_rows(wanted, gold_known, [on], [on]).drop("changed").withColumnRenamed("delta", "gold_delta")
+        right = R.replay_rows(wanted, gold_known, [on]).drop("changed").withColumnRenamed("delta", "gold_delta")
     else:
         known, right = _known(asked, kinds, base_state, near), gold.join(gold_out, on, "left")
-    predicted = R.replay_rows(made, known, keys, near)
+    predicted = R.replay_rows(R.with_writes(results, "function_calls", kinds, keys, near), known, near)
     return (
         harmonise(predicted.select(*results.columns, "delta", "changed"), right, on, ["gold_delta"])
         .withColumn("gold_delta", F.coalesce("gold_delta", F.array().cast(R.DELTA)))

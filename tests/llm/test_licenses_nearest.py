@@ -70,3 +70,14 @@ def test_top_k_is_exact(spark, scale):
 def test_no_vectors(spark):
     v = spark.createDataFrame([], "vec_id long, v array<long>")
     assert nearest.nearest(v, v).count() == 0
+
+
+def test_no_block_is_sorted_whole(monkeypatch):
+    """The k best of a block with many equal scores, repeated ids and more vectors than are evaluated at first."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (700, 3))
+    ids = rng.integers(0, 500, 700)
+    monkeypatch.setattr(np, "argsort", None)
+    for i, at, score in nearest.best_in_block(ids[:20], x[:20], ids, x, x[-6:], 9, step=16):
+        want = sorted((-int(x[j] @ x[i]), int(ids[j])) for j in range(len(x)) if ids[j] != ids[i])[:9]
+        assert [(-int(s), int(ids[a])) for a, s in zip(at, score)] == want

@@ -3,8 +3,8 @@
 Vectors are rounded to integers and packed into blocks of rows. A fixed set of pivots, drawn by hash from all vectors, is
 the table's columns: the distance of every vector to every pivot is worked out once. For a query q and a vector x, each
 pivot p gives |d(q,p) - d(x,p)| <= d(q,x); the largest of these is the best lower bound, and with the lengths of q and x
-it bounds their inner product from above. In a block, vectors are evaluated in the order of that bound, until the
-bound falls below the k-th score found. The k best of a block are merged per query.
+it bounds their inner product from above. In a block, the vectors with the highest bounds are evaluated first, then those
+whose bound reaches the k-th score found. The k best of a block are merged per query.
 
 Queries meet vectors block by block, each pair of blocks in a task of its own; no task, group or broadcast grows with
 the input but the pivots, whose number is a parameter.
@@ -75,25 +75,40 @@ def best_in_block(
     fq, fx, fp = q.astype(np.float64), x.astype(np.float64), pivots.astype(np.float64)
     nq, nx = (fq * fq).sum(1), (fx * fx).sum(1)
     dq, dx = _distances(fq, fp), np.ascontiguousarray(_distances(fx, fp).T)
+    low, gap = np.empty(len(x)), np.empty(len(x))
     for i in range(len(q)):
-        low = np.zeros(len(x))
+        low.fill(0.0)
         for j in range(len(dx)):
-            np.maximum(low, np.abs(dx[j] - dq[i, j]), out=low)
+            np.subtract(dx[j], dq[i, j], out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
         # Slack for rounding: bounds may only err upwards.
         bound = (nq[i] + nx - low * low) / 2
         bound += 1e-6 * (nq[i] + nx) + 1.0
         bound[ids == qid[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
+        left, take = np.flatnonzero(bound > -np.inf), step
         at, score = np.empty(0, np.int64), np.empty(0, np.int64)
-        for lo in range(0, len(order), step):
-            if bound[order[lo]] == -np.inf or len(at) == k and bound[order[lo]] < score[-1]:
-                break
-            c = order[lo : lo + step]
-            c = c[bound[c] > -np.inf]
-            got = x[c] @ q[i] if big else np.rint(fx[c] @ fq[i]).astype(np.int64)
+        while len(left):
+            # The likeliest first, without sorting the others: most of them fall below the k-th score found.
+            c = left
+            if take < len(left):
+                parted = np.argpartition(-bound[left], take - 1)
+                c, left = left[parted[:take]], left[parted[take:]]
+            else:
+                left = left[:0]
+            if big:
+                got = x[c] @ q[i]
+            else:
+                # Picking most rows out costs more than the product with all.
+                got = np.rint((fx @ fq[i])[c] if 2 * len(c) > len(fx) else fx[c] @ fq[i]).astype(np.int64)
+            if len(at) == k:
+                near = got >= score[-1]
+                c, got = c[near], got[near]
             at, score = np.r_[at, c], np.r_[score, got]
             keep = np.lexsort((ids[at], -score))[:k]
             at, score = at[keep], score[keep]
+            if len(at) == k:
+                left = left[bound[left] >= score[-1]]
+            take *= 4
         yield i, at, score
 
 

@@ -161,3 +161,19 @@ def test_sieve_marks_every_wanted_row(spark):
     assert set(range(-500, 500, 7)) <= got and len(got) < 200
     assert marked(rows, keys, ["doc_id"]).count() == 1001
     assert likely(rows, keys.where("false"), ["doc_id"]).count() == 0
+
+
+def test_python_holds_few_rows_of_a_batch_or_cell(monkeypatch):
+    """Results leave in frames of bounded size, also from one cell with many pairs of different classes."""
+    import pandas as pd
+
+    from tracemill.llm import ngram_join as G
+
+    n = 60
+    cell = pd.DataFrame({"cell": 1, "side_a": 0, "side_b": 0, "side": 0, "doc_id": range(n), "root": range(n), "n": 16, "point": [bytes([0x11] * 8)] * n})
+    monkeypatch.setattr(G, "HELD_PAIRS", 100)
+    frames = list(G.candidates([cell], 80))
+    pairs = [p for f in frames for p in zip(f["a"], f["b"])]
+    assert max(map(len, frames)) == 100 and len(pairs) == len(set(pairs)) == n * (n - 1) // 2
+    monkeypatch.setattr(G, "HELD_ROWS", 7)
+    assert [len(f) for f in G._sliced([cell])] == [7] * 8 + [4]

@@ -41,6 +41,15 @@ from tracemill.session import drop_table, through_table
 
 CLASS_RATIO = 1.25
 FANOUT = 16
+# Rows of results that a task's Python holds at a time, whatever the size of an Arrow batch or a cell.
+HELD_ROWS = 1024
+HELD_PAIRS = 20_000
+
+
+def _sliced(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), HELD_ROWS):
+            yield b.iloc[at : at + HELD_ROWS]
 
 
 @cache
@@ -86,7 +95,7 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, a fingerprint of the set (f1, f2), and its cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _sliced(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 s = shingle_set(text, k)
@@ -138,7 +147,7 @@ def points(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n and the point of each document, as counts of four bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _sliced(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 s = shingle_set(text, k)
@@ -227,28 +236,28 @@ def _cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _searched(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs in cells. ``members``: cell, side_a, side_b (blocks of the cell), side, doc_id, root, n, point."""
-
+def candidates(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs of cells that are sorted, in frames of bounded size: a, b, root_a, root_b, bound. A pair may come more than once."""
     columns = ["a", "b", "root_a", "root_b", "bound"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for c in _cells(batches):
-            size = 2 * min(map(len, c["point"]))
-            v = np.array([_unpacked(p, size) for p in c["point"]])
-            ids, root = c["doc_id"].to_numpy(np.int64), c["root"].to_numpy(np.int64)
-            other = None if c["side_a"].iat[0] == c["side_b"].iat[0] else (c["side"] == c["side_b"]).to_numpy()
-            for i, j, bound in tree_pairs(c["n"].to_numpy(np.int64), root, v, percent, other):
-                i, j = (i, j) if ids[i] < ids[j] else (j, i)
-                found[int(ids[i]), int(ids[j])] = (int(root[i]), int(root[j]), bound)
-            if len(found) > 100_000:
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for c in _cells(batches):
+        size = 2 * min(map(len, c["point"]))
+        v = np.array([_unpacked(p, size) for p in c["point"]])
+        ids, root = c["doc_id"].to_numpy(np.int64), c["root"].to_numpy(np.int64)
+        other = None if c["side_a"].iat[0] == c["side_b"].iat[0] else (c["side"] == c["side_b"]).to_numpy()
+        for i, j, bound in tree_pairs(c["n"].to_numpy(np.int64), root, v, percent, other):
+            i, j = (i, j) if ids[i] < ids[j] else (j, i)
+            found[int(ids[i]), int(ids[j])] = (int(root[i]), int(root[j]), bound)
+            if len(found) == HELD_PAIRS:
                 yield pd.DataFrame([(*k, *x) for k, x in found.items()], columns=columns)
                 found = {}
-        if found:
-            yield pd.DataFrame([(*k, *x) for k, x in found.items()], columns=columns)
+    if found:
+        yield pd.DataFrame([(*k, *x) for k, x in found.items()], columns=columns)
+
 
-    return members.mapInPandas(run, "a long, b long, root_a long, root_b long, bound long")
+def _searched(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs in cells. ``members``: cell, side_a, side_b (blocks of the cell), side, doc_id, root, n, point."""
+    return members.mapInPandas(lambda batches: candidates(batches, percent), "a long, b long, root_a long, root_b long, bound long")
 
 
 def _with_roots(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:

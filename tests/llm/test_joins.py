@@ -177,3 +177,21 @@ def test_python_holds_few_rows_of_a_batch_or_cell(monkeypatch):
     assert max(map(len, frames)) == 100 and len(pairs) == len(set(pairs)) == n * (n - 1) // 2
     monkeypatch.setattr(G, "HELD_ROWS", 7)
     assert [len(f) for f in G._sliced([cell])] == [7] * 8 + [4]
+
+
+def test_sets_that_share_nothing_share_few_cells():
+    """Empty ranges are alike in all sets, so they make cells only where a set has many of them."""
+    rng = np.random.default_rng(5)
+    seen = {}
+    for i in range(600):
+        s = np.unique(rng.integers(0, 2**64, 180 + i % 40, dtype=np.uint64))
+        for c in ngram_join.cell_keys(s, 80) >> np.uint64(1):
+            seen.setdefault(int(c), []).append(i)
+    assert sum(len(x) for x in seen.values() if len(x) > 1) < 600
+
+
+def test_cells_with_the_same_members_are_searched_once(spark):
+    cells = {1: [(10, 10), (11, 11)], 2: [(10, 10), (11, 11)], 3: [(10, 10), (11, 11), (12, 11)], 4: [(11, 11), (12, 11)], 5: [(10, 10), (10, 10), (11, 11)]}
+    rows = [(c, d, r) for c, of in cells.items() for d, r in of]
+    found = ngram_join.open_cells(spark.createDataFrame(rows, "cell long, doc_id long, root long"))
+    assert sorted(r.cell for r in found.collect()) == [1, 3, 5]

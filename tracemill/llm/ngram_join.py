@@ -79,7 +79,8 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
         most = starts[at + 1] - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
         if differ:
-            spare = 2 + differ // 40
+            # Enough that few sets have more empty ranges than that: cells of empty ranges hold sets that share nothing.
+            spare = 4 + differ // 16
             ranges = differ + 1 + spare
             edges = np.searchsorted((group * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1).astype(np.uint64))
             salt = mixed(np.arange(ranges).astype(np.uint64) + np.uint64((at + 1) << 40))
@@ -265,6 +266,18 @@ def _with_roots(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     return df.join(named, node, "left").withColumn("root", F.coalesce("root", F.col(node)))
 
 
+def open_cells(rooted: DataFrame) -> DataFrame:
+    """The cells that hold several classes; of cells with the same members the least one, as it meets all their pairs.
+
+    ``rooted``: cell, doc_id, root. Documents that are much alike share hundreds of cells, in which often no third one lies.
+    """
+    some = lambda *salt: F.sum(F.xxhash64("doc_id", *salt).cast("decimal(20,0)"))
+    cells = rooted.groupBy("cell").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), some().alias("m1"), some(F.lit(1)).alias("m2")
+    )
+    return cells.where("least <> most").groupBy("n", "m1", "m2").agg(F.min("cell").alias("cell")).select("cell")
+
+
 def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id of its class)."""
     texts = docs.select("doc_id", "text")
@@ -296,7 +309,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
 
     # Cells that still hold several classes: all their pairs across classes, but those already tested.
     rooted = _with_roots(filed, roots, "doc_id")
-    open_ = rooted.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("cell")
+    open_ = open_cells(rooted)
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     members = rooted.join(open_, "cell").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     spread = members.select(
@@ -308,7 +321,8 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) ->
     spread = through_table(spread)
     drop_table(filed)
     wanted = spread.select("doc_id").distinct()
-    placed = points(likely(texts, wanted, ["doc_id"]).join(wanted, "doc_id", "left_semi"), k)
+    # The join by doc_id after this leaves out what the sieve lets through by chance, so the texts themselves stay where they are.
+    placed = points(likely(texts, wanted, ["doc_id"]), k)
     ready = spread.join(placed, "doc_id").repartition("cell").sortWithinPartitions("cell")
     pairs = through_table(_searched(ready, percent).join(stars, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
     drop_table(spread)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tracemill.llm import contamination, mixing, ngram_join, pii, quality
+from tracemill.llm.sieve import marked
 from tracemill.session import shared_dir, ship_package, through_table
 
 ORACLE_SQL = None
@@ -62,7 +63,12 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     member = classes.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)).alias("least")
     left = through_table(member.groupBy("component_id").agg(least).select(f"least.{key}"))
-    return rows.join(left, key, "left_semi").select(*docs.columns)
+    # Rows that the sieve does not mark are not among those that go; only the marked ones move to be told apart by the exact keys.
+    gone = through_table(member.select(key).join(left, key, "left_anti"))
+    seen = marked(rows.select(key, F.struct(*docs.columns).alias("held_row")), gone, [key])
+    told = seen.where("likely").join(left, key, "left_semi")
+    kept = seen.where("not likely").select("held_row").unionByName(told.select("held_row"))
+    return kept.select(*(F.col("held_row").getField(c).alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

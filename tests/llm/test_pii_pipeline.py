@@ -261,3 +261,17 @@ def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
     spark.createDataFrame([(1, words(100)), (2, words(200))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.decontamination_stage(spark, kept, str(tmp_path)).collect()
     assert sorted(map(tuple, clean), key=key) == sorted([left[0], *left[3:]], key=key)
+
+
+def test_near_copies_move_only_marked_texts(spark, tmp_path):
+    """Rows that stay are not joined as a whole to the keys that stay, and other columns may have the names that the sieve uses."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (3, "some other words of a text", "c"), (4, None, "d"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, likely string")
+    df.withColumns({"bucket": df.doc_id, "bits": df.likely}).write.parquet(f"{tmp_path}/docs")
+    out = c.near_copies_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    assert sorted((r.doc_id, r.likely, r.bucket, r.bits) for r in out.collect()) == [(i, x, i, x) for i, x in ((1, "a"), (3, "c"), (4, "d"), (5, "e"))]
+    unmarked = out._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[0]
+    assert "Union" in unmarked and "LeftOuter" in unmarked

@@ -73,6 +73,15 @@ def test_similar_episodes_are_exact(spark, monkeypatch, seed, copies, k, max_pos
     assert bool(levels) == (max_postings < 25) and (step > 3 or len(levels) > 1)
 
 
+def test_salted_vocabulary_is_not_broadcast(spark):
+    """Each salt has a copy of the vocabulary, of which Spark's estimate sees one: a broadcast of it would not fit the driver."""
+    df = spark.createDataFrame([("a", i, f"w{i} the", i % 2 == 0) for i in range(8)], "run_id string, seq long, query string, stored boolean")
+    vectors = E.text_vectors(df.where("stored"), df, 500)
+    assert vectors.count() == 8 and {r["text_id"] for r in vectors.collect()} == {r[0] for r in df.select(E._text_id("query")).collect()}
+    salted = [line for line in vectors._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_salt" in line]
+    assert salted and all("SortMergeJoin" in line for line in salted)
+
+
 @pytest.mark.parametrize("seed, copies, k, max_postings, most", [(1, False, 3, 2000, 0), (2, True, 2, 2000, 0), (4, True, 3, 3, 300), (6, False, 2, 8, 0)])
 def test_blocks_give_the_same(spark, monkeypatch, seed, copies, k, max_postings, most):
     """No pair list is formed once a level has too many; blocks of a few texts give the exact result, one row a hit."""

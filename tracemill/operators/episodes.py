@@ -126,7 +126,8 @@ def text_vectors(episodes: DataFrame, queries: DataFrame, max_postings: int) ->
             (F.log((1 + F.coalesce("n_stored", F.lit(0))) / (1 + F.col("df"))) + 1).alias("idf"),
         )
     )
-    weighted = O.salted_lookup(terms, found, ["run_id", "term"], F.col("text_id"))
+    # The vocabulary comes in one copy for each salt, which Spark's estimate does not see: as a broadcast it would fill the driver.
+    weighted = O.salted_lookup(terms, found.hint("merge"), ["run_id", "term"], F.col("text_id"))
     entry = F.struct(
         _level(F.col("postings"), max_postings).alias("level"), "term", (F.col("tf") * F.col("idf")).alias("w"),
         (F.col("postings") > 0).alias("shared"),

@@ -189,6 +189,22 @@ def test_lookups_of_actions_without_an_id_are_spread(spark, tools, base):
     assert sorted((r.query_id, r.changed, len(r.delta)) for r in out) == [(1, True, 1), (1, True, 1), (2, False, 0)]
 
 
+def test_replay_computes_nothing_in_filters(spark, tools, base):
+    """A filter on a computed column is moved down by the optimiser, which then computes the column there once more."""
+    from tracemill.functions import text as X
+    from tracemill.operators import replay as R
+
+    rows = [
+        ("r", 1, [act("set", id="1", status="A"), "bad("]), ("r", 2, [act("find", q="z")]), ("r", 3, ['a.set.func(id="1", id="1")']),
+        ("r", 4, []), ("r", 5, None), ("s", 1, [act("set", id="9", status="A")]), (None, None, [act("make", name="x")]), ("s", 6, [act("set", id="1", status="Open")]),
+    ]
+    runs = spark.createDataFrame(rows, "run_id string, query_id long, calls array<string>").withColumn("calls", X.escape_newlines(F.col("calls")))
+    out = R.replay(R.explode_actions(runs, S.KEYS, "calls"), tools, base, S.KEYS)
+    assert {(r.run_id, r.query_id, len(r.delta), r.changed) for r in out.collect()} == {("r", 1, 1, True), (None, None, 1, True), ("s", 6, 0, False)}
+    plan = R.deltas(out, S.KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("lambda" in line or "RLIKE" in line)]
+
+
 def test_partitioning_and_reads_do_not_matter(spark, tools, base):
     import random
 

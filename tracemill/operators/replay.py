@@ -27,9 +27,9 @@ DELTA = "array<struct<target string, change string, row_key string, attr string,
 
 def explode_actions(df: DataFrame, keys: Sequence[str], actions: str) -> DataFrame:
     """One row per action with its step number from 1."""
-    return df.select(*keys, F.posexplode(actions).alias("_pos", "action")).select(
-        *keys, (F.col("_pos") + 1).cast("long").alias("step"), "action"
-    )
+    # The outer form: for the other one the optimiser adds a filter that makes the list twice.
+    rows = df.select(*keys, F.posexplode_outer(actions).alias("_pos", "action")).where(F.col("_pos").isNotNull())
+    return rows.select(*keys, (F.col("_pos") + 1).cast("long").alias("step"), "action")
 
 
 def effective_writes(actions: DataFrame, keys: Sequence[str], tools: DataFrame) -> DataFrame:
@@ -142,8 +142,11 @@ def replay(actions: DataFrame, tools: DataFrame, base_state: DataFrame, keys: Se
     """Final state change of each trace, from a table of actions. Traces that write nothing have no row."""
     looked = _looked_up(effective_writes(actions, keys, tools), base_state, keys)
     op = "struct(target, entity_id, _own AS own, op.step AS step, op.op_kind AS op_kind, op.args AS args, in_base, key_arg)"
-    traces = looked.where("op IS NOT NULL").groupBy(*keys).agg(F.expr(f"collect_list({op}) AS ops"))
-    return net_changes(traces).where("writes").drop("writes")
+    # Nothing is filtered on a computed column: the optimiser would move the filter down and compute the column there once more,
+    # the arguments of every action for ``op``, the whole folding, many times over, for ``writes``. Lists leave nulls out.
+    traces = looked.groupBy(*keys).agg(F.expr(f"collect_list(if(op IS NOT NULL, {op}, NULL)) AS ops"))
+    wrote = F.when(F.col("writes"), F.array(F.struct("writes", "delta", "changed")))
+    return net_changes(traces).select(*keys, F.inline_outer(wrote)).where("writes").drop("writes")
 
 
 # --- lists of actions inside rows ------------------------------------------------------------

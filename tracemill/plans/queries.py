@@ -193,7 +193,7 @@ def action_differences(spark, sf):
 
 @query
 def replayed_changes(spark, sf):
-    r = I.results(spark, sf).withColumn("function_calls", X.escape_newlines(F.col("function_calls")))
+    r = I.results(spark, sf, spread=True).withColumn("function_calls", X.escape_newlines(F.col("function_calls")))
     acts = R.explode_actions(r, S.KEYS, "function_calls")
     return R.deltas(R.replay(acts, I.tools(spark), I.base_state(spark, sf), S.KEYS), S.KEYS)
 
